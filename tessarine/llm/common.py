@@ -7,36 +7,30 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words whose hashes a Python worker remembers before it starts anew.
-WORD_CACHE = 400_000
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+_SEED = np.random.default_rng(20240229)
+#: A random 64-bit value for each byte; odd bases of the two rolling sums, one over bytes and one over words.
+_BYTE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The white space that parts words: 0x20 and 0x09 to 0x0D.
+_IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed on first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str | None, lower: bool) -> list[bytes]:
-    """The words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8; bytes know just these six white spaces, and lower only A-Z."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
-
-
-def hash_words(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of an odd base modulo 2**64, and their inverses."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size, inverse = max(1 << 16, 1 << (n - 1).bit_length()), pow(base, -1, 1 << 64)
+        both = []
+        for x in (base, inverse):
+            p = np.ones(size, dtype=np.uint64)
+            p[1:] = np.uint64(x)
+            both.append(np.multiply.accumulate(p))
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,23 +40,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8 begin and end."""
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _IN_WORD[np.frombuffer(raw, dtype=np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, from sums of values times powers: a range's sum, taken back to the front, depends on its bytes alone."""
+    up, down = _powers_of(_BASES[0], len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[np.frombuffer(raw, dtype=np.uint8)] * up[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(raw: bytes | None, lower: bool) -> np.ndarray:
+    """Hashes of a text's words in order, of A-Z in lower case if so wished; none for null or empty texts."""
+    if not raw:
+        return np.empty(0, dtype=np.uint64)
+    raw = raw.lower() if lower else raw  # of bytes, only A-Z change
+    return span_hashes(raw, *word_spans(raw))
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n words; position i is the run that starts at word i."""
     size = len(h) - n + 1
     if size <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(size, dtype=np.uint64)
-    for k in range(n):
-        out = mix(out * _ODD[k % 5] + h[k : k + size]) if k else h[:size] * _ODD[0]
-    return mix(out)
+    up, down = _powers_of(_BASES[1], len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    g = (sums[n:] - sums[:-n]) * down[:size]
+    return (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_set(words: list[bytes], known: WordHashes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; a shorter text is one shingle, an empty one has none."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hash_words(words, known)
-    return np.unique(gram_hashes(h, min(n, len(words))))
+def shingles_in_order(raw: bytes | None, n: int) -> np.ndarray:
+    """Hashes of the n-word shingles of a lower-cased text, in its order; a text of fewer words is one shingle, an empty one has none."""
+    h = word_hashes(raw, lower=True)
+    return gram_hashes(h, min(n, len(h))) if len(h) else h
+
+
+def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
+    """The distinct ones of shingles_in_order(), sorted."""
+    g = np.sort(shingles_in_order(raw, n))
+    return g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
+
+
+def raw_texts(column) -> list[bytes | None]:
+    """An Arrow column of strings as UTF-8."""
+    import pyarrow as pa
+
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:

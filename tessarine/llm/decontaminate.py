@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, hash_words, mix, words_of
+from .common import raw_texts, shingle_set, shingles_in_order
 
 #: Words of a shingle, least share of an item's shingles in a document, share of true pairs that may be missed in the search.
 WORDS, CONTAINMENT, MISS = 5, 0.75, 1e-5
@@ -78,11 +78,6 @@ class Items:
         return found
 
 
-def _ordered_shingles(text: str | None, known: WordHashes, n: int) -> np.ndarray:
-    words = words_of(text, lower=True)
-    return gram_hashes(hash_words(words, known), min(n, len(words))) if words else np.empty(0, dtype=np.uint64)
-
-
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
     """(document id, item id, n_item_shingles, n_shared, containment) of items of whose shingles a document holds the given share or more.
 
@@ -99,11 +94,10 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     out = None
     for b in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).select("item", "text").collect()
-        known = WordHashes()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.unique(_ordered_shingles(r[1], known, words)) for r in rows]))
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [shingle_set((r[1] or "").encode(), words) for r in rows]))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, known = Items(*sent.value, hashes), WordHashes()
+            block = Items(*sent.value, hashes)
 
             def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
                 got = []
@@ -117,8 +111,8 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
             for batch in batches:
                 kinds = [batch.schema.field(0).type, item_kind, pa.int64(), pa.int64(), pa.float64()]
                 ids, sets, size = [], [], 0
-                for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if len(h := _ordered_shingles(text.as_py(), known, words)) and block.classes:
+                for d, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                    if len(h := shingles_in_order(text, words)) and block.classes:
                         ids.append(d)
                         sets.append(h)
                         size += len(h)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, token_count, url_filter
+from . import bpe, decontaminate, near_dup_text, quality, sharding, token_count, url_filter
 from .common import read
 
 
@@ -19,6 +19,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_text.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.c + nb.c - shared)),
+r AS (SELECT a AS doc_id, a AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, coalesce((SELECT min(reached) FROM r WHERE r.doc_id = d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 SHARDS = 16
 
 
@@ -99,8 +114,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op10_quality)}
-ORACLE = {"op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op10_quality)}
+ORACLE = {"op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL}
 
 
 def queries() -> dict:
