@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup_text, quality, sharding, token_count, url_filter
+from . import bpe, decontaminate, near_dup_text, quality, sharding, substring_dedup, token_count, url_filter
 from .common import read
 
 
@@ -103,6 +103,21 @@ FROM parts p LEFT JOIN keys k ON p.page_id = k.page_id LEFT JOIN iv i ON k.k = i
 )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 19), ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM t) WHERE k > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept, count(*) AS n FROM e ANTI JOIN x USING (doc_id, j) GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+
 def learnable(id_col: str = "doc_id"):
     """Rows from which quality is learnt: crc32 of the id's text, modulo 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
@@ -114,8 +129,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op10_quality)}
-ORACLE = {"op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op10_quality)}
+ORACLE = {"op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
 
 
 def queries() -> dict:
