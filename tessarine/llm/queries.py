@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup_text, quality, sharding, substring_dedup, token_count, url_filter
+from . import bpe, decontaminate, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter
 from .common import read
 
 
@@ -19,6 +19,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_vectors.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT a AS vec_id, b AS reached FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(reached) FROM r WHERE r.vec_id = v.vec_id), v.vec_id)) AS component_id,
+  v.vec_id <= coalesce((SELECT min(reached) FROM r WHERE r.vec_id = v.vec_id), v.vec_id) AS kept FROM v"""
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_text.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -129,8 +141,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op10_quality)}
-ORACLE = {"op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op10_quality)}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
 
 
 def queries() -> dict:
