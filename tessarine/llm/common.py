@@ -7,9 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SEED = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte; odd bases of the two rolling sums, one over bytes and one over words.
@@ -107,25 +106,18 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir, its lineage cut; the session's cleaner drops the files once nothing refers to them.
-
-    A folder is set here only where the session names none, which is meant for local tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where the session names none, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def spread(spark: SparkSession, least: int = 1) -> int:
-    """Partitions for a shuffle: what the session is set to."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def pair_of(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut; the session's cleaner drops the files once nothing refers to them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -163,19 +155,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)
-
-
 def binomial_tail(n: int, p: float, least: int) -> float:
     """P(X >= least)."""
     return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
-
-
-LONGS = T.ArrayType(T.LongType())
