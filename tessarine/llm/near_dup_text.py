@@ -25,9 +25,11 @@ from .common import checkpointed, components, raw_texts, shingle_set
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
 #: Cells of the table of counts (8 bytes each), rows into which a task's table is cut, longest l.
-CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 6
+CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 64
 #: Cost of comparing two sets against that of a row of a posting list, and members of a list that are linked in one group.
 VERIFY_COST, LIST_ROWS = 40.0, 20_000
+#: Lists in which a document and its head or neighbour have to meet in the first round, which need not find all.
+STAR_MATCHES = 3
 
 
 def cell_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -78,7 +80,7 @@ def choose_matches(cost: np.ndarray, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataFrame:
-    """id, n, matches (its l), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
+    """id, n, matches (its l), crowd (how many partners its prefix may have, by the counts), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32))  # 4 * CELLS bytes
     usual = float(np.median(table))
     kind = docs.schema["id"].dataType.simpleString()
@@ -88,7 +90,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
 
         counts = sent.value
         for batch in batches:
-            ns, ls, sigs, out = [], [], [], []
+            ns, ls, crowds, sigs, out = [], [], [], [], []
             for t in raw_texts(batch.column(1)):
                 s = shingle_set(t, words)
                 n = len(s)
@@ -96,16 +98,19 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 if not n:
                     ls.append(1)
+                    crowds.append(0)
                     out.append(np.empty(0, dtype=np.int64))
                     continue
                 c = counts[(s >> np.uint64(44)).astype(np.int64)]
                 at = np.lexsort((s, c))
-                matches = choose_matches(np.maximum(c[at] - usual, 0.0), n)
+                cost = np.maximum(c[at] - usual, 0.0)
+                matches = choose_matches(cost, n)
                 ls.append(matches)
+                crowds.append(int(min(65535.0, 16 * cost[: base_prefix(n)].mean())))
                 out.append(s[at[: base_prefix(n) + matches - 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "matches", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "matches", "crowd", "sig", "prefix"])
 
-    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, matches int, sig binary, prefix array<long>")
+    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, matches int, crowd int, sig binary, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -138,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = checkpointed(prefixes(d, cell_counts(d, "text", words), "text", words))
+    made = prefixes(d, cell_counts(d, "text", words), "text", words)
+    sets = checkpointed(made.select("id", "n", "sig"))  # prefixes are made again where they are used: they are too large to keep
     own = sets.where("id is not null and n > 0")
     # documents of one set: its smallest id stands for them
     heads = own.groupBy("sig", "n").agg(F.min("id").alias("rep"))
@@ -146,24 +152,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = members.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int")
-    rows = own.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "shingle")).select(
-        "shingle", "id", F.shiftleft(F.col("n"), 16).bitwiseOR(F.shiftleft(level, 8).cast("long")).bitwiseOR(F.col("matches").cast("long")).alias("packed"))
-    by_list = W.Window.partitionBy("shingle").orderBy("packed", "id")
+    rows = made.where("id is not null and n > 0").select("id", "n", "matches", "crowd", F.posexplode("prefix").alias("pos", "shingle")).select(
+        "shingle", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("crowd").cast("long"), 16)).bitwiseOR(F.shiftleft(level, 8).cast("long")).bitwiseOR(F.col("matches").cast("long")).alias("packed"))
+    crowd = F.shiftright("packed", 16).bitwiseAND(65535)
+    by_list = W.Window.partitionBy("shingle").orderBy(crowd.desc(), "packed", "id")
     whole = by_list.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     lists = rows.withColumn("of", F.count(F.lit(1)).over(whole)).withColumn("place", F.row_number().over(by_list))
     lists = lists.where("of > 1").withColumn("part", F.floor((F.col("place") - 1) / LIST_ROWS))
     lists = checkpointed(lists.select("shingle", "id", "packed", "part"))
 
     def candidates(near: DataFrame) -> DataFrame:
-        """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that share enough of them and are of like size."""
-        a = [F.shiftright("packed", 16).alias("n"), F.shiftright("packed", 8).bitwiseAND(255).alias("v"), F.col("packed").bitwiseAND(255).alias("l")]
-        b = [F.shiftright("packed2", 16).alias("n2"), F.shiftright("packed2", 8).bitwiseAND(255).alias("v2"), F.col("packed2").bitwiseAND(255).alias("l2")]
+        """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet in some lists and are of like size."""
+        a = [F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(255).alias("v"), F.col("packed").bitwiseAND(255).alias("l")]
+        b = [F.shiftright("packed2", 32).alias("n2"), F.shiftright("packed2", 8).bitwiseAND(255).alias("v2"), F.col("packed2").bitwiseAND(255).alias("l2")]
         p = near.select("id", "id2", *a, *b).where((F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.greatest("v", "v2") <= F.least("l", "l2")))
-        p = p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2").alias("need"))
+        p = p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2", F.lit(STAR_MATCHES)).alias("need"))
         return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
     # members against the head of their list, and against the one before
-    in_part = W.Window.partitionBy("shingle", "part").orderBy("packed", "id")
+    in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
     heads_of = lists.withColumn("head", F.first(F.struct("id", "packed")).over(in_part)).withColumn("before", F.lag(F.struct("id", "packed")).over(in_part))
     star = heads_of.where("before is not null").select("id", "packed", F.explode(F.array_distinct(F.array("head", "before"))).alias("o")).select("id", "packed", F.col("o.id").alias("id2"), F.col("o.packed").alias("packed2"))
     texts = d.where("id is not null")
@@ -175,14 +182,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = checkpointed(verified(between_reps(candidates(star)), texts, words, num, den).unionByName(copies))
     classes = checkpointed(components(first))
-    # lists of several classes: all pairs between different ones, of one document for each set
-    named = lists.join(members.select("id", "rep"), "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select("shingle", F.col("rep").alias("id"), "packed", F.coalesce("component", "id").alias("class")).distinct()
-    spans = named.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
-    mixed = named.join(spans, "shingle")
-    x, y = mixed.alias("x"), mixed.select("shingle", F.col("id").alias("id2"), F.col("packed").alias("packed2"), F.col("class").alias("class2")).alias("y")
-    fits = (F.col("class") < F.col("class2")) & (F.least(F.shiftright("packed", 16), F.shiftright("packed2", 16)) * den >= F.greatest(F.shiftright("packed", 16), F.shiftright("packed2", 16)) * num)
-    across = x.join(y, "shingle").where(fits).select("id", "packed", "id2", "packed2")
-    second = verified(candidates(across), texts, words, num, den)
+    # lists of several classes: pairs between different ones, of one document for each set. Each pair comes from one list, the first that
+    # it shares, and only if its two prefixes share so many shingles that the rest can make up for those they don't share.
+    kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
+    named = lists.join(kin, "id").select("shingle", "id", "packed", "class")
+    short = named.where(F.shiftright("packed", 8).bitwiseAND(255) == 1)
+    spans = short.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
+    mixed = short.join(spans, "shingle")
+    in_base = F.shiftright("packed", 8).bitwiseAND(255) == 1
+    held = named.groupBy("id").agg(F.array_sort(F.collect_list(F.when(in_base, F.col("shingle")))).alias("base"), F.collect_list("shingle").alias("held"))
+    mixed = mixed.join(held, "id").select("shingle", "id", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(255).alias("l"), "base", "held")
+    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "class", "n", "l", "base", "held")]).alias("y")
+    like = (F.col("class") < F.col("class2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+    rest = lambda n, l: F.ceil(F.col(n) * num / den) - F.col(l)  # noqa: E731  what the prefix leaves out
+    least_shared = F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - F.greatest(rest("n", "l"), rest("n2", "l2"))
+    common = (F.element_at(F.array_intersect("base", "base2"), 1) == F.col("x.shingle")) & (F.size(F.array_intersect("held", "held2")) >= least_shared)
+    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & like & common).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    second = checkpointed(verified(across, texts, words, num, den))
     # links between classes of the first round, then the classes of classes
     names = classes.select("node", "component")
     lifted = second.join(names.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
