@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter
+from . import bpe, decontaminate, katz, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter
 from .common import read
 
 
@@ -130,6 +130,12 @@ k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept, count(*) AS n
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = katz.score(read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def learnable(id_col: str = "doc_id"):
     """Rows from which quality is learnt: crc32 of the id's text, modulo 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
@@ -141,7 +147,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op9_lm_scoring, op10_quality)}
 ORACLE = {"op2_embedding_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
 
 
