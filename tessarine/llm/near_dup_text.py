@@ -12,6 +12,7 @@ Verification compares whole shingle sets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, components, raw_texts, shingle_set
+from .common import checkpointed, components, drop_folder, raw_texts, shared_folder, shingle_set
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
 #: Cells of the table of counts (8 bytes each), rows into which a task's table is cut, longest l.
-CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 64
+CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 8
 #: Cost of comparing two sets against that of a row of a posting list, and members of a list that are linked in one group.
 VERIFY_COST, LIST_ROWS = 40.0, 20_000
 #: Lists in which a document and its head or neighbour have to meet in the first round, which need not find all.
@@ -159,7 +160,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = by_list.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     lists = rows.withColumn("of", F.count(F.lit(1)).over(whole)).withColumn("place", F.row_number().over(by_list))
     lists = lists.where("of > 1").withColumn("part", F.floor((F.col("place") - 1) / LIST_ROWS))
-    lists = checkpointed(lists.select("shingle", "id", "packed", "part"))
+    # columns of sorted lists take a quarter of the room of rows; the table goes as soon as the last pairs are verified
+    folder = f"{shared_folder(docs.sparkSession)}/lists-{uuid.uuid4().hex}"
+    lists.select("shingle", "id", "packed", "part").write.parquet(folder)
+    lists = docs.sparkSession.read.parquet(folder)
 
     def candidates(near: DataFrame) -> DataFrame:
         """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet in some lists and are of like size."""
@@ -186,19 +190,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # it shares, and only if its two prefixes share so many shingles that the rest can make up for those they don't share.
     kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
     named = lists.join(kin, "id").select("shingle", "id", "packed", "class")
-    short = named.where(F.shiftright("packed", 8).bitwiseAND(255) == 1)
-    spans = short.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
-    mixed = short.join(spans, "shingle")
-    in_base = F.shiftright("packed", 8).bitwiseAND(255) == 1
-    held = named.groupBy("id").agg(F.array_sort(F.collect_list(F.when(in_base, F.col("shingle")))).alias("base"), F.collect_list("shingle").alias("held"))
-    mixed = mixed.join(held, "id").select("shingle", "id", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(255).alias("l"), "base", "held")
-    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "class", "n", "l", "base", "held")]).alias("y")
+    spans = named.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
+    held = named.groupBy("id").agg(F.array_sort(F.collect_list("shingle")).alias("held"))
+    mixed = named.join(spans, "shingle").join(held, "id").select("shingle", "id", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(255).alias("l"), "held")
+    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "class", "n", "l", "held")]).alias("y")
     like = (F.col("class") < F.col("class2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
     rest = lambda n, l: F.ceil(F.col(n) * num / den) - F.col(l)  # noqa: E731  what the prefix leaves out
     least_shared = F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - F.greatest(rest("n", "l"), rest("n2", "l2"))
-    common = (F.element_at(F.array_intersect("base", "base2"), 1) == F.col("x.shingle")) & (F.size(F.array_intersect("held", "held2")) >= least_shared)
+    common = F.exists(F.array(F.array_intersect("held", "held2")), lambda c: (F.get(c, F.lit(0)) == F.col("x.shingle")) & (F.size(c) >= least_shared))
     across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & like & common).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     second = checkpointed(verified(across, texts, words, num, den))
+    drop_folder(docs.sparkSession, folder)
     # links between classes of the first round, then the classes of classes
     names = classes.select("node", "component")
     lifted = second.join(names.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
