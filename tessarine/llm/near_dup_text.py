@@ -165,12 +165,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists.select("shingle", "id", "packed", "part").write.parquet(folder)
     lists = docs.sparkSession.read.parquet(folder)
 
-    def candidates(near: DataFrame) -> DataFrame:
+    def candidates(near: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
         """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet in some lists and are of like size."""
         a = [F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(255).alias("v"), F.col("packed").bitwiseAND(255).alias("l")]
         b = [F.shiftright("packed2", 32).alias("n2"), F.shiftright("packed2", 8).bitwiseAND(255).alias("v2"), F.col("packed2").bitwiseAND(255).alias("l2")]
         p = near.select("id", "id2", *a, *b).where((F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.greatest("v", "v2") <= F.least("l", "l2")))
-        p = p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2", F.lit(STAR_MATCHES)).alias("need"))
+        p = p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2", F.lit(most)).alias("need"))
         return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
     # members against the head of their list, and against the one before
@@ -184,21 +184,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(rep_a, "a").join(rep_b, "b").where("ra != rb")
         return p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = checkpointed(verified(between_reps(candidates(star)), texts, words, num, den).unionByName(copies))
+    first = checkpointed(verified(between_reps(candidates(star, STAR_MATCHES)), texts, words, num, den).unionByName(copies))
     classes = checkpointed(components(first))
-    # lists of several classes: pairs between different ones, of one document for each set. Each pair comes from one list, the first that
-    # it shares, and only if its two prefixes share so many shingles that the rest can make up for those they don't share.
+    # lists of several classes: pairs between different ones, of one document for each set
     kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
     named = lists.join(kin, "id").select("shingle", "id", "packed", "class")
     spans = named.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
-    held = named.groupBy("id").agg(F.array_sort(F.collect_list("shingle")).alias("held"))
-    mixed = named.join(spans, "shingle").join(held, "id").select("shingle", "id", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(255).alias("l"), "held")
-    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "class", "n", "l", "held")]).alias("y")
-    like = (F.col("class") < F.col("class2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-    rest = lambda n, l: F.ceil(F.col(n) * num / den) - F.col(l)  # noqa: E731  what the prefix leaves out
-    least_shared = F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - F.greatest(rest("n", "l"), rest("n2", "l2"))
-    common = F.exists(F.array(F.array_intersect("held", "held2")), lambda c: (F.get(c, F.lit(0)) == F.col("x.shingle")) & (F.size(c) >= least_shared))
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & like & common).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    mixed = named.join(spans, "shingle")
+    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "packed", "class")]).alias("y")
+    n, n2 = F.shiftright("packed", 32), F.shiftright("packed2", 32)
+    fits = (F.col("class") < F.col("class2")) & (F.least(n, n2) * den >= F.greatest(n, n2) * num)
+    across = candidates(x.join(y, "shingle").where(fits).select("id", "packed", "id2", "packed2"))
     second = checkpointed(verified(across, texts, words, num, den))
     drop_folder(docs.sparkSession, folder)
     # links between classes of the first round, then the classes of classes
