@@ -2,9 +2,12 @@
 
 Counts of words and word pairs are gathered over all training documents. Pairs seen up to K times are discounted by Good-Turing; what that
 takes from a context is given to the words not seen after it, by their unigram probability, with a weight per context that makes every
-context sum to one. Counts are held in tables partitioned by pair and by word. Documents are dealt into blocks by their id; a block asks
-the tables for its own distinct pairs and words, and evaluates its tokens from the answers: a seen pair has its discounted probability, an
-unseen one the weight of its context times the unigram's.
+context sum to one.
+
+Texts are read once and kept as blocks of packed tokens. The tables of words and of pairs are partitioned by ranges of hashes: a block
+sends each part its distinct keys with its own counts, packed, and gets their counts over all blocks back in the same order. One block owns each
+pair and adds it to the sums of its context. A seen pair has its discounted probability, an unseen one the weight of its context times
+the unigram's; weights come last, as they need the sums of all blocks.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix, raw_texts, word_hashes
 
-#: Pairs seen more often than this are not discounted. Characters of text in a block, on average.
-K, BLOCK_CHARS = 5, 24_000_000
+#: Pairs seen more often than this are not discounted. Bytes of text that fill a block; words or pairs of all blocks in a part of their table.
+K, BLOCK_CHARS, PART_KEYS = 5, 24_000_000, 2_500_000
 #: Hashes that stand for the end of a text, and for its beginning as a context.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -29,10 +34,9 @@ def tokens_of(raw: bytes | None) -> np.ndarray:
     return np.concatenate([word_hashes(raw, lower=True), [END]])
 
 
-def pair_keys(t: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it."""
-    before = np.concatenate([[START], t[:-1]])
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ (t + np.uint64(0x632BE59BD9B4E019)))
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each token w with the one before it, v."""
+    return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x632BE59BD9B4E019)))
 
 
 def discounts(of_counts: dict[int, int], k: int = K) -> np.ndarray:
@@ -50,6 +54,33 @@ def discounts(of_counts: dict[int, int], k: int = K) -> np.ndarray:
     return d
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """An array's bytes by place, compressed: high bytes of small numbers take no room."""
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def loosen(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Rows of sorted batches, those of one key together; a key's rows are few and packed, and no more than one key is held."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(held[0][k] != row[k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def table_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text and its end).
 
@@ -57,104 +88,188 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     texts are scored as their end alone. Repeated rows count as often as they come; a null id is scored, and learnt from if training says
     so. Other columns are not read. With nothing to learn from, both scores are those of one class that holds every token.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    # a text's hash deals out rows that share an id; each block's rows arrive together
-    dealt = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block its distinct words (kind 0) and pairs (kind 1: with the words' hashes), and how often training documents hold them."""
-        held: dict[int, list] = {}
-
-        def rows(block: int, parts: list) -> Iterator[pa.RecordBatch]:
-            t, train = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            before = np.concatenate([p[2] for p in parts])
-            key = np.concatenate([p[3] for p in parts])
-            for what, x in ((0, t), (1, key)):
-                values, first, inverse = np.unique(x, return_index=True, return_inverse=True)
-                n = np.bincount(inverse, weights=train, minlength=len(values)).astype(np.int64)
-                v = before[first] if what else np.zeros(len(values), dtype=np.uint64)
-                w = t[first] if what else values
-                for at in range(0, len(values), 200_000):
-                    s = slice(at, at + 200_000)
-                    size = len(values[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, dtype=np.int32)), pa.array(np.full(size, what, dtype=np.int32)), *(pa.array(y[s].view(np.int64)) for y in (values, v, w)), pa.array(n[s])], ["block", "kind", "key", "v", "w", "n"])
-
-        for batch in batches:
-            for block, raw, train in zip(batch.column(2).to_pylist(), raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                t = tokens_of(raw)
-                held.setdefault(block, []).append((t, np.full(len(t), train), np.concatenate([[START], t[:-1]]), pair_keys(t)))
-        for block, parts in held.items():
-            yield from rows(block, parts)
-
-    asked = dealt.select("text", "train", "block").mapInArrow(gather, "block int, kind int, key long, v long, w long, n long")
-    words, pairs = asked.where("kind = 0").select("block", "key", "n"), asked.where("kind = 1").select("block", "key", "v", "w", "n")
-    uni = checkpointed(words.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"))
-    total, kinds = uni.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, kinds = int(total or 0), int(kinds)
+    packed = checkpointed(d.mapInArrow(pack_blocks, f"block long, n_words long, n_pairs long, ids array<{kind}>, words binary, sizes binary, train binary, tokens binary"))
+    blocks, *asked = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_pairs")]).first()
+    blocks, parts = max(1, blocks), [max(1, math.ceil(n / PART_KEYS)) for n in asked]
+
+    keys = packed.select("block", "words", "sizes", "train", "tokens").mapInArrow(lambda b: keys_of(b, parts), "kind int, part long, block long, keys binary, n binary")
+    answers = checkpointed(keys.repartition(sum(parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(count_keys, "kind int, part long, block long, answer binary, seen array<long>, total long"))
+    of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in answers.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # two rows
+    total, _, *of_words = of_kind.get(0, [0, 0])
+    kinds = sum(of_words)  # words that training documents hold
     below = total + 0.5 * (kinds + 1)
-    bi = checkpointed(pairs.where("n > 0").groupBy("key").agg(F.sum("n").alias("r"), F.first("v").alias("v"), F.first("w").alias("w")))
-    of_counts = {int(a): int(b) for a, b in bi.where(F.col("r") <= K + 1).groupBy("r").count().collect()}  # K + 1 rows
-    cut = discounts(of_counts)
-    discounted = F.when(F.col("r") <= K, F.element_at(F.array(*[F.lit(float(x)) for x in cut[1:]]), F.least("r", F.lit(K)).cast("int")) * F.col("r")).otherwise(F.col("r").cast("double"))
-    with_uni = bi.join(uni.withColumnRenamed("key", "w"), "w")
-    contexts = with_uni.groupBy("v").agg(F.sum("r").alias("cv"), F.sum(discounted).alias("kept"), F.sum((F.col("c") + 0.5) / below).alias("seen"))
+    cut = discounts(dict(enumerate(of_kind.get(1, [0])[1:])))
+
+    null = lambda t: F.lit(None).cast(t)
+    told = answers.select("block", "kind", F.col("part").alias("at"), "answer", null(f"array<{kind}>").alias("ids"), *[null("binary").alias(c) for c in ("words", "sizes", "tokens")])
+    texts = packed.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), null("binary").alias("answer"), "ids", "words", "sizes", "tokens")
+    by_block = told.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind", "at")
+    partial = checkpointed(by_block.mapInArrow(lambda b: evaluate(b, cut, below), f"block long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in [*PARTIAL, *CONTEXTS, *PENDING])))
+
+    def unpacked(columns: dict[str, type], names: str) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = [loosen(row[c], t) for c, t in columns.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), row["block"])), *map(pa.array, x)], ["block", *columns])
+
+        return partial.select("block", *columns).mapInArrow(rows, f"block long, {names}")
+
+    sums = unpacked(CONTEXTS, "v long, kept double, mass double, cv double").groupBy("v").agg(F.sum("kept").alias("kept"), F.sum("mass").alias("mass"), F.max("cv").alias("cv"))
     # a context whose pairs are all too frequent for a discount gets half a count for what it has not seen
-    contexts = contexts.select("v", (F.col("cv") + F.when(F.col("kept") >= F.col("cv"), 0.5).otherwise(0.0)).alias("cv"), "kept", "seen")
+    room = sums.withColumn("room", F.col("cv") + F.when(F.col("kept") >= F.col("cv"), 0.5).otherwise(0.0))
     # exactly what the pairs leave over what the unigrams leave; unigrams keep half a count for unknown words, so this is above zero
-    contexts = contexts.select("v", "cv", ((1 - F.col("kept") / F.col("cv")) / F.greatest(1 - F.col("seen"), F.lit(0.5 / below))).alias("alpha"))
-    word_facts = words.join(uni, "key", "left").join(contexts.withColumnRenamed("v", "key"), "key", "left").select("block", F.lit(0).alias("kind"), "key", F.coalesce("c", F.lit(0)).cast("double").alias("x"), F.coalesce("cv", F.lit(0)).cast("double").alias("y"), F.coalesce("alpha", F.lit(1.0)).alias("z"))
-    starts = contexts.where(F.col("v") == int(START.astype(np.int64))).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(2).alias("kind"), F.col("v").alias("key"), F.lit(0.0).alias("x"), F.col("cv").cast("double").alias("y"), F.col("alpha").alias("z"))
-    pair_facts = pairs.select("block", "key").join(bi.select("key", discounted.alias("x")), "key").select("block", F.lit(1).alias("kind"), "key", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    texts = dealt.select("block", F.lit(3).alias("kind"), "id", "text")
-    none = F.lit(None)
-    facts = word_facts.unionByName(starts).unionByName(pair_facts).select("block", "kind", "key", "x", "y", "z", none.cast(kind).alias("id"), none.cast("string").alias("text"))
-    both = facts.unionByName(texts.select("block", "kind", none.cast("long").alias("key"), none.cast("double").alias("x"), none.cast("double").alias("y"), none.cast("double").alias("z"), "id", "text"))
-    grouped = both.repartition(blocks, "block").sortWithinPartitions("block", "kind", "key")
-
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tables, ready = None, {}, None
-        for batch in batches:
-            b, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1]), [True]]))
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b[lo] != block:
-                    block, tables, ready = b[lo], {0: [], 1: [], 2: []}, None
-                part = batch.slice(lo, hi - lo)
-                if k[lo] < 3:
-                    tables[int(k[lo])].append([part.column(i).to_numpy() for i in (2, 3, 4, 5)])
-                    continue
-                if ready is None:
-                    ready = {n: [np.concatenate(c) for c in zip(*rows, strict=True)] for n, rows in tables.items() if rows}
-                yield _evaluate(part, ready, total, kinds, below)
-
-    schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return grouped.mapInArrow(evaluate, schema).withColumnRenamed("id", id_col)
-
-
-def _evaluate(part: pa.RecordBatch, tables: dict, total: int, kinds: int, below: float) -> pa.RecordBatch:
-    """Scores of the texts of a block from the facts that it asked for, which are sorted by key."""
-    raws = raw_texts(part.column(7))
-    each = [tokens_of(r) for r in raws]
-    ends = np.cumsum([len(t) for t in each])
-    t = np.concatenate(each)
-    key = np.concatenate([pair_keys(x) for x in each])
-    first = np.concatenate([[0], ends[:-1]])
-    words, c, cv, alpha = tables[0]
-    at = np.searchsorted(words, t.view(np.int64))
-    count = c[at]
-    base = np.log10((count + 0.5) / below)
-    start_cv, start_alpha = (tables[2][2][0], tables[2][3][0]) if 2 in tables else (0.0, 1.0)
-    context, weight = np.concatenate([[0.0], cv[at][:-1]]), np.concatenate([[1.0], alpha[at][:-1]])
-    context[first], weight[first] = start_cv, start_alpha
-    katz = np.log10(weight) + base
-    if 1 in tables:
-        pairs, kept = tables[1][0], tables[1][1]
-        where = np.minimum(np.searchsorted(pairs, key.view(np.int64)), len(pairs) - 1)
-        seen = (pairs[where] == key.view(np.int64)) & (context > 0)
-        katz[seen] = np.log10(kept[where[seen]] / context[seen])
+    alpha = (1 - F.col("kept") / F.col("room")) / F.greatest(1 - F.col("mass"), F.lit(0.5 / below))
+    contexts = room.select("v", F.log10(alpha).alias("unseen"), F.log10(F.col("cv") / F.col("room")).alias("seen"))
+    weights = unpacked({"waiting": np.int64}, "v long").join(contexts, "v")
+    weights = weights.select("block", F.lit(0).alias("kind"), "v", "unseen", "seen", null(f"array<{kind}>").alias("ids"), *[null("binary").alias(c) for c in [*PARTIAL, *list(PENDING)]])
+    rest = partial.select("block", F.lit(1).alias("kind"), null("long").alias("v"), null("double").alias("unseen"), null("double").alias("seen"), "ids", *PARTIAL, *PENDING)
+    last = weights.unionByName(rest).repartition(blocks, "block").sortWithinPartitions("block", "kind", "v")
+    return last.mapInArrow(lambda b: finish(b, total), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+
+
+#: Packed columns of a block: by document; sums by context that it owns pairs of; tokens that wait for the weight of their context.
+PARTIAL = {"tokens": np.int64, "known": np.int64, "base": np.float64, "katz": np.float64}
+CONTEXTS = {"v": np.int64, "kept": np.float64, "mass": np.float64, "cv": np.float64}
+PENDING = {"waiting": np.int64, "doc": np.uint32, "context": np.uint32, "found": np.uint8}
+
+
+def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of BLOCK_CHARS or a task's rest: ids, distinct words (frequent ones first), sizes of documents, and their tokens as places among the words."""
+    task, made = TaskContext.get().partitionId(), 0
+    ids, tokens, train, size, id_type = [], [], [], 0, None
+
+    def block() -> pa.RecordBatch:
+        t, sizes = np.concatenate(tokens), np.array([len(x) for x in tokens], dtype=np.uint32)
+        words, local, n = np.unique(t, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(words), dtype=np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        row = {"block": (task << 32) + made, "n_words": len(words), "n_pairs": len(np.unique(pair_keys(before(t, sizes), t))), "ids": ids, "words": squeeze(words[order]), "sizes": squeeze(sizes), "train": squeeze(np.array(train, dtype=np.uint8)), "tokens": squeeze(place[local])}
+        return table_of([row], pa.schema([*((c, pa.int64()) for c in ("block", "n_words", "n_pairs")), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("words", "sizes", "train", "tokens"))]))
+
+    for batch in batches:
+        id_type = batch.column(0).type
+        for i, raw, learn in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            ids.append(i)
+            tokens.append(tokens_of(raw))
+            train.append(learn)
+            size += len(raw or b"")
+            if size >= BLOCK_CHARS:
+                yield block()
+                ids, tokens, train, size, made = [], [], [], 0, made + 1
+    if ids:
+        yield block()
+
+
+def before(t: np.ndarray, sizes: np.ndarray, start: np.uint64 = START) -> np.ndarray:
+    """What precedes each token in its document."""
+    out = np.concatenate([t[:1], t[:-1]])
+    out[np.cumsum(sizes, dtype=np.int64) - sizes] = start
+    return out
+
+
+def keys_of(batches: Iterator[pa.RecordBatch], parts: list[int]) -> Iterator[pa.RecordBatch]:
+    """The distinct words (kind 0) and pairs (kind 1) of each block in ascending order, cut by ranges into parts, and how often its training documents hold them."""
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+    for batch in batches:
+        for row in batch.to_pylist():
+            t, sizes = loosen(row["words"], np.uint64)[loosen(row["tokens"], np.uint32)], loosen(row["sizes"], np.uint32)
+            learnt = np.repeat(loosen(row["train"], np.uint8), sizes)
+            for kind, x in enumerate((t, pair_keys(before(t, sizes), t))):
+                keys, inverse = np.unique(x, return_inverse=True)
+                n = np.bincount(inverse, weights=learnt).astype(np.uint32)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts[kind])) >> np.uint64(32)
+                edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    yield table_of([{"kind": kind, "part": int(part[lo]), "block": row["block"], "keys": squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), "n": squeeze(n[lo:hi])}], schema)
+
+
+def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word or pair that a block asked for, in its order: twice the count over all training documents, plus one in the one block that owns it.
+
+    Once for each part, seen: how many have each count up to K + 1, and more; total: the sum of all counts."""
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("answer", pa.binary()), ("seen", pa.list_(pa.int64())), ("total", pa.int64())])
+    for rows in groups_of(batches, ["kind", "part"]):
+        each = [np.cumsum(loosen(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        n = np.concatenate([loosen(r["n"], np.uint32) for r in rows]).astype(np.int64)
+        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.bincount(inverse, weights=n).astype(np.int64)
+        holds = np.flatnonzero(n)
+        owner = np.zeros(len(n), dtype=np.uint64)
+        owner[holds[np.unique(inverse[holds], return_index=True)[1]]] = 1
+        answer = counts[inverse].astype(np.uint64) * np.uint64(2) + owner
+        seen, at = np.bincount(np.minimum(counts, K + 2), minlength=K + 3).tolist(), 0
+        for r, keys in zip(rows, each, strict=True):
+            once = {} if at else {"seen": seen, "total": int(n.sum())}
+            yield table_of([{"kind": r["kind"], "part": r["part"], "block": r["block"], "answer": squeeze(answer[at : at + len(keys)]), **once}], schema)
+            at += len(keys)
+
+
+def evaluate(batches: Iterator[pa.RecordBatch], cut: np.ndarray, below: float) -> Iterator[pa.RecordBatch]:
+    """Scores a block's documents from the counts of its words and pairs, but for the weights of contexts; sums up what those depend on."""
+    names, told, current = [*PARTIAL, *CONTEXTS, *PENDING], ([], []), None
+    for batch in batches:
+        for i, (block, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if block != current:
+                current, told = block, ([], [])
+            if kind < 2:
+                told[kind].append(loosen(batch.column(3)[i].as_py(), np.uint64))
+                continue
+            row, ids = batch.slice(i, 1).to_pylist()[0], batch.schema.field("ids").type
+            got = _evaluate(row, np.concatenate(told[0]), np.concatenate(told[1]), cut, below)
+            yield table_of([{"block": block, "ids": row["ids"], **dict(zip(names, got, strict=True))}], pa.schema([("block", pa.int64()), ("ids", ids), *((c, pa.binary()) for c in names)]))
+
+
+def _evaluate(row: dict, counts: np.ndarray, answer: np.ndarray, cut: np.ndarray, below: float) -> list[bytes]:
+    words, local, sizes = np.append(loosen(row["words"], np.uint64), START), loosen(row["tokens"], np.uint32), loosen(row["sizes"], np.uint32)
+    start, first = len(words) - 1, np.cumsum(sizes, dtype=np.int64) - sizes
+    c = np.zeros(len(words))
+    c[np.argsort(words[:start])] = counts >> np.uint64(1)
+    c[start] = c[np.flatnonzero(words == END)[0]]  # a text begins as often as it ends
+    prior = before(local, sizes, np.uint32(start))
+    base = np.log10((c[local] + 0.5) / below)
+    keys, at, inverse = np.unique(pair_keys(words[prior], words[local]), return_index=True, return_inverse=True)
+    if len(keys) != len(answer):
+        raise ValueError("a block's pairs and their answers differ")
+    r, own, v, w = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool), prior[at], local[at]
+    worth = np.where(r <= K, cut[np.minimum(r, K)] * r, r)
+    over = lambda x, weights=None: np.bincount(x, weights=weights, minlength=len(words))
+    kept, mass, owns = over(v[own], worth[own]), over(v[own], (c[w[own]] + 0.5) / below), over(v[own]) > 0
+    discounted = over(v[(r > 0) & (r <= K)]) > 0  # such a context leaves something over
+    seen = r[inverse] > 0
+    katz = base.copy()
+    katz[seen] = np.log10(worth[inverse[seen]] / c[prior[seen]])
+    wait = np.flatnonzero((c[prior] > 0) & (~seen | ~discounted[prior]))
+    waiting, context = np.unique(prior[wait], return_inverse=True)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[wait]
     add = lambda x: np.add.reduceat(x, first)
-    longs = lambda x: pa.array(np.asarray(x, dtype=np.int64))
-    return pa.RecordBatch.from_arrays([part.column(6), longs(ends - first), longs(add((count > 0).astype(np.int64))), longs(np.full(len(ends), total)), pa.array(add(base)), pa.array(add(katz))], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    signed = words.view(np.int64)
+    out = [sizes.astype(np.int64), add((c[local] > 0).astype(np.int64)), add(base), add(katz), signed[owns], kept[owns], mass[owns], c[owns], signed[waiting], doc, context.astype(np.uint32), seen[wait].astype(np.uint8)]
+    return [squeeze(np.ascontiguousarray(x)) for x in out]
+
+
+def finish(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    """Adds the weights of contexts to the scores of the documents that wait for them."""
+    facts, current = [], None
+    for batch in batches:
+        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if block[lo] != current:
+                current, facts = block[lo], []
+            rows = batch.slice(lo, hi - lo)
+            if kind[lo] == 0:
+                facts.append([rows.column(i).to_numpy() for i in (2, 3, 4)])
+                continue
+            row = rows.slice(0, 1).to_pylist()[0]
+            x = {c: loosen(row[c], t) for c, t in {**PARTIAL, **PENDING}.items()}
+            katz = x["katz"]
+            if len(x["doc"]):
+                v, unseen, seen = (np.concatenate(y) for y in zip(*facts, strict=True))
+                at = np.searchsorted(v, x["waiting"])[x["context"]]
+                katz = katz + np.bincount(x["doc"], weights=np.where(x["found"] == 1, seen[at], unseen[at]), minlength=len(katz))
+            ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(x["tokens"]), pa.array(x["known"]), pa.array(np.full(len(katz), total)), pa.array(x["base"]), pa.array(katz)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
