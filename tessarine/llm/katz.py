@@ -13,6 +13,7 @@ the unigram's; weights come last, as they need the sums of all blocks.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, raw_texts, word_hashes
+from .common import checkpointed, drop_folder, mix, raw_texts, shared_folder, word_hashes
 
 #: Pairs seen more often than this are not discounted. Bytes of text that fill a block; words or pairs of all blocks in a part of their table.
 K, BLOCK_CHARS, PART_KEYS = 5, 24_000_000, 2_500_000
@@ -90,12 +91,19 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    packed = checkpointed(d.mapInArrow(pack_blocks, f"block long, n_words long, n_pairs long, ids array<{kind}>, words binary, sizes binary, train binary, tokens binary"))
+    # both tables go as soon as the blocks are scored
+    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/katz-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    packed = written(d.mapInArrow(pack_blocks, f"block long, n_words long, n_pairs long, ids array<{kind}>, words binary, sizes binary, train binary, tokens binary"), "blocks")
     blocks, *asked = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_pairs")]).first()
     blocks, parts = max(1, blocks), [max(1, math.ceil(n / PART_KEYS)) for n in asked]
 
     keys = packed.select("block", "words", "sizes", "train", "tokens").mapInArrow(lambda b: keys_of(b, parts), "kind int, part long, block long, keys binary, n binary")
-    answers = checkpointed(keys.repartition(sum(parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(count_keys, "kind int, part long, block long, answer binary, seen array<long>, total long"))
+    answers = written(keys.repartition(sum(parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(count_keys, "kind int, part long, block long, answer binary, seen array<long>, total long"), "counts")
     of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in answers.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # two rows
     total, _, *of_words = of_kind.get(0, [0, 0])
     kinds = sum(of_words)  # words that training documents hold
@@ -107,6 +115,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     texts = packed.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), null("binary").alias("answer"), "ids", "words", "sizes", "tokens")
     by_block = told.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind", "at")
     partial = checkpointed(by_block.mapInArrow(lambda b: evaluate(b, cut, below), f"block long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in [*PARTIAL, *CONTEXTS, *PENDING])))
+    drop_folder(spark, folder)
 
     def unpacked(columns: dict[str, type], names: str) -> DataFrame:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
