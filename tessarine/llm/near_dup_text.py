@@ -3,7 +3,9 @@
 Shingles have one global order, rare ones first, by counts over all documents in a table of fixed size. Two sets that are similar enough
 share at least l of the first |x| - ceil(t|x|) + l shingles of each, for every l. Each document picks its own l: a longer prefix costs
 more rows, but a partner must then share more of them before it is verified, so a document whose prefix meets crowded shingles lengthens
-it. For a pair the smaller l of the two counts, over the shingles that lie in both prefixes of that l.
+it. For a pair the smaller l of the two counts. Its sizes give the intersection o that it needs, so its prefixes are shorter than those
+stored: of the first |x| - o + l and |y| - o + l shingles at least l are shared. A row of a list keeps its place in the document's order, and
+rows past these lengths, or with too few shingles left behind them, make no pair.
 
 Only connected classes are asked for, so links inside a class need no proof. Each posting list first links its members to its head and to
 their neighbours; what is verified joins classes. Then only lists that still hold several classes give pairs, between different classes.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -81,7 +83,7 @@ def choose_matches(cost: np.ndarray, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataFrame:
-    """id, n, matches (its l), crowd (how many partners its prefix may have, by the counts), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
+    """id, n, matches (its l), crowd (0 to 31, by how many partners its prefix may have; it only orders lists), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32))  # 4 * CELLS bytes
     usual = float(np.median(table))
     kind = docs.schema["id"].dataType.simpleString()
@@ -97,6 +99,8 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
                 n = len(s)
                 ns.append(n)
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+                if n >> 28:
+                    raise ValueError(f"a text of {n} distinct shingles: rows of lists have 28 bits for their number")
                 if not n:
                     ls.append(1)
                     crowds.append(0)
@@ -107,7 +111,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
                 cost = np.maximum(c[at] - usual, 0.0)
                 matches = choose_matches(cost, n)
                 ls.append(matches)
-                crowds.append(int(min(65535.0, 16 * cost[: base_prefix(n)].mean())))
+                crowds.append(min(31, int(2 * np.log2(1 + cost[: base_prefix(n)].mean()))))
                 out.append(s[at[: base_prefix(n) + matches - 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "matches", "crowd", "sig", "prefix"])
 
@@ -135,6 +139,41 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return both.mapInArrow(compare, "a long, b long")
 
 
+def packed() -> Column:
+    """A row of a list in 63 bits: n (28), pos (27, the place in the document's order), crowd (5), matches - 1 (3)."""
+    return F.shiftleft("n", 35).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 8)).bitwiseOR(F.shiftleft(F.col("crowd").cast("long"), 3)).bitwiseOR(F.col("matches").cast("long") - 1)
+
+
+def _fields(row: str) -> tuple[Column, Column, Column]:
+    """n, pos and matches of a packed row."""
+    return F.shiftright(row, 35), F.shiftright(row, 8).bitwiseAND((1 << 27) - 1), F.col(row).bitwiseAND(7) + 1
+
+
+def _needed(n: Column, n2: Column, num: int, den: int) -> Column:
+    """The least intersection of two sets that are similar enough: ceil((n + n2) num / (num + den))."""
+    whole = (n + n2) * num + (num + den - 1)
+    return (whole - whole % (num + den)) / (num + den)
+
+
+def alike(num: int, den: int) -> Column:
+    """Whether sets of these sizes that share the shingle at these places can be similar enough: it, those before it and those after it."""
+    (n, pos, _), (n2, pos2, _) = _fields("packed"), _fields("packed2")
+    return (F.least(n, n2) * den >= F.greatest(n, n2) * num) & (F.least(pos, pos2) + F.least(n - pos, n2 - pos2) >= _needed(n, n2, num, den))
+
+
+def in_prefixes(num: int, den: int) -> Column:
+    """Whether the shingle lies in the prefixes of which this pair has to share as many as the smaller l."""
+    (n, pos, l), (n2, pos2, l2) = _fields("packed"), _fields("packed2")
+    return F.greatest(pos - n, pos2 - n2) + _needed(n, n2, num, den) < F.least(l, l2)
+
+
+def candidates(near: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
+    """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet as often as the smaller l of the two, or most times."""
+    need = F.least(_fields("packed")[2], _fields("packed2")[2], F.lit(most))
+    p = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), need.cast("int").alias("need"))
+    return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach, the own id without links) for each row of docs.
 
@@ -152,10 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = own.select("id", "sig", "n").join(heads, ["sig", "n"]).select("id", "rep", "n")
     copies = members.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int")
-    rows = made.where("id is not null and n > 0").select("id", "n", "matches", "crowd", F.posexplode("prefix").alias("pos", "shingle")).select(
-        "shingle", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("crowd").cast("long"), 16)).bitwiseOR(F.shiftleft(level, 8).cast("long")).bitwiseOR(F.col("matches").cast("long")).alias("packed"))
-    crowd = F.shiftright("packed", 16).bitwiseAND(65535)
+    rows = made.where("id is not null and n > 0").select("id", "n", "matches", "crowd", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "id", packed().alias("packed"))
+    crowd = F.shiftright("packed", 3).bitwiseAND(31)
     by_list = W.Window.partitionBy("shingle").orderBy(crowd.desc(), "packed", "id")
     whole = by_list.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     lists = rows.withColumn("of", F.count(F.lit(1)).over(whole)).withColumn("place", F.row_number().over(by_list))
@@ -165,14 +202,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists.select("shingle", "id", "packed", "part").write.parquet(folder)
     lists = docs.sparkSession.read.parquet(folder)
 
-    def candidates(near: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
-        """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet in some lists and are of like size."""
-        a = [F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(255).alias("v"), F.col("packed").bitwiseAND(255).alias("l")]
-        b = [F.shiftright("packed2", 32).alias("n2"), F.shiftright("packed2", 8).bitwiseAND(255).alias("v2"), F.col("packed2").bitwiseAND(255).alias("l2")]
-        p = near.select("id", "id2", *a, *b).where((F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.greatest("v", "v2") <= F.least("l", "l2")))
-        p = p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2", F.lit(most)).alias("need"))
-        return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-
     # members against the head of their list, and against the one before
     in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
     heads_of = lists.withColumn("head", F.first(F.struct("id", "packed")).over(in_part)).withColumn("before", F.lag(F.struct("id", "packed")).over(in_part))
@@ -184,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(rep_a, "a").join(rep_b, "b").where("ra != rb")
         return p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = checkpointed(verified(between_reps(candidates(star, STAR_MATCHES)), texts, words, num, den).unionByName(copies))
+    first = checkpointed(verified(between_reps(candidates(star.where(alike(num, den)), STAR_MATCHES)), texts, words, num, den).unionByName(copies))
     classes = checkpointed(components(first))
     # lists of several classes: pairs between different ones, of one document for each set
     kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
@@ -192,9 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = named.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
     mixed = named.join(spans, "shingle")
     x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "packed", "class")]).alias("y")
-    n, n2 = F.shiftright("packed", 32), F.shiftright("packed2", 32)
-    fits = (F.col("class") < F.col("class2")) & (F.least(n, n2) * den >= F.greatest(n, n2) * num)
-    across = candidates(x.join(y, "shingle").where(fits).select("id", "packed", "id2", "packed2"))
+    meets = (F.col("class") < F.col("class2")) & alike(num, den) & in_prefixes(num, den)
+    across = candidates(x.join(y, "shingle").where(meets).select("id", "packed", "id2", "packed2"))
     second = checkpointed(verified(across, texts, words, num, den))
     drop_folder(docs.sparkSession, folder)
     # links between classes of the first round, then the classes of classes
