@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -119,6 +120,12 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once no object refers to their plans; between steps that write much, that is looked for at once."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder, its lineage cut; the session's cleaner drops the files once nothing refers to them."""
     shared_folder(df.sparkSession)

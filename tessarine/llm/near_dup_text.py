@@ -7,6 +7,9 @@ it. For a pair the smaller l of the two counts. Its sizes give the intersection
 stored: of the first |x| - o + l and |y| - o + l shingles at least l are shared. A row of a list keeps its place in the document's order, and
 rows past these lengths, or with too few shingles left behind them, make no pair.
 
+Sets of some hundred shingles are also held against each other by 256 bits of parity (Sandes et al., the bitmap filter): shingles that one
+set has alone flip at most one bit each, so bits that differ bound the intersection from above and no link is lost.
+
 Only connected classes are asked for, so links inside a class need no proof. Each posting list first links its members to its head and to
 their neighbours; what is verified joins classes. Then only lists that still hold several classes give pairs, between different classes.
 Verification compares whole shingle sets.
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, components, drop_folder, raw_texts, shared_folder, shingle_set
+from .common import checkpointed, components, drop_folder, let_go, raw_texts, shared_folder, shingle_set
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
@@ -33,6 +36,9 @@ CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 8
 VERIFY_COST, LIST_ROWS = 40.0, 20_000
 #: Lists in which a document and its head or neighbour have to meet in the first round, which need not find all.
 STAR_MATCHES = 3
+#: Bits of parity of a set, and their columns.
+BITS = 256
+PARITY = [f"p{k}" for k in range(BITS // 64)]
 
 
 def cell_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -83,7 +89,7 @@ def choose_matches(cost: np.ndarray, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataFrame:
-    """id, n, matches (its l), crowd (0 to 31, by how many partners its prefix may have; it only orders lists), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
+    """id, n, parity (p0 to p3: by cells of the hash, whether an odd number of shingles falls there), matches (its l), crowd (0 to 31, by how many partners its prefix may have; it only orders lists), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32))  # 4 * CELLS bytes
     usual = float(np.median(table))
     kind = docs.schema["id"].dataType.simpleString()
@@ -94,9 +100,11 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
         counts = sent.value
         for batch in batches:
             ns, ls, crowds, sigs, out = [], [], [], [], []
-            for t in raw_texts(batch.column(1)):
+            parity = np.zeros((batch.num_rows, BITS // 64), dtype=np.int64)
+            for k, t in enumerate(raw_texts(batch.column(1))):
                 s = shingle_set(t, words)
                 n = len(s)
+                parity[k] = np.packbits((np.bincount((s >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(bool)).view(np.int64)
                 ns.append(n)
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 if n >> 28:
@@ -113,9 +121,9 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
                 ls.append(matches)
                 crowds.append(min(31, int(2 * np.log2(1 + cost[: base_prefix(n)].mean()))))
                 out.append(s[at[: base_prefix(n) + matches - 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "matches", "crowd", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *[pa.array(p) for p in parity.T], pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", *PARITY, "matches", "crowd", "sig", "prefix"])
 
-    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, matches int, crowd int, sig binary, prefix array<long>")
+    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, {', '.join(f'{c} long' for c in PARITY)}, matches int, crowd int, sig binary, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -167,6 +175,13 @@ def in_prefixes(num: int, den: int) -> Column:
     return F.greatest(pos - n, pos2 - n2) + _needed(n, n2, num, den) < F.least(l, l2)
 
 
+def parity_allows(num: int, den: int) -> Column:
+    """Whether the bits of two sets leave room for the intersection that they need."""
+    n, n2 = _fields("packed")[0], _fields("packed2")[0]
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in PARITY), F.lit(0))
+    return n + n2 - apart >= 2 * _needed(n, n2, num, den)
+
+
 def candidates(near: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
     """Pairs of near (id, packed, id2, packed2), one row for each shared shingle, that meet as often as the smaller l of the two, or most times."""
     need = F.least(_fields("packed")[2], _fields("packed2")[2], F.lit(most))
@@ -184,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = prefixes(d, cell_counts(d, "text", words), "text", words)
-    sets = checkpointed(made.select("id", "n", "sig"))  # prefixes are made again where they are used: they are too large to keep
+    sets = checkpointed(made.select("id", "n", "sig", *PARITY))  # prefixes are made again where they are used: they are too large to keep
     own = sets.where("id is not null and n > 0")
     # documents of one set: its smallest id stands for them
     heads = own.groupBy("sig", "n").agg(F.min("id").alias("rep"))
@@ -201,6 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = f"{shared_folder(docs.sparkSession)}/lists-{uuid.uuid4().hex}"
     lists.select("shingle", "id", "packed", "part").write.parquet(folder)
     lists = docs.sparkSession.read.parquet(folder)
+    let_go(docs.sparkSession)
 
     # members against the head of their list, and against the one before
     in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
@@ -214,14 +230,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     first = checkpointed(verified(between_reps(candidates(star.where(alike(num, den)), STAR_MATCHES)), texts, words, num, den).unionByName(copies))
+    let_go(docs.sparkSession)
     classes = checkpointed(components(first))
+    let_go(docs.sparkSession)
     # lists of several classes: pairs between different ones, of one document for each set
     kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
     named = lists.join(kin, "id").select("shingle", "id", "packed", "class")
     spans = named.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("shingle")
-    mixed = named.join(spans, "shingle")
-    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "packed", "class")]).alias("y")
-    meets = (F.col("class") < F.col("class2")) & alike(num, den) & in_prefixes(num, den)
+    bits = own.groupBy("id").agg(*[F.first(c).alias(c) for c in PARITY], F.count(F.lit(1)).alias("of"))
+    # an id with several rows has no bits of its own: it is compared with all
+    mixed = named.join(spans, "shingle").join(bits, "id")
+    x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "packed", "class", "of", *PARITY)]).alias("y")
+    meets = (F.col("class") < F.col("class2")) & alike(num, den) & in_prefixes(num, den) & (parity_allows(num, den) | (F.greatest("of", "of2") > 1))
     across = candidates(x.join(y, "shingle").where(meets).select("id", "packed", "id2", "packed2"))
     second = checkpointed(verified(across, texts, words, num, den))
     drop_folder(docs.sparkSession, folder)
