@@ -2,8 +2,8 @@
 
 Vectors are projected on many random lines. A pair at the threshold is close on a line with a known chance, so a pair that is close on too
 few of the lines can be left out: the count is calibrated for a wanted recall. Pairs meet in tables: each cuts several other lines into
-cells, joins the vectors of one cell, and sorts them along the first counted line, so that a vector looks only at those within its window
-there. Lines per table grow with the logarithm of the number of vectors, so that cells hold a few unrelated vectors at any size. Pairs
+cells, joins the vectors of one cell, and sorts them along a line of its own, so that a vector looks only at those within its window
+there; the tables make up for the pairs that a window misses. Lines per table grow with the logarithm of the number of vectors, so that cells hold a few unrelated vectors at any size. Pairs
 that pass the count are verified by their exact cosine.
 """
 
@@ -40,7 +40,8 @@ def calibrate(n: int, cosine: float = COSINE) -> tuple[float, int, int, int]:
         return 1 - 2 * phi(-r) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
     lines = max(1, math.ceil(math.log(max(2, n) / 2) / -math.log(same_cell(math.sqrt(2)))))
-    tables = math.ceil(math.log(MISS_TABLES) / math.log(1 - same_cell(near) ** lines))
+    # a table finds a pair that shares its cell and is close along the line that sorts it
+    tables = math.ceil(math.log(MISS_TABLES) / math.log(1 - close * same_cell(near) ** lines))
     return near, least, lines, tables
 
 
@@ -67,32 +68,31 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     half = HALF_WINDOW * near
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        lines: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in lines:
                     rng = np.random.default_rng(1000 + dim)
-                    lines[dim] = rng.standard_normal((dim, LINES)), rng.standard_normal((dim, tables * per_table)), rng.random(tables * per_table)
-                counted, cut, shift = lines[dim]
+                    lines[dim] = rng.standard_normal((dim, LINES)), rng.standard_normal((dim, tables * per_table)), rng.random(tables * per_table), rng.standard_normal((dim, tables))
+                counted, cut, shift, sorting = lines[dim]
                 for at in range(0, len(part), 2000):
                     some = part.slice(at, 2000)
                     x = _matrix(some.column(1))
                     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    p = (x @ counted).astype(np.float32)
+                    p, first = (x @ counted).astype(np.float32), x @ sorting
                     cells = np.floor(x @ cut / (CELL * near) + shift).astype(np.int64).astype(np.uint64).reshape(len(x), tables, per_table)
                     key = np.full((len(x), tables), dim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     for k in range(per_table):
                         key = (key ^ cells[:, :, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
                         key ^= key >> np.uint64(29)
-                    codes = (key >> np.uint64(40)).astype(np.uint16)
-                    sketch = np.array([a.tobytes() + b.tobytes() for a, b in zip(p, codes, strict=True)], dtype=object)
+                    sketch = np.array([a.tobytes() for a in p], dtype=object)
                     ids = some.column(0).to_numpy()
                     for t in range(tables):
                         mixed = ((key[:, t] + np.uint64(t)) * np.uint64(0xFF51AFD7ED558CCD)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(ids), pa.array(p[:, 0].astype(np.float64)), pa.array(sketch, pa.binary())], ["cell", "tab", "id", "first", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(ids), pa.array(np.ascontiguousarray(first[:, t])), pa.array(sketch, pa.binary())], ["cell", "tab", "id", "first", "sketch"])
 
     placed = reps.select("rep", "v", "dim").mapInArrow(place, "cell long, tab int, id long, first double, sketch binary")
     crowded = placed.groupBy("cell", "tab").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -105,9 +105,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     grouped = rows.repartition(parts, "cell", "tab", "low", "high").sortWithinPartitions("cell", "tab", "low", "high", "first", "id")
 
     def pairs(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows of the same group within half a window along the first line that pass the count, each in the first table where it meets."""
-        g, ids, first, block, cross, tab = (group[k] for k in ("g", "id", "first", "block", "cross", "tab"))
-        lines, codes = group["lines"], group["codes"]
+        """Pairs of rows of the same group within half a window along its table's line that pass the count; a pair comes from each table where it meets."""
+        g, ids, first, block, cross, lines = (group[k] for k in ("g", "id", "first", "block", "cross", "lines"))
         a_out, b_out = [], []
         i, lag = np.arange(len(g)), 1
         while len(i):
@@ -121,9 +120,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 pass_ = (np.abs(lines[a] - lines[b]) <= half).sum(axis=1) >= least
                 a, b = a[pass_], b[pass_]
                 if len(a):
-                    earlier = np.argmax(codes[a] == codes[b], axis=1) == tab[a]
-                    a_out.append(ids[a[earlier]])
-                    b_out.append(ids[b[earlier]])
+                    a_out.append(ids[a])
+                    b_out.append(ids[b])
             lag += 1
         none = np.empty(0, dtype=np.int64)
         return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
@@ -135,10 +133,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             col = lambda k: table.column(k).to_numpy()
             keys = np.stack([col("cell"), col("tab").astype(np.int64), col("low").astype(np.int64), col("high").astype(np.int64)])
             g = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if table.num_rows else np.empty(0)
-            raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, LINES * 4 + tables * 2)
-            lines = np.ascontiguousarray(raw[:, : LINES * 4]).view(np.float32)
-            codes = np.ascontiguousarray(raw[:, LINES * 4 :]).view(np.uint16)
-            a, b = pairs({"g": g, "id": col("id"), "first": col("first"), "block": col("block"), "cross": col("low") != col("high"), "tab": col("tab"), "lines": lines, "codes": codes})
+            lines = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.float32).reshape(table.num_rows, LINES)
+            a, b = pairs({"g": g, "id": col("id"), "first": col("first"), "block": col("block"), "cross": col("low") != col("high"), "lines": lines})
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:

@@ -118,6 +118,25 @@ def test_vectors(spark):
     assert near_dup_vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    """Pairs by bands of cosine: those near 0.95 are found as well as closer ones."""
+    rng = np.random.default_rng(7)
+    bands, each, dim = (0.9505, 0.955, 0.965, 0.975), 1500, 48
+    rows, n = [], 0
+    for c in bands:
+        x, y = rng.standard_normal((2, each, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = c * x + (1 - c * c) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+        for pair in zip(x, y, strict=True):
+            rows += [(n + k, v.tolist()) for k, v in enumerate(pair)]
+            n += 2
+    got = {r.vec_id: r.component_id for r in near_dup_vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k, c in enumerate(bands):
+        found = sum(got[i + 1] == got[i] for i in range(2 * each * k, 2 * each * (k + 1), 2))
+        assert found >= 0.99 * each, (c, found)
+
+
 def test_decontamination(docs, empty, spark):
     items = spark.createDataFrame([(1, words(4000, 3)[400:600], "q"), (2, None, "q"), (3, words(20, 99), "q"), (4, "two WORDS", "q"), (1, words(4000, 3)[400:600], "q")], "item_id long, text string, lang string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_contained(docs, items).collect())
