@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, katz, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter
-from .common import read
+from .common import read, shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,9 +52,11 @@ SHARDS = 16
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", sharding.size_of(F.col("text")).alias("size"), sharding.crc32_of(F.col("text")).alias("text_crc32"))
-    placed = sharding.shard(d, SHARDS, text_col="text_crc32")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """Whole documents are written to the shared folder in shards; the digests are those of the texts that are read there."""
+    docs = read(spark, sf_dir, "documents")
+    placed = sharding.write_shards(docs, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", SHARDS)
+    size, crc32 = sharding.size_of(F.col("text")), sharding.crc32_of(F.col("text"))
+    return placed.select("doc_id", size.alias("size"), crc32.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,37 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty, 3).count() == 0
 
 
+def test_write_shards(docs, empty, tmp_path):
+    """Whole rows are written, bucket after bucket, and long texts make more buckets."""
+    many = docs.unionByName(docs.where("doc_id = 4"))
+    got = sharding.write_shards(many, f"{tmp_path}/a", 3, bucket_bytes=2000)
+    rows = got.collect()
+    key = lambda r: tuple(str(r[c]) for c in docs.columns)
+    assert sorted(map(key, rows)) == sorted(map(key, many.collect()))
+    buckets = {}
+    for r in rows:
+        buckets.setdefault((r._shard, r.bucket), []).append(r.slot)
+    for s in {s for s, _ in buckets}:
+        assert [x for k in sorted(buckets) if k[0] == s for x in sorted(buckets[k])] == list(range(sum(r._shard == s for r in rows)))
+    long = next(r._shard for r in rows if r.doc_id == 9)
+    assert len(list(tmp_path.glob(f"a/_shard={long}/bucket=*"))) > 1  # by rows alone there would be one
+    for d in tmp_path.glob("a/*/*"):
+        assert len(list(d.glob("*.parquet"))) == 1
+    assert sharding.write_shards(empty, f"{tmp_path}/b", 3).count() == 0
+
+
+def test_op4_writes_whole_documents(spark, tmp_path):
+    from tessarine.llm.queries import op4_sharding
+
+    docs = [(i, t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op4_sharding(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in out.collect()) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+    folders = {f.rsplit("/", 3)[0] for f in out.inputFiles()}
+    assert len(folders) == 1 and "/documents.parquet" not in folders.pop()
+    assert {r.text for r in spark.read.parquet(*out.inputFiles()).collect()} == set(TEXTS)
+
+
 def test_near_duplicates(docs, empty, spark):
     got = {r.doc_id: r for r in near_dup_text.near_duplicates(docs).collect()}
     assert got[4].component_id == got[5].component_id == got[6].component_id == 4 and got[0].n_shingles == 0
