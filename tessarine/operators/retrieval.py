@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -10,7 +12,7 @@ from ..functions.text import document_codes, fold, lookup_terms, normalize_space
 
 #: Rank constant, weights of the vector and keyword lists, factor by which the vector side looks further than asked.
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, PROBE = 60, 1.0, 1.2, 4
-#: Queries that are sent to every task at once; more are answered in as many rounds as it takes.
+#: Queries that are sent to every task at once, on average; more are answered in as many rounds as it takes.
 QUERY_BLOCK = 1000
 
 
@@ -29,14 +31,20 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def each_with(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each row with each query; the queries go to all tasks, in blocks by the hash of their id."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(queries.where(block == k) if blocks > 1 else queries)) for k in range(blocks)])
+
+
 def vector_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, child_type, similarity: the k nearest points of each query, by cosine, ties by point.
 
     points: point_id, chunk_id, child_type, vector. queries: query_id, query_vector, a stated set that is counted before it is sent.
     """
     q = queries.select("query_id", "query_vector")
-    q = F.broadcast(q) if q.count() <= QUERY_BLOCK else q
-    scored = points.join(q).select("query_id", "point_id", "chunk_id", "child_type", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
+    scored = each_with(points, q).select("query_id", "point_id", "chunk_id", "child_type", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
     return ranked(scored, ["query_id"], [F.col("similarity").desc(), F.col("point_id")], k)
 
 
@@ -58,9 +66,8 @@ def keyword_score(terms: Column, codes: Column, blob: Column, chunk_codes: Colum
 def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score > 0. chunks: chunk_id, content (the blob), chunk_codes. queries: query_id, message."""
     q = queries.select("query_id", lookup_terms("message").alias("terms"), document_codes("message").alias("codes")).where((F.size("terms") > 0) | (F.size("codes") > 0))
-    q = F.broadcast(q) if q.count() <= QUERY_BLOCK else q
     folded = chunks.select("chunk_id", fold("content").alias("blob"), "chunk_codes")
-    return folded.join(q).select("query_id", "chunk_id", keyword_score(F.col("terms"), F.col("codes"), F.col("blob"), F.col("chunk_codes")).alias("score")).where("score > 0")
+    return each_with(folded, q).select("query_id", "chunk_id", keyword_score(F.col("terms"), F.col("codes"), F.col("blob"), F.col("chunk_codes")).alias("score")).where("score > 0")
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

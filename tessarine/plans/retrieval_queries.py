@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import document_codes
 from ..operators import retrieval as r
 from ..operators.embedding import hash_embed
 from . import tables as t
@@ -25,7 +26,7 @@ def asked(spark, d):
 
 
 def chunks(spark, d):
-    return t.docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.array().cast("array<string>").alias("chunk_codes"), F.col("source").alias("file_name"))
+    return t.docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), document_codes("text").alias("chunk_codes"), F.col("source").alias("file_name"))
 
 
 CTE = f"""q AS (SELECT item_id AS query_id, b.text AS message, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id < {QUERIES}),

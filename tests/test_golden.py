@@ -39,6 +39,27 @@ def test_keyword_score(spark):
     assert [tuple(r) for r in retrieval.keyword_scores(c, q).collect()] == [(1, 9, 15.0)]
 
 
+def test_chunks_have_their_codes(spark, tmp_path):
+    from tessarine.plans import retrieval_queries
+
+    spark.createDataFrame([(1, "see 123/QD-TT", "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = spark.createDataFrame([(1, "123/QD-TT")], "query_id int, message string")
+    assert [r.score for r in retrieval.keyword_scores(retrieval_queries.chunks(spark, str(tmp_path)), q).collect()] == [13.0]
+
+
+def test_queries_in_rounds(spark, monkeypatch):
+    """More queries than a block holds are broadcast block by block, with the answers of one block."""
+    p = spark.createDataFrame([(i, i, "a", [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "point_id int, chunk_id int, child_type string, vector array<double>")
+    c = spark.createDataFrame([(i, "word%d text" % (i % 9), []) for i in range(60)], "chunk_id int, content string, chunk_codes array<string>")
+    q = spark.createDataFrame([(i, "word%d" % i, [1.0, float(i), 2.0]) for i in range(10)], "query_id int, message string, query_vector array<double>")
+    ask = lambda: (retrieval.vector_topk(p, q, 5), retrieval.keyword_topk(c, q, 5))
+    want = [sorted(map(tuple, df.collect())) for df in ask()]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    for df, rows in zip(ask(), want, strict=True):
+        assert len(rows) and sorted(map(tuple, df.collect())) == rows
+        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rrf(spark):
     v = spark.createDataFrame([(1, 10, 1, "a"), (1, 20, 2, "b")], "query_id int, chunk_id int, rank int, child_type string")
     k = spark.createDataFrame([(1, 20, 1), (1, 30, 2)], "query_id int, chunk_id int, rank int")
