@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,9 @@ _BYTE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The white space that parts words: 0x20 and 0x09 to 0x0D.
 _IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a long text that are hashed at once.
+STRETCH = 4 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,12 +61,24 @@ def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def stretches(raw: bytes, size: int = STRETCH) -> Iterator[bytes]:
+    """A text in UTF-8 in parts of about size bytes that begin at white space."""
+    at = 0
+    while len(raw) - at > size:
+        space = _SPACE.search(raw, at + size)
+        if not space:
+            break
+        yield raw[at : space.start()]
+        at = space.start()
+    yield raw[at:] if at else raw
+
+
 def word_hashes(raw: bytes | None, lower: bool) -> np.ndarray:
-    """Hashes of a text's words in order, of A-Z in lower case if so wished; none for null or empty texts."""
+    """Hashes of a text's words in order, of A-Z in lower case if so wished; none for null or empty texts. A long text is hashed stretch by stretch."""
     if not raw:
         return np.empty(0, dtype=np.uint64)
-    raw = raw.lower() if lower else raw  # of bytes, only A-Z change
-    return span_hashes(raw, *word_spans(raw))
+    parts = [span_hashes(s, *word_spans(s)) for s in map(bytes.lower if lower else bytes, stretches(raw))]  # of bytes, only A-Z change
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -1,13 +1,14 @@
-"""Operator 9: language-model scoring with a Katz backoff bigram model.
+"""Operator 9: language-model scoring with a Katz backoff model of any order from 2 on, trigrams by default.
 
-Counts of words and word pairs are gathered over all training documents. Pairs seen up to K times are discounted by Good-Turing; what that
-takes from a context is given to the words not seen after it, by their unigram probability, with a weight per context that makes every
-context sum to one.
+Counts of n-grams are gathered over all training documents. N-grams seen up to K times are discounted by Good-Turing, each order by its own
+counts of counts. What that takes from a context is given to the words not seen after it, by the model of the next lower order, with a weight
+per context that makes every context sum to one; the lowest order are unigrams with half a count added. A text's n-grams are padded in front.
 
-Texts are read once and kept as blocks of packed tokens. The tables of words and of pairs are partitioned by ranges of hashes: a block
-sends each part its distinct keys with its own counts, packed, and gets their counts over all blocks back in the same order. One block owns each
-pair and adds it to the sums of its context. A seen pair has its discounted probability, an unseen one the weight of its context times
-the unigram's; weights come last, as they need the sums of all blocks.
+Texts are read once and kept as blocks of packed tokens; a long text goes over several blocks, each with the words before its own. The tables
+of n-grams and of contexts are partitioned by ranges of hashes. A block sends each part its distinct n-grams with its own counts, packed, and
+gets their counts over all blocks back in the same order. One block owns each n-gram and adds it to the sums of its context: discounted
+counts, and the discounted counts of the same words one order below. Blocks ask for the sums of the contexts that they need, and evaluate
+their tokens from the unigrams upwards.
 """
 
 from __future__ import annotations
@@ -25,27 +26,50 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, drop_folder, mix, raw_texts, shared_folder, word_hashes
 
-#: Pairs seen more often than this are not discounted. Bytes of text that fill a block; words or pairs of all blocks in a part of their table.
-K, BLOCK_CHARS, PART_KEYS = 5, 24_000_000, 2_500_000
-#: Hashes that stand for the end of a text, and for its beginning as a context.
+#: N-grams seen more often than this are not discounted. Words of the longest n-gram. Tokens of a block; n-grams of all blocks in a part of their table.
+K, ORDER, BLOCK_TOKENS, PART_KEYS = 5, 3, 1_500_000, 2_000_000
+#: Hashes that stand for the end of a text, and for what precedes its beginning.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Kinds of rows: counts of n-grams by their words less one, sums of contexts from CONTEXTS on, and the block itself after the answers to it.
+CONTEXTS, BLOCK = 50, 99
 
 
 def tokens_of(raw: bytes | None) -> np.ndarray:
     return np.concatenate([word_hashes(raw, lower=True), [END]])
 
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A hash of each token w with the one before it, v."""
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x632BE59BD9B4E019)))
+def longer(w: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of n-grams of k + 1 words, from those of their last k and the word in front."""
+    return mix(w * np.uint64(0x9E3779B97F4A7C15) ^ (key + np.uint64(0x632BE59BD9B4E019 * k % 2**64)))
 
 
-def discounts(of_counts: dict[int, int], k: int = K) -> np.ndarray:
-    """d[r] for r from 0 to k, of the numbers of pairs seen r times: Katz's form, so that the mass of unseen pairs is the Good-Turing estimate.
+def gram_keys(t: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For each order from 1 on, the hash of the n-gram that ends at each token; place: the token's place in its text."""
+    key = t
+    yield key
+    for k in range(1, order):
+        w = np.full(len(t), START)
+        w[k:] = np.where(place[k:] >= k, t[:-k], START)
+        key = longer(w, key, k)
+        yield key
+
+
+def padding_keys(order: int) -> list[np.uint64]:
+    """The hash of 1, 2, ... starts: the contexts of a first token."""
+    run = np.full(1, START)
+    out = [run]
+    for k in range(1, order - 1):
+        out.append(longer(run, out[-1], k))
+    return [x[0] for x in out]
+
+
+def discounts(of_counts: list[int], k: int = K) -> np.ndarray:
+    """d[r] for r from 0 to k, of the numbers of n-grams seen r times (from 0 on): Katz's form, so that the mass of unseen ones is the Good-Turing estimate.
 
     Where these numbers don't fall as they should (few data), d[r] is set to 1 - 1/(2r), which also lies between 0 and 1.
     """
-    n = [0.0, *[float(of_counts.get(r, 0)) for r in range(1, k + 2)]]
+    n = [0.0, *[float(x) for x in of_counts[1 : k + 2]]]
+    n += [0.0] * (k + 2 - len(n))
     d = np.ones(k + 1)
     far = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
@@ -55,9 +79,14 @@ def discounts(of_counts: dict[int, int], k: int = K) -> np.ndarray:
     return d
 
 
+def worth(r: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.where(r <= K, cut[np.minimum(r, K)] * r, r)
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """An array's bytes by place, compressed: high bytes of small numbers take no room."""
-    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def loosen(data: bytes, kind: type) -> np.ndarray:
@@ -65,6 +94,22 @@ def loosen(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes, by their distances."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def loosen_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(loosen(data, np.uint64), dtype=np.uint64)
+
+
+def ranges(keys: np.ndarray, parts: int) -> dict[int, slice]:
+    """Where the keys of each part are among ascending ones."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+    return {int(part[lo]): slice(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo}
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
     """Rows of sorted batches, those of one key together; a key's rows are few and packed, and no more than one key is held."""
     held: list[dict] = []
@@ -78,131 +123,153 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[li
         yield held
 
 
-def table_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+def record(schema: pa.Schema, **row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def _schema(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+_I, _B = pa.int64(), pa.binary()
+ASKED = _schema(kind=_I, part=_I, chain=_I, block=_I, keys=_B, n=_B)
+COUNTED = _schema(kind=_I, part=_I, chain=_I, block=_I, answer=_B, seen=pa.list_(_I), total=_I)
+ADDED = _schema(kind=_I, part=_I, chain=_I, block=_I, keys=_B, kept=_B, below=_B, asked=_B)
+SUMMED = _schema(kind=_I, part=_I, chain=_I, block=_I, answer=_B, more=_B)
+PACKED = ("words", "sizes", "lead", "train", "tokens")
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == _I else 'binary' if f.type == _B else 'array<long>'}" for f in schema)
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
     """A row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text and its end).
 
-    training is an expression over the id. base_score: unigrams with half a count added. score: the Katz model over them. Null and empty
-    texts are scored as their end alone. Repeated rows count as often as they come; a null id is scored, and learnt from if training says
-    so. Other columns are not read. With nothing to learn from, both scores are those of one class that holds every token.
+    training is an expression over the id. base_score: unigrams with half a count added. score: the Katz model of the given order over them.
+    Null and empty texts are scored as their end alone. Repeated rows count as often as they come; a null id is scored, and learnt from if
+    training says so. Other columns are not read, texts may have any length. An empty table gives an empty one. With nothing to learn from,
+    both scores are those of one class that holds every token.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    if order < 2:
+        raise ValueError("the order of a backoff model is 2 or more")
+    kind, spark = docs.schema[id_col].dataType.simpleString(), docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    # both tables go as soon as the blocks are scored
-    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/katz-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/katz-{uuid.uuid4().hex}"
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    packed = written(d.mapInArrow(pack_blocks, f"block long, n_words long, n_pairs long, ids array<{kind}>, words binary, sizes binary, train binary, tokens binary"), "blocks")
-    blocks, *asked = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_pairs")]).first()
-    blocks, parts = max(1, blocks), [max(1, math.ceil(n / PART_KEYS)) for n in asked]
+    def in_parts(df: DataFrame, parts: int) -> DataFrame:
+        return df.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part", "block")
 
-    keys = packed.select("block", "words", "sizes", "train", "tokens").mapInArrow(lambda b: keys_of(b, parts), "kind int, part long, block long, keys binary, n binary")
-    answers = written(keys.repartition(sum(parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(count_keys, "kind int, part long, block long, answer binary, seen array<long>, total long"), "counts")
-    of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in answers.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # two rows
+    block_ddl = "chain long, block long, n_words long, n_tokens long, n_learnt long, ids array<%s>, %s" % (kind, ", ".join(f"{c} binary" for c in PACKED))
+    packed = written(d.mapInArrow(lambda b: pack_blocks(b, order, block_tokens), block_ddl), "blocks")
+    blocks, *sums = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens", "n_learnt")]).first()
+    words, tokens, learnt = sums
+    parts = [max(1, math.ceil(n / part_keys)) for n in [words, *[tokens] * (order - 1)]]
+
+    keys = packed.select("chain", "block", *PACKED).mapInArrow(lambda b: ask_counts(b, parts), ddl(ASKED))
+    counts = written(in_parts(keys, sum(parts)).mapInArrow(count_keys, ddl(COUNTED)), "counts")
+    of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in counts.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # a row for each order
     total, _, *of_words = of_kind.get(0, [0, 0])
-    kinds = sum(of_words)  # words that training documents hold
-    below = total + 0.5 * (kinds + 1)
-    cut = discounts(dict(enumerate(of_kind.get(1, [0])[1:])))
-
-    null = lambda t: F.lit(None).cast(t)
-    told = answers.select("block", "kind", F.col("part").alias("at"), "answer", null(f"array<{kind}>").alias("ids"), *[null("binary").alias(c) for c in ("words", "sizes", "tokens")])
-    texts = packed.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), null("binary").alias("answer"), "ids", "words", "sizes", "tokens")
-    by_block = told.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind", "at")
-    partial = checkpointed(by_block.mapInArrow(lambda b: evaluate(b, cut, below), f"block long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in [*PARTIAL, *CONTEXTS, *PENDING])))
+    below = total + 0.5 * (sum(of_words) + 1)  # one more for all words that training documents lack
+    cuts = [discounts(of_kind.get(k, [0])[1:]) for k in range(order)]
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        """Blocks after the answers to them; blocks that share a text in one task, in order."""
+        rows = packed.select("chain", "block", F.lit(BLOCK).cast("long").alias("kind"), "ids", *PACKED)
+        for a in answers:
+            rows = rows.unionByName(a.drop("seen", "total"), allowMissingColumns=True)
+        columns = ["chain", "block", "kind", "part", "answer", *(["more"] if len(answers) > 1 else []), "ids", *PACKED]
+        return rows.select(columns).repartition(max(1, blocks), "chain").sortWithinPartitions("chain", "block", "kind", "part")
+
+    added = with_answers(counts).mapInArrow(lambda b: add_contexts(b, cuts, parts, learnt), ddl(ADDED))
+    contexts = written(in_parts(added, sum(parts[1:])).mapInArrow(sum_contexts, ddl(SUMMED)), "contexts")
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    scored = with_answers(counts, contexts).mapInArrow(lambda b: finish(b, cuts, learnt, below, total, names), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = checkpointed(scored.withColumnRenamed("id", id_col))
     drop_folder(spark, folder)
+    return out
 
-    def unpacked(columns: dict[str, type], names: str) -> DataFrame:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    x = [loosen(row[c], t) for c, t in columns.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), row["block"])), *map(pa.array, x)], ["block", *columns])
-
-        return partial.select("block", *columns).mapInArrow(rows, f"block long, {names}")
-
-    sums = unpacked(CONTEXTS, "v long, kept double, mass double, cv double").groupBy("v").agg(F.sum("kept").alias("kept"), F.sum("mass").alias("mass"), F.max("cv").alias("cv"))
-    # a context whose pairs are all too frequent for a discount gets half a count for what it has not seen
-    room = sums.withColumn("room", F.col("cv") + F.when(F.col("kept") >= F.col("cv"), 0.5).otherwise(0.0))
-    # exactly what the pairs leave over what the unigrams leave; unigrams keep half a count for unknown words, so this is above zero
-    alpha = (1 - F.col("kept") / F.col("room")) / F.greatest(1 - F.col("mass"), F.lit(0.5 / below))
-    contexts = room.select("v", F.log10(alpha).alias("unseen"), F.log10(F.col("cv") / F.col("room")).alias("seen"))
-    weights = unpacked({"waiting": np.int64}, "v long").join(contexts, "v")
-    weights = weights.select("block", F.lit(0).alias("kind"), "v", "unseen", "seen", null(f"array<{kind}>").alias("ids"), *[null("binary").alias(c) for c in [*PARTIAL, *list(PENDING)]])
-    rest = partial.select("block", F.lit(1).alias("kind"), null("long").alias("v"), null("double").alias("unseen"), null("double").alias("seen"), "ids", *PARTIAL, *PENDING)
-    last = weights.unionByName(rest).repartition(blocks, "block").sortWithinPartitions("block", "kind", "v")
-    return last.mapInArrow(lambda b: finish(b, total), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
-
-
-#: Packed columns of a block: by document; sums by context that it owns pairs of; tokens that wait for the weight of their context.
-PARTIAL = {"tokens": np.int64, "known": np.int64, "base": np.float64, "katz": np.float64}
-CONTEXTS = {"v": np.int64, "kept": np.float64, "mass": np.float64, "cv": np.float64}
-PENDING = {"waiting": np.int64, "doc": np.uint32, "context": np.uint32, "found": np.uint8}
 
+def pack_blocks(batches: Iterator[pa.RecordBatch], order: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block of so many tokens or a task's rest: ids, distinct words (frequent ones first), sizes of texts, and their tokens as places among the words.
 
-def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block of BLOCK_CHARS or a task's rest: ids, distinct words (frequent ones first), sizes of documents, and their tokens as places among the words."""
-    task, made = TaskContext.get().partitionId(), 0
-    ids, tokens, train, size, id_type = [], [], [], 0, None
+    A text that goes over blocks has in each later one, ahead of its tokens there, the last order - 1 of those before (lead); chain is the block where it begins.
+    """
+    task, made, chain = TaskContext.get().partitionId() << 32, 0, None
+    ids, tokens, lead, train, size, id_type = [], [], [], [], 0, None
 
     def block() -> pa.RecordBatch:
+        nonlocal chain
+        chain = task + made if chain is None or not lead[0] else chain
         t, sizes = np.concatenate(tokens), np.array([len(x) for x in tokens], dtype=np.uint32)
         words, local, n = np.unique(t, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
+        by_count = np.argsort(-n, kind="stable")
         place = np.empty(len(words), dtype=np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        row = {"block": (task << 32) + made, "n_words": len(words), "n_pairs": len(np.unique(pair_keys(before(t, sizes), t))), "ids": ids, "words": squeeze(words[order]), "sizes": squeeze(sizes), "train": squeeze(np.array(train, dtype=np.uint8)), "tokens": squeeze(place[local])}
-        return table_of([row], pa.schema([*((c, pa.int64()) for c in ("block", "n_words", "n_pairs")), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("words", "sizes", "train", "tokens"))]))
+        place[by_count] = np.arange(len(words), dtype=np.uint32)
+        leads, learn = np.array(lead, dtype=np.uint8), np.array(train, dtype=np.uint8)
+        arrays = dict(zip(PACKED, map(squeeze, (words[by_count], sizes, leads, learn, place[local])), strict=True))
+        counts = {"n_words": len(words), "n_tokens": len(t), "n_learnt": int((learn & (leads == 0)).sum())}
+        schema = _schema(chain=_I, block=_I, n_words=_I, n_tokens=_I, n_learnt=_I, ids=pa.list_(id_type), **dict.fromkeys(PACKED, _B))
+        return record(schema, chain=chain, block=task + made, ids=ids, **counts, **arrays)
 
     for batch in batches:
         id_type = batch.column(0).type
         for i, raw, learn in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            ids.append(i)
-            tokens.append(tokens_of(raw))
-            train.append(learn)
-            size += len(raw or b"")
-            if size >= BLOCK_CHARS:
-                yield block()
-                ids, tokens, train, size, made = [], [], [], 0, made + 1
+            t, at = tokens_of(raw), 0
+            while at < len(t):
+                ahead, to = min(at, order - 1), min(len(t), at + block_tokens - size)
+                ids.append(i)
+                tokens.append(t[at - ahead : to])
+                lead.append(ahead)
+                train.append(learn)
+                size, at = size + to - at, to
+                if size >= block_tokens:
+                    yield block()
+                    ids, tokens, lead, train, size, made = [], [], [], [], 0, made + 1
     if ids:
         yield block()
 
 
-def before(t: np.ndarray, sizes: np.ndarray, start: np.uint64 = START) -> np.ndarray:
-    """What precedes each token in its document."""
-    out = np.concatenate([t[:1], t[:-1]])
-    out[np.cumsum(sizes, dtype=np.int64) - sizes] = start
-    return out
+class Tokens:
+    """A block unpacked: t, sizes and firsts of its texts, place of each token in its text, own (not a lead), learn (own, of a training text)."""
+
+    def __init__(self, row: dict):
+        self.t, self.sizes = loosen(row["words"], np.uint64)[loosen(row["tokens"], np.uint32)], loosen(row["sizes"], np.uint32).astype(np.int64)
+        self.lead = loosen(row["lead"], np.uint8)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.place = (np.arange(len(self.t)) - np.repeat(self.first, self.sizes)).astype(np.uint32)
+        self.own = self.place >= np.repeat(self.lead, self.sizes)
+        self.learn = self.own & np.repeat(loosen(row["train"], np.uint8) == 1, self.sizes)
+
+    def before(self, x: np.ndarray, start) -> np.ndarray:
+        """What x says of the token before; start for the first of a text."""
+        out = np.concatenate([x[:1], x[:-1]])
+        out[self.first] = start
+        return out
 
 
-def keys_of(batches: Iterator[pa.RecordBatch], parts: list[int]) -> Iterator[pa.RecordBatch]:
-    """The distinct words (kind 0) and pairs (kind 1) of each block in ascending order, cut by ranges into parts, and how often its training documents hold them."""
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+def ask_counts(batches: Iterator[pa.RecordBatch], parts: list[int]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block (kind: words less one) in ascending order, cut by ranges into parts, and how often its training texts hold them."""
     for batch in batches:
         for row in batch.to_pylist():
-            t, sizes = loosen(row["words"], np.uint64)[loosen(row["tokens"], np.uint32)], loosen(row["sizes"], np.uint32)
-            learnt = np.repeat(loosen(row["train"], np.uint8), sizes)
-            for kind, x in enumerate((t, pair_keys(before(t, sizes), t))):
+            b = Tokens(row)
+            for kind, x in enumerate(gram_keys(b.t, b.place, len(parts))):
                 keys, inverse = np.unique(x, return_inverse=True)
-                n = np.bincount(inverse, weights=learnt).astype(np.uint32)
-                part = ((keys >> np.uint64(32)) * np.uint64(parts[kind])) >> np.uint64(32)
-                edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    yield table_of([{"kind": kind, "part": int(part[lo]), "block": row["block"], "keys": squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), "n": squeeze(n[lo:hi])}], schema)
+                n = np.bincount(inverse, weights=b.learn, minlength=len(keys)).astype(np.uint32)
+                for part, s in ranges(keys, parts[kind]).items():
+                    yield record(ASKED, kind=kind, part=part, chain=row["chain"], block=row["block"], keys=squeeze_keys(keys[s]), n=squeeze(n[s]))
 
 
 def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word or pair that a block asked for, in its order: twice the count over all training documents, plus one in the one block that owns it.
+    """For each n-gram that a block asked for, in its order: twice the count over all training texts, plus one in the one block that owns it.
 
     Once for each part, seen: how many have each count up to K + 1, and more; total: the sum of all counts."""
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("answer", pa.binary()), ("seen", pa.list_(pa.int64())), ("total", pa.int64())])
     for rows in groups_of(batches, ["kind", "part"]):
-        each = [np.cumsum(loosen(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        each = [loosen_keys(r["keys"]) for r in rows]
         n = np.concatenate([loosen(r["n"], np.uint32) for r in rows]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(each), return_inverse=True)
         counts = np.bincount(inverse, weights=n).astype(np.int64)
@@ -213,72 +280,118 @@ def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, at = np.bincount(np.minimum(counts, K + 2), minlength=K + 3).tolist(), 0
         for r, keys in zip(rows, each, strict=True):
             once = {} if at else {"seen": seen, "total": int(n.sum())}
-            yield table_of([{"kind": r["kind"], "part": r["part"], "block": r["block"], "answer": squeeze(answer[at : at + len(keys)]), **once}], schema)
+            yield record(COUNTED, kind=r["kind"], part=r["part"], chain=r["chain"], block=r["block"], answer=squeeze(answer[at : at + len(keys)]), **once)
             at += len(keys)
 
 
-def evaluate(batches: Iterator[pa.RecordBatch], cut: np.ndarray, below: float) -> Iterator[pa.RecordBatch]:
-    """Scores a block's documents from the counts of its words and pairs, but for the weights of contexts; sums up what those depend on."""
-    names, told, current = [*PARTIAL, *CONTEXTS, *PENDING], ([], []), None
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, list[dict]]]]:
+    """Blocks with the answers that precede them, by kind."""
+    told: dict[int, list[dict]] = {}
     for batch in batches:
-        for i, (block, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if block != current:
-                current, told = block, ([], [])
-            if kind < 2:
-                told[kind].append(loosen(batch.column(3)[i].as_py(), np.uint64))
-                continue
-            row, ids = batch.slice(i, 1).to_pylist()[0], batch.schema.field("ids").type
-            got = _evaluate(row, np.concatenate(told[0]), np.concatenate(told[1]), cut, below)
-            yield table_of([{"block": block, "ids": row["ids"], **dict(zip(names, got, strict=True))}], pa.schema([("block", pa.int64()), ("ids", ids), *((c, pa.binary()) for c in names)]))
-
-
-def _evaluate(row: dict, counts: np.ndarray, answer: np.ndarray, cut: np.ndarray, below: float) -> list[bytes]:
-    words, local, sizes = np.append(loosen(row["words"], np.uint64), START), loosen(row["tokens"], np.uint32), loosen(row["sizes"], np.uint32)
-    start, first = len(words) - 1, np.cumsum(sizes, dtype=np.int64) - sizes
-    c = np.zeros(len(words))
-    c[np.argsort(words[:start])] = counts >> np.uint64(1)
-    c[start] = c[np.flatnonzero(words == END)[0]]  # a text begins as often as it ends
-    prior = before(local, sizes, np.uint32(start))
-    base = np.log10((c[local] + 0.5) / below)
-    keys, at, inverse = np.unique(pair_keys(words[prior], words[local]), return_index=True, return_inverse=True)
-    if len(keys) != len(answer):
-        raise ValueError("a block's pairs and their answers differ")
-    r, own, v, w = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool), prior[at], local[at]
-    worth = np.where(r <= K, cut[np.minimum(r, K)] * r, r)
-    over = lambda x, weights=None: np.bincount(x, weights=weights, minlength=len(words))
-    kept, mass, owns = over(v[own], worth[own]), over(v[own], (c[w[own]] + 0.5) / below), over(v[own]) > 0
-    discounted = over(v[(r > 0) & (r <= K)]) > 0  # such a context leaves something over
-    seen = r[inverse] > 0
-    katz = base.copy()
-    katz[seen] = np.log10(worth[inverse[seen]] / c[prior[seen]])
-    wait = np.flatnonzero((c[prior] > 0) & (~seen | ~discounted[prior]))
-    waiting, context = np.unique(prior[wait], return_inverse=True)
-    doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[wait]
-    add = lambda x: np.add.reduceat(x, first)
-    signed = words.view(np.int64)
-    out = [sizes.astype(np.int64), add((c[local] > 0).astype(np.int64)), add(base), add(katz), signed[owns], kept[owns], mass[owns], c[owns], signed[waiting], doc, context.astype(np.uint32), seen[wait].astype(np.uint8)]
-    return [squeeze(np.ascontiguousarray(x)) for x in out]
-
-
-def finish(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
-    """Adds the weights of contexts to the scores of the documents that wait for them."""
-    facts, current = [], None
-    for batch in batches:
-        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if block[lo] != current:
-                current, facts = block[lo], []
-            rows = batch.slice(lo, hi - lo)
-            if kind[lo] == 0:
-                facts.append([rows.column(i).to_numpy() for i in (2, 3, 4)])
+        for i in range(batch.num_rows):
+            (row,) = batch.slice(i, 1).to_pylist()
+            if row["kind"] == BLOCK:
+                yield row | {"ids": batch.column("ids")[i].values}, told
+                told = {}
+            else:
+                told.setdefault(row["kind"], []).append(row)
+
+
+class Level:
+    """An order at the tokens of a block: count of the n-gram that ends there, of its context; context (its hash), and which tokens need the context's sums."""
+
+    def __init__(self, b: Tokens, count: np.ndarray, context: np.ndarray, context_count: np.ndarray):
+        self.count, self.context, self.context_count = count, context, context_count
+        # a context with an n-gram that is discounted has room for others; what it leaves is needed where its word is new
+        self.needs = b.own & (context_count > 0) & ((count == 0) | (count > K))
+
+
+def levels(b: Tokens, told: dict[int, list[dict]], order: int, learnt: int) -> Iterator[tuple[np.ndarray, Level | None, np.ndarray]]:
+    """For each order: the counts at the tokens, for orders from 2 on its contexts, and the places of one token for each n-gram that the block owns."""
+    starts = [np.uint64(0), *padding_keys(order)]
+    last_key = last_count = None
+    for k, key in enumerate(gram_keys(b.t, b.place, order)):
+        answer = np.concatenate([loosen(r["answer"], np.uint64) for r in told[k]])
+        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if len(keys) != len(answer):
+            raise ValueError("a block's n-grams and their answers differ")
+        count = (answer >> np.uint64(1)).astype(np.int64)[inverse]
+        level = Level(b, count, b.before(last_key, starts[k]), b.before(last_count, learnt)) if k else None
+        yield count, level, at[(answer & np.uint64(1)).astype(bool)]
+        last_key, last_count = key, count
+
+
+def add_contexts(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], parts: list[int], learnt: int) -> Iterator[pa.RecordBatch]:
+    """For each order from 2 on, cut by ranges into parts: the block's contexts with the sums of the n-grams that it owns, and the contexts it asks for."""
+    for row, told in answered(batches):
+        b, lower = Tokens(row), None
+        for k, (count, level, owned) in enumerate(levels(b, told, len(cuts), learnt)):
+            if level:
+                keys, inverse = np.unique(level.context[owned], return_inverse=True)
+                less = lower[owned] + 0.5 if k == 1 else worth(lower[owned], cuts[k - 1])
+                kept, below = (np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.float64) for x in (worth(count[owned], cuts[k]), less))
+                asked = np.unique(level.context[level.needs])
+                mine, wanted = ranges(keys, parts[k]), ranges(asked, parts[k])
+                for part in sorted(mine.keys() | wanted.keys()):
+                    m, w = mine.get(part, slice(0, 0)), wanted.get(part, slice(0, 0))
+                    yield record(ADDED, kind=k, part=part, chain=row["chain"], block=row["block"], keys=squeeze_keys(keys[m]), kept=squeeze(kept[m]), below=squeeze(below[m]), asked=squeeze_keys(asked[w]))
+            lower = count
+
+
+def sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each context that a block asked for, in its order: the sums over all blocks."""
+    for rows in groups_of(batches, ["kind", "part"]):
+        each = [(loosen_keys(r["keys"]), loosen(r["kept"], np.float64), loosen(r["below"], np.float64)) for r in rows]
+        keys, inverse = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+        sums = [np.bincount(inverse, weights=np.concatenate([x[i] for x in each]), minlength=len(keys)) for i in (1, 2)]
+        for r in rows:
+            at = np.searchsorted(keys, loosen_keys(r["asked"]))
+            if len(at):
+                yield record(SUMMED, kind=CONTEXTS + r["kind"], part=r["part"], chain=r["chain"], block=r["block"], answer=squeeze(sums[0][at]), more=squeeze(sums[1][at]))
+
+
+def finish(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], learnt: int, below: float, total: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Evaluates the tokens of each block, order by order, and adds them up by text; the last text of a block may go on in the next one."""
+    last = None
+    for row, told in answered(batches):
+        b = Tokens(row)
+        room = p = base = known = None
+        for k, (count, level, _) in enumerate(levels(b, told, len(cuts), learnt)):
+            if level is None:
+                room, p, known = np.full(len(count), below), (count + 0.5) / below, count > 0
+                base = np.log10(p)
                 continue
-            row = rows.slice(0, 1).to_pylist()[0]
-            x = {c: loosen(row[c], t) for c, t in {**PARTIAL, **PENDING}.items()}
-            katz = x["katz"]
-            if len(x["doc"]):
-                v, unseen, seen = (np.concatenate(y) for y in zip(*facts, strict=True))
-                at = np.searchsorted(v, x["waiting"])[x["context"]]
-                katz = katz + np.bincount(x["doc"], weights=np.where(x["found"] == 1, seen[at], unseen[at]), minlength=len(katz))
-            ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(x["tokens"]), pa.array(x["known"]), pa.array(np.full(len(katz), total)), pa.array(x["base"]), pa.array(katz)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            context = level.context_count.astype(np.float64)
+            left, more = np.ones(len(context)), np.ones(len(context))
+            if level.needs.any():
+                kept, less = (np.concatenate([loosen(r[c], np.float64) for r in told[CONTEXTS + k]]) for c in ("answer", "more"))
+                _, at = np.unique(level.context[level.needs], return_inverse=True)
+                kept, less, c = kept[at], less[at], context[level.needs]
+                # a context whose n-grams are all too frequent for a discount gets half a count for what it has not seen
+                c = c + np.where(kept >= c, 0.5, 0.0)
+                # exactly what its n-grams leave, over what the same words leave one order below
+                left[level.needs], more[level.needs] = 1 - kept / c, 1 - less / room[level.needs]
+                context[level.needs] = c
+            seen, has = count > 0, level.context_count > 0
+            p[has & ~seen] *= left[has & ~seen] / np.maximum(more[has & ~seen], np.finfo(float).tiny)
+            p[seen] = worth(count[seen], cuts[k]) / context[seen]
+            room = context
+        own = b.own
+        add = lambda x: np.add.reduceat(np.where(own, x, np.zeros(1, dtype=x.dtype)), b.first)
+        sums = [add(np.ones(len(own), dtype=np.int64)), add(known.astype(np.int64)), add(base), add(np.log10(p))]
+        ids = row["ids"]
+        if last is not None and b.lead[0]:
+            for s, x in zip(sums, last[1], strict=True):
+                s[0] += x[0]
+        elif last is not None:
+            yield rows_of(*last, total, names)
+        if len(ids) > 1:
+            yield rows_of(ids[:-1], [s[:-1] for s in sums], total, names)
+        last = [ids[-1:], [s[-1:] for s in sums]]
+    if last is not None:
+        yield rows_of(*last, total, names)
+
+
+def rows_of(ids: pa.Array, sums: list[np.ndarray], total: int, names: list[str]) -> pa.RecordBatch:
+    n_tokens, n_known, base, katz = map(pa.array, sums)
+    return pa.RecordBatch.from_arrays([ids, n_tokens, n_known, pa.array(np.full(len(ids), total)), base, katz], ["id", *names])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessarine.llm import bpe, decontaminate, katz, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter
 from tessarine.llm.queries import tokenizer_path
 
+from . import plain
+
 BPE, SP = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, id string, block int, `_row` int, shard int, rows string"
 
@@ -200,15 +202,30 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.repeats(empty).count() == 0
 
 
-def test_katz_sums_to_one_and_counts(spark, empty):
-    rows = [(i, words(40, i % 7).upper() if i % 2 else words(40, i % 7)) for i in range(40)] + [(None, "x y"), (50, None), (51, "")]
-    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 != 1).collect()
-    learnt = [t.lower().split() for i, t in rows[:40] if i % 4 != 1]
-    assert len(got) == 43 and {r.train_tokens for r in got} == {sum(len(t) + 1 for t in learnt) + 2}
-    assert all(r.score < 0 and r.base_score < 0 for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (50, 51)} == {1}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_against_plain(spark, order):
+    """Every column and score of a model kept as it is, also where texts go over blocks and tables are in many parts."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choices(["w%d" % i for i in range(60)], weights=[1 / (i + 1) for i in range(60)], k=n))
+    rows = [(i, text(r.randrange(60)).upper() if i % 5 == 0 else text(r.randrange(60))) for i in range(120)]
+    rows += [(150, None), (151, ""), (152, text(900)), (153, "only here " * 3), (154, "always next " * 20), (155, rows[3][1]), (156, "é\u0085x \u00a0")]
+    want = dict(zip([i for i, _ in rows], plain.katz([t for _, t in rows], [i % 4 != 1 for i, _ in rows], order, katz.discounts), strict=True))
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, block long, tokens string").coalesce(2)
+    for sizes in ({}, {"block_tokens": 500, "part_keys": 3000}):
+        got = {x.doc_id: tuple(x)[1:] for x in katz.score(docs, F.col("doc_id") % 4 != 1, order=order, **sizes).collect()}
+        assert got.keys() == want.keys()
+        for i, g in got.items():
+            assert g == pytest.approx(want[i], rel=1e-12), (i, sizes)
+
+
+def test_katz_odd_rows(spark, empty):
+    rows = [(1, "a b"), (1, "a b"), (None, "x y"), (50, None), (51, ""), (52, "a b " * 40_000)]
+    got = [tuple(r) for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.coalesce(F.col("doc_id"), F.lit(0)) < 51, block_tokens=30_000).collect()]
+    assert len(got) == 6 and {r[3] for r in got} == {3 + 3 + 3 + 1} and [r[1:3] for r in got if r[0] == 52] == [(80_001, 80_001)]
+    assert len({r for r in got if r[0] == 1}) == 1 and {r[1] for r in got if r[0] in (50, 51)} == {1}
     assert katz.score(empty.select("doc_id", "text"), F.lit(True)).count() == 0
-    assert katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).count() == 1
+    (alone,) = katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).collect()
+    assert tuple(alone) == (1, 3, 0, 0, 0.0, 0.0)
 
 
 def test_quality(spark, empty):
