@@ -6,9 +6,10 @@ per context that makes every context sum to one; the lowest order are unigrams w
 
 Texts are read once and kept as blocks of packed tokens; a long text goes over several blocks, each with the words before its own. The tables
 of n-grams and of contexts are partitioned by ranges of hashes. A block sends each part its distinct n-grams with its own counts, packed, and
-gets their counts over all blocks back in the same order. One block owns each n-gram and adds it to the sums of its context: discounted
-counts, and the discounted counts of the same words one order below. Blocks ask for the sums of the contexts that they need, and evaluate
-their tokens from the unigrams upwards.
+gets their counts over all blocks back in the same order. From trigrams on, order after order, it asks only where the two shorter n-grams
+inside leave the count open: it is no more than theirs. One block owns each n-gram and adds it to the sums of its context: discounted counts,
+and the discounted counts of the same words one order below. Sums are kept for contexts that texts not learnt from hold, and for those that
+may have no n-gram to discount. Blocks ask for the sums of the contexts that they need, and evaluate their tokens from the unigrams upwards.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_folder, mix, raw_texts, shared_folder, word_hashes
+from .common import checkpointed, drop_folder, let_go, mix, raw_texts, shared_folder, word_hashes
 
 #: N-grams seen more often than this are not discounted. Words of the longest n-gram. Tokens of a block; n-grams of all blocks in a part of their table.
 K, ORDER, BLOCK_TOKENS, PART_KEYS = 5, 3, 1_500_000, 2_000_000
@@ -132,7 +133,7 @@ def _schema(**kinds: pa.DataType) -> pa.Schema:
 
 
 _I, _B = pa.int64(), pa.binary()
-ASKED = _schema(kind=_I, part=_I, chain=_I, block=_I, keys=_B, n=_B)
+ASKED = _schema(kind=_I, part=_I, chain=_I, block=_I, keys=_B, n=_B, singles=_I)
 COUNTED = _schema(kind=_I, part=_I, chain=_I, block=_I, answer=_B, seen=pa.list_(_I), total=_I)
 ADDED = _schema(kind=_I, part=_I, chain=_I, block=_I, keys=_B, kept=_B, below=_B, asked=_B)
 SUMMED = _schema(kind=_I, part=_I, chain=_I, block=_I, answer=_B, more=_B)
@@ -170,23 +171,33 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     words, tokens, learnt = sums
     parts = [max(1, math.ceil(n / part_keys)) for n in [words, *[tokens] * (order - 1)]]
 
-    keys = packed.select("chain", "block", *PACKED).mapInArrow(lambda b: ask_counts(b, parts), ddl(ASKED))
-    counts = written(in_parts(keys, sum(parts)).mapInArrow(count_keys, ddl(COUNTED)), "counts")
-    of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in counts.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # a row for each order
-    total, _, *of_words = of_kind.get(0, [0, 0])
-    below = total + 0.5 * (sum(of_words) + 1)  # one more for all words that training documents lack
-    cuts = [discounts(of_kind.get(k, [0])[1:]) for k in range(order)]
-
     def with_answers(*answers: DataFrame) -> DataFrame:
         """Blocks after the answers to them; blocks that share a text in one task, in order."""
         rows = packed.select("chain", "block", F.lit(BLOCK).cast("long").alias("kind"), "ids", *PACKED)
         for a in answers:
             rows = rows.unionByName(a.drop("seen", "total"), allowMissingColumns=True)
-        columns = ["chain", "block", "kind", "part", "answer", *(["more"] if len(answers) > 1 else []), "ids", *PACKED]
+        columns = [c for c in ("chain", "block", "kind", "part", "answer", "more", "ids", *PACKED) if c in rows.columns]
         return rows.select(columns).repartition(max(1, blocks), "chain").sortWithinPartitions("chain", "block", "kind", "part")
 
+    def counted(keys: DataFrame, parts: int, name: str) -> DataFrame:
+        return written(in_parts(keys, parts).mapInArrow(count_keys, ddl(COUNTED)), name)
+
+    counts = counted(packed.select("chain", "block", *PACKED).mapInArrow(lambda b: ask_counts(b, parts[:2]), ddl(ASKED)), sum(parts[:2]), "counts-2")
+    for k in range(2, order):
+        let_go(spark)  # the shuffle of the order below
+        asked = with_answers(counts).mapInArrow(lambda b, k=k: ask_open_counts(b, k, parts[k], learnt), ddl(ASKED))
+        counts = counts.unionByName(counted(asked, parts[k], f"counts-{k + 1}"))
+        del asked
+    let_go(spark)
+    of_kind = {r["kind"]: [int(x or 0) for x in r[1:]] for r in counts.groupBy("kind").agg(F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(K + 3)]).collect()}  # a row for each order
+    total, _, *of_words = of_kind.get(0, [0, 0])
+    below = total + 0.5 * (sum(of_words) + 1)  # one more for all words that training documents lack
+    cuts = [discounts(of_kind.get(k, [0])[1:]) for k in range(order)]
+
     added = with_answers(counts).mapInArrow(lambda b: add_contexts(b, cuts, parts, learnt), ddl(ADDED))
     contexts = written(in_parts(added, sum(parts[1:])).mapInArrow(sum_contexts, ddl(SUMMED)), "contexts")
+    del added
+    let_go(spark)
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     scored = with_answers(counts, contexts).mapInArrow(lambda b: finish(b, cuts, learnt, below, total, names), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = checkpointed(scored.withColumnRenamed("id", id_col))
@@ -235,7 +246,7 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], order: int, block_tokens: int
 
 
 class Tokens:
-    """A block unpacked: t, sizes and firsts of its texts, place of each token in its text, own (not a lead), learn (own, of a training text)."""
+    """A block unpacked: t, sizes and firsts of its texts, place of each token in its text, own (not a lead), taught (of a training text)."""
 
     def __init__(self, row: dict):
         self.t, self.sizes = loosen(row["words"], np.uint64)[loosen(row["tokens"], np.uint32)], loosen(row["sizes"], np.uint32).astype(np.int64)
@@ -243,7 +254,7 @@ class Tokens:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.place = (np.arange(len(self.t)) - np.repeat(self.first, self.sizes)).astype(np.uint32)
         self.own = self.place >= np.repeat(self.lead, self.sizes)
-        self.learn = self.own & np.repeat(loosen(row["train"], np.uint8) == 1, self.sizes)
+        self.taught = np.repeat(loosen(row["train"], np.uint8) == 1, self.sizes)
 
     def before(self, x: np.ndarray, start) -> np.ndarray:
         """What x says of the token before; start for the first of a text."""
@@ -252,34 +263,63 @@ class Tokens:
         return out
 
 
+def questions(b: Tokens, row: dict, kind: int, x: np.ndarray, which: np.ndarray | slice, parts: int, singles: int = 0) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams among x (kind: words less one) in ascending order, cut by ranges into parts; n: twice how often the block's training texts hold them, plus one if others do."""
+    keys, inverse = np.unique(x[which], return_inverse=True)
+    n = np.bincount(inverse, weights=(b.own & b.taught)[which], minlength=len(keys)).astype(np.uint32) * np.uint32(2)
+    n[inverse[(b.own & ~b.taught)[which]]] |= np.uint32(1)
+    for part, s in ({0: slice(0, 0)} | ranges(keys, parts)).items():
+        yield record(ASKED, kind=kind, part=part, chain=row["chain"], block=row["block"], keys=squeeze_keys(keys[s]), n=squeeze(n[s]), singles=0 if part else singles)
+
+
 def ask_counts(batches: Iterator[pa.RecordBatch], parts: list[int]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each block (kind: words less one) in ascending order, cut by ranges into parts, and how often its training texts hold them."""
+    """All n-grams of as many orders as there are parts."""
     for batch in batches:
         for row in batch.to_pylist():
             b = Tokens(row)
             for kind, x in enumerate(gram_keys(b.t, b.place, len(parts))):
-                keys, inverse = np.unique(x, return_inverse=True)
-                n = np.bincount(inverse, weights=b.learn, minlength=len(keys)).astype(np.uint32)
-                for part, s in ranges(keys, parts[kind]).items():
-                    yield record(ASKED, kind=kind, part=part, chain=row["chain"], block=row["block"], keys=squeeze_keys(keys[s]), n=squeeze(n[s]))
+                yield from questions(b, row, kind, x, slice(None), parts[kind])
+
+
+def ask_open_counts(batches: Iterator[pa.RecordBatch], kind: int, parts: int, learnt: int) -> Iterator[pa.RecordBatch]:
+    """N-grams of one order whose counts the order below leaves open, and how many are known to be seen once."""
+    for row, told in answered(batches):
+        b, below = Tokens(row), None
+        for below in levels(b, told, kind, learnt):
+            pass
+        *_, x = gram_keys(b.t, b.place, kind + 1)
+        is_open, single = undecided(b, below.count, below.elsewhere, learnt)
+        yield from questions(b, row, kind, x, is_open, parts, int((single & b.own).sum()))
+
+
+def undecided(b: Tokens, count: np.ndarray, elsewhere: np.ndarray, learnt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n-grams at the tokens, from the counts one order below: those to ask for, and those seen once, here.
+
+    An n-gram is seen no more often than either of the shorter ones inside. Where that is once, a training text holds it here; nobody else asks
+    for it unless other texts hold both.
+    """
+    most = np.minimum(b.before(count, learnt), count)
+    is_open = (most > 1) | ((most == 1) & (~b.taught | (b.before(elsewhere, True) & elsewhere)))
+    return is_open, (most == 1) & ~is_open
 
 
 def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each n-gram that a block asked for, in its order: twice the count over all training texts, plus one in the one block that owns it.
+    """For each n-gram that a block asked for, in its order: four times the count over all training texts, plus two if other texts hold it, plus one in the one block that owns it.
 
     Once for each part, seen: how many have each count up to K + 1, and more; total: the sum of all counts."""
     for rows in groups_of(batches, ["kind", "part"]):
         each = [loosen_keys(r["keys"]) for r in rows]
         n = np.concatenate([loosen(r["n"], np.uint32) for r in rows]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.bincount(inverse, weights=n).astype(np.int64)
+        n, other = n >> 1, n & 1
+        counts, elsewhere = np.bincount(inverse, weights=n).astype(np.int64), np.bincount(inverse, weights=other) > 0
         holds = np.flatnonzero(n)
-        owner = np.zeros(len(n), dtype=np.uint64)
-        owner[holds[np.unique(inverse[holds], return_index=True)[1]]] = 1
-        answer = counts[inverse].astype(np.uint64) * np.uint64(2) + owner
-        seen, at = np.bincount(np.minimum(counts, K + 2), minlength=K + 3).tolist(), 0
-        for r, keys in zip(rows, each, strict=True):
-            once = {} if at else {"seen": seen, "total": int(n.sum())}
+        answer = counts[inverse].astype(np.uint64) * np.uint64(4) + elsewhere[inverse].astype(np.uint64) * np.uint64(2)
+        answer[holds[np.unique(inverse[holds], return_index=True)[1]]] += np.uint64(1)
+        seen, at = np.bincount(np.minimum(counts, K + 2), minlength=K + 3), 0
+        seen[1] += sum(r["singles"] for r in rows)
+        for k, (r, keys) in enumerate(zip(rows, each, strict=True)):
+            once = {} if k else {"seen": seen.tolist(), "total": int(n.sum())}
             yield record(COUNTED, kind=r["kind"], part=r["part"], chain=r["chain"], block=r["block"], answer=squeeze(answer[at : at + len(keys)]), **once)
             at += len(keys)
 
@@ -298,44 +338,62 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int
 
 
 class Level:
-    """An order at the tokens of a block: count of the n-gram that ends there, of its context; context (its hash), and which tokens need the context's sums."""
+    """An order at the tokens of a block.
+
+    count: of the n-gram that ends there; elsewhere: whether texts not learnt from hold it; owned: places of one token for each n-gram that the
+    block owns. context: hash of what comes before the last word; context_count; needs: which tokens need the context's sums; kept: for which
+    contexts sums are kept. The last four are for orders from 2 on.
+    """
+
+    def __init__(self, count: np.ndarray, elsewhere: np.ndarray, owned: np.ndarray):
+        self.count, self.elsewhere, self.owned = count, elsewhere, owned
 
-    def __init__(self, b: Tokens, count: np.ndarray, context: np.ndarray, context_count: np.ndarray):
-        self.count, self.context, self.context_count = count, context, context_count
+    def above(self, b: Tokens, below: Level, key: np.ndarray, start: np.uint64, learnt: int) -> None:
+        """key: hashes of the order below."""
+        self.context, self.context_count = b.before(key, start), b.before(below.count, learnt)
         # a context with an n-gram that is discounted has room for others; what it leaves is needed where its word is new
-        self.needs = b.own & (context_count > 0) & ((count == 0) | (count > K))
+        self.needs = b.own & (self.context_count > 0) & ((self.count == 0) | (self.count > K))
+        self.kept = b.before(below.elsewhere, True) | (self.context_count > K)
 
 
-def levels(b: Tokens, told: dict[int, list[dict]], order: int, learnt: int) -> Iterator[tuple[np.ndarray, Level | None, np.ndarray]]:
-    """For each order: the counts at the tokens, for orders from 2 on its contexts, and the places of one token for each n-gram that the block owns."""
-    starts = [np.uint64(0), *padding_keys(order)]
-    last_key = last_count = None
+def levels(b: Tokens, told: dict[int, list[dict]], order: int, learnt: int) -> Iterator[Level]:
+    """The orders from 1 on, from the answers to a block."""
+    starts, below, last = [np.uint64(0), *padding_keys(order)], None, None
     for k, key in enumerate(gram_keys(b.t, b.place, order)):
+        which, single = undecided(b, below.count, below.elsewhere, learnt) if k > 1 else (np.ones(len(key), dtype=bool), None)
         answer = np.concatenate([loosen(r["answer"], np.uint64) for r in told[k]])
-        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        keys, at, inverse = np.unique(key[which], return_index=True, return_inverse=True)
         if len(keys) != len(answer):
             raise ValueError("a block's n-grams and their answers differ")
-        count = (answer >> np.uint64(1)).astype(np.int64)[inverse]
-        level = Level(b, count, b.before(last_key, starts[k]), b.before(last_count, learnt)) if k else None
-        yield count, level, at[(answer & np.uint64(1)).astype(bool)]
-        last_key, last_count = key, count
+        count, elsewhere = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        count[which], elsewhere[which] = (answer >> np.uint64(2)).astype(np.int64)[inverse], ((answer >> np.uint64(1)) & np.uint64(1)).astype(bool)[inverse]
+        owned = np.flatnonzero(which)[at[(answer & np.uint64(1)).astype(bool)]]
+        if k > 1:
+            count[single] = 1
+            owned = np.concatenate([owned, np.flatnonzero(single & b.own)])
+        level = Level(count, elsewhere, owned)
+        if k:
+            level.above(b, below, last, starts[k], learnt)
+        yield level
+        below, last = level, key
 
 
 def add_contexts(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], parts: list[int], learnt: int) -> Iterator[pa.RecordBatch]:
     """For each order from 2 on, cut by ranges into parts: the block's contexts with the sums of the n-grams that it owns, and the contexts it asks for."""
     for row, told in answered(batches):
         b, lower = Tokens(row), None
-        for k, (count, level, owned) in enumerate(levels(b, told, len(cuts), learnt)):
-            if level:
+        for k, level in enumerate(levels(b, told, len(cuts), learnt)):
+            if k:
+                owned = level.owned[level.kept[level.owned]]
                 keys, inverse = np.unique(level.context[owned], return_inverse=True)
                 less = lower[owned] + 0.5 if k == 1 else worth(lower[owned], cuts[k - 1])
-                kept, below = (np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.float64) for x in (worth(count[owned], cuts[k]), less))
+                kept, below = (np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.float64) for x in (worth(level.count[owned], cuts[k]), less))
                 asked = np.unique(level.context[level.needs])
                 mine, wanted = ranges(keys, parts[k]), ranges(asked, parts[k])
                 for part in sorted(mine.keys() | wanted.keys()):
                     m, w = mine.get(part, slice(0, 0)), wanted.get(part, slice(0, 0))
                     yield record(ADDED, kind=k, part=part, chain=row["chain"], block=row["block"], keys=squeeze_keys(keys[m]), kept=squeeze(kept[m]), below=squeeze(below[m]), asked=squeeze_keys(asked[w]))
-            lower = count
+            lower = level.count
 
 
 def sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +413,10 @@ def finish(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], learnt: in
     last = None
     for row, told in answered(batches):
         b = Tokens(row)
-        room = p = base = known = None
-        for k, (count, level, _) in enumerate(levels(b, told, len(cuts), learnt)):
-            if level is None:
+        room = p = base = known = count = None
+        for k, level in enumerate(levels(b, told, len(cuts), learnt)):
+            count = level.count
+            if not k:
                 room, p, known = np.full(len(count), below), (count + 0.5) / below, count > 0
                 base = np.log10(p)
                 continue

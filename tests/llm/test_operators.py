@@ -211,7 +211,7 @@ def test_katz_against_plain(spark, order):
     rows += [(150, None), (151, ""), (152, text(900)), (153, "only here " * 3), (154, "always next " * 20), (155, rows[3][1]), (156, "é\u0085x \u00a0")]
     want = dict(zip([i for i, _ in rows], plain.katz([t for _, t in rows], [i % 4 != 1 for i, _ in rows], order, katz.discounts), strict=True))
     docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, block long, tokens string").coalesce(2)
-    for sizes in ({}, {"block_tokens": 500, "part_keys": 3000}):
+    for sizes in ({}, {"block_tokens": 700, "part_keys": 4000}) if order == 3 else ({"block_tokens": 1500, "part_keys": 9000},):
         got = {x.doc_id: tuple(x)[1:] for x in katz.score(docs, F.col("doc_id") % 4 != 1, order=order, **sizes).collect()}
         assert got.keys() == want.keys()
         for i, g in got.items():
