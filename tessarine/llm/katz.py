@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, drop_folder, let_go, mix, raw_texts, shared_folder, word_hashes
 
 #: N-grams seen more often than this are not discounted. Words of the longest n-gram. Tokens of a block; n-grams of all blocks in a part of their table.
-K, ORDER, BLOCK_TOKENS, PART_KEYS = 5, 3, 1_500_000, 2_000_000
+K, ORDER, BLOCK_TOKENS, PART_KEYS = 5, 3, 1_200_000, 2_000_000
+#: Discounted counts are multiples of this, so that their sums are exact in any order.
+STEP = 1 / 1024
 #: Hashes that stand for the end of a text, and for what precedes its beginning.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Kinds of rows: counts of n-grams by their words less one, sums of contexts from CONTEXTS on, and the block itself after the answers to it.
@@ -65,24 +67,24 @@ def padding_keys(order: int) -> list[np.uint64]:
 
 
 def discounts(of_counts: list[int], k: int = K) -> np.ndarray:
-    """d[r] for r from 0 to k, of the numbers of n-grams seen r times (from 0 on): Katz's form, so that the mass of unseen ones is the Good-Turing estimate.
+    """The discounted counts of n-grams seen 0 to k times, of the numbers of n-grams seen r times (from 0 on): Katz's form, so that the mass of unseen ones is the Good-Turing estimate.
 
-    Where these numbers don't fall as they should (few data), d[r] is set to 1 - 1/(2r), which also lies between 0 and 1.
+    Where these numbers don't fall as they should (few data), half a count is taken. Something is taken always, and something stays.
     """
     n = [0.0, *[float(x) for x in of_counts[1 : k + 2]]]
     n += [0.0] * (k + 2 - len(n))
-    d = np.ones(k + 1)
+    out = np.zeros(k + 1)
     far = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
-        rough = 1 - 1 / (2 * r)
-        x = ((r + 1) * n[r + 1] / (r * n[r]) - far) / (1 - far) if n[r] and far < 1 else rough
-        d[r] = x if 0 < x < 1 else rough
-    return d
+        share = ((r + 1) * n[r + 1] / (r * n[r]) - far) / (1 - far) if n[r] and far < 1 else 0.0
+        x = round(share * r / STEP) * STEP
+        out[r] = x if 0 < x < r else r - 0.5
+    return out
 
 
 def worth(r: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Discounted counts."""
-    return np.where(r <= K, cut[np.minimum(r, K)] * r, r)
+    return np.where(r <= K, cut[np.minimum(r, K)], r)
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -172,12 +174,12 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     parts = [max(1, math.ceil(n / part_keys)) for n in [words, *[tokens] * (order - 1)]]
 
     def with_answers(*answers: DataFrame) -> DataFrame:
-        """Blocks after the answers to them; blocks that share a text in one task, in order."""
+        """Blocks after the answers to them; blocks that share a text in one task, in order. More tasks than blocks, so that few get several."""
         rows = packed.select("chain", "block", F.lit(BLOCK).cast("long").alias("kind"), "ids", *PACKED)
         for a in answers:
             rows = rows.unionByName(a.drop("seen", "total"), allowMissingColumns=True)
         columns = [c for c in ("chain", "block", "kind", "part", "answer", "more", "ids", *PACKED) if c in rows.columns]
-        return rows.select(columns).repartition(max(1, blocks), "chain").sortWithinPartitions("chain", "block", "kind", "part")
+        return rows.select(columns).repartition(max(1, 3 * blocks), "chain").sortWithinPartitions("chain", "block", "kind", "part")
 
     def counted(keys: DataFrame, parts: int, name: str) -> DataFrame:
         return written(in_parts(keys, parts).mapInArrow(count_keys, ddl(COUNTED)), name)

@@ -29,7 +29,7 @@ def katz(texts, learn, order, discounts, k=5):
             follow.setdefault(g[:-1], []).append(g[-1])
 
     def worth(r, n):
-        return cut[n][r] * r if r <= k else r
+        return cut[n][r] if r <= k else r
 
     def context(h):
         if h not in known:
