@@ -238,3 +238,32 @@ def test_quality(spark, empty):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert len(got) == 402 and all(0 <= s <= 1 for s in got.values()) and np.mean([(got[i] >= 0.5) == i % 2 for i in held]) > 0.97
     assert quality.train(empty, labels.limit(0), usable) is None and quality.scored(empty, None).count() == 0
+
+
+def test_quality_border_and_odd_rows(spark):
+    """Fifteen texts of a label are too few, sixteen do, whole texts are read, and repeated ids and clashing names change nothing between runs."""
+    text = lambda i, good: words(60, i) if good else " ".join("SPAM!! %s%%%%" % w for w in words(60, i).split())
+    rows = [(i, text(i, i % 2), "x", 0.0, "y") for i in range(120)]
+    docs = spark.createDataFrame([*rows, (0, "other text", "x", 1.0, "z"), (None, "n", None, None, None), (500, words(200_000, 1), "", 0.0, "")], "doc_id long, text string, _text string, score double, _id string")
+    labels = spark.createDataFrame([(i, i % 2, 9) for i in range(120)] + [(1, 1, 9), (None, 1, 9), (7, 5, 9)], "doc_id long, quality int, _label int")
+    few = quality.train(docs, labels, F.col("doc_id") < 40)
+    model, again = quality.train(docs, labels, F.col("doc_id") < 100), quality.train(docs.orderBy("text"), labels, F.col("doc_id") < 100)
+    assert few is None and (model.good, model.bad, model.weights.tolist()) == (again.good, again.bad, again.weights.tolist())
+    kept = quality.keep_good(docs.drop("score"), model)
+    assert kept.columns == [c for c in docs.columns if c != "score"]
+    assert {r.doc_id for r in kept.collect()} & set(range(120)) >= {i for i in range(101, 120, 2)} and kept.where("doc_id = 500").count() == 1
+    # a bad end decides too: texts aren't cut
+    assert quality.features("a " * 3000 + text(3, False) * 40, model.good, model.bad)[0] < quality.features("a " * 3000, model.good, model.bad)[0]
+
+
+def test_quality_on_held_out_rows(spark):
+    """The normalised difference alone ranks good over bad, and the score nearly always."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    model = quality.train(docs, labels, usable)
+    held = docs.join(labels, "doc_id").where(~usable).select("quality", "text").toPandas()
+    y = held["quality"].to_numpy()
+    auc = lambda s: np.mean([(s[y == 1] > x).mean() + (s[y == 1] == x).mean() / 2 for x in s[y == 0]])
+    score, alone = model.scores(held["text"].tolist()), model.features(held["text"].tolist())[:, 0]
+    print("AUC", auc(score), "of the difference alone", auc(alone), "good kept", (score[y == 1] >= 0.5).mean(), "bad rejected", (score[y == 0] < 0.5).mean())
+    assert auc(alone) > 0.98 and auc(score) > 0.99 and (score[y == 1] >= 0.5).mean() > 0.98 and (score[y == 0] < 0.5).mean() > 0.95
