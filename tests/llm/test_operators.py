@@ -267,3 +267,33 @@ def test_quality_on_held_out_rows(spark):
     score, alone = model.scores(held["text"].tolist()), model.features(held["text"].tolist())[:, 0]
     print("AUC", auc(score), "of the difference alone", auc(alone), "good kept", (score[y == 1] >= 0.5).mean(), "bad rejected", (score[y == 0] < 0.5).mean())
     assert auc(alone) > 0.98 and auc(score) > 0.99 and (score[y == 1] >= 0.5).mean() > 0.98 and (score[y == 0] < 0.5).mean() > 0.95
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_substring_dedup_brute_force(spark, batch):
+    """Shared passages with equal and with different surroundings, copies, repeats inside a text, in many and in few batches."""
+    r, rows = random.Random(11), []
+    passages = [words(n, 50 + n).split() for n in (19, 20, 25, 60)]
+    for i in range(90):
+        w = words(r.randrange(30), 1000 + i).split()
+        for _ in range(r.randrange(3)):
+            w += passages[r.randrange(4)] + words(r.randrange(4), 2000 + i).split()
+        rows.append((i, "\n".join(w)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, " ".join(passages[3] * 3)), (103, None), (104, " ".join(passages[2]).upper())]
+    r.shuffle(rows)
+    seen, want = {}, {}
+    for i, t in sorted(rows):
+        w = plain.words_of(t)
+        gone = set()
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+                gone |= set(range(k, k + 20))
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    substring_dedup.SETTLED_ROWS, before = batch * 50, substring_dedup.SETTLED_ROWS
+    try:
+        got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        substring_dedup.SETTLED_ROWS = before
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in got} == want
