@@ -10,8 +10,9 @@ rows past these lengths, or with too few shingles left behind them, make no pair
 Sets of some hundred shingles are also held against each other by 256 bits of parity (Sandes et al., the bitmap filter): shingles that one
 set has alone flip at most one bit each, so bits that differ bound the intersection from above and no link is lost.
 
-Only connected classes are asked for, so links inside a class need no proof. Each posting list first links its members to its head and to
-their neighbours; what is verified joins classes. Then only lists that still hold several classes give pairs, between different classes.
+Only connected classes are asked for, so links inside a class need no proof. Of equal sets in a batch of documents one is listed. A list that
+the counts show to be long is dealt into parts. Each part first links its members to its head and to their neighbours, and the heads of a
+list's parts are linked alike; what is verified joins classes. Then only lists that still hold several classes give pairs, between different classes.
 Verification compares whole shingle sets.
 """
 
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, components, drop_folder, let_go, raw_texts, shared_folder, shingle_set
+from .common import checkpointed, components, drop_folder, let_go, mix, raw_texts, shared_folder, shingle_set
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
 #: Cells of the table of counts (8 bytes each), rows into which a task's table is cut, longest l.
 CELLS, SLABS, MOST_MATCHES = 1 << 20, 64, 8
-#: Cost of comparing two sets against that of a row of a posting list, and members of a list that are linked in one group.
+#: Cost of comparing two sets against that of a row of a posting list, and members of a part of a list, on average.
 VERIFY_COST, LIST_ROWS = 40.0, 20_000
 #: Lists in which a document and its head or neighbour have to meet in the first round, which need not find all.
 STAR_MATCHES = 3
@@ -89,7 +90,7 @@ def choose_matches(cost: np.ndarray, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataFrame:
-    """id, n, parity (p0 to p3: by cells of the hash, whether an odd number of shingles falls there), matches (its l), crowd (0 to 31, by how many partners its prefix may have; it only orders lists), sig (128 bits of the set), prefix (shingle hashes in the global order)."""
+    """id, n, parity (p0 to p3: by cells of the hash, whether an odd number of shingles falls there), matches (its l), crowd (0 to 31, by how many partners its prefix may have; it only orders lists), sig (128 bits of the set), local (the smallest id of its set in a batch, which alone has a prefix), prefix (shingle hashes in the global order), part (of each shingle's list; -1 where it has only one)."""
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32))  # 4 * CELLS bytes
     usual = float(np.median(table))
     kind = docs.schema["id"].dataType.simpleString()
@@ -99,7 +100,9 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
 
         counts = sent.value
         for batch in batches:
-            ns, ls, crowds, sigs, out = [], [], [], [], []
+            ns, ls, crowds, sigs, out, parts, ids = [], [], [], [], [], [], batch.column(0).to_pylist()
+            none, first = np.empty(0, dtype=np.int64), {}
+            place = mix(np.array([i or 0 for i in ids], dtype=np.int64).view(np.uint64))
             parity = np.zeros((batch.num_rows, BITS // 64), dtype=np.int64)
             for k, t in enumerate(raw_texts(batch.column(1))):
                 s = shingle_set(t, words)
@@ -109,21 +112,32 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 if n >> 28:
                     raise ValueError(f"a text of {n} distinct shingles: rows of lists have 28 bits for their number")
-                if not n:
+                known = first.get(sigs[-1])
+                if not n or ids[k] is None or (known is not None and ids[known] <= ids[k]):
                     ls.append(1)
                     crowds.append(0)
-                    out.append(np.empty(0, dtype=np.int64))
+                    out.append(none)
+                    parts.append(none)
                     continue
+                if known is not None:
+                    out[known] = parts[known] = none
+                first[sigs[-1]] = k
                 c = counts[(s >> np.uint64(44)).astype(np.int64)]
                 at = np.lexsort((s, c))
                 cost = np.maximum(c[at] - usual, 0.0)
                 matches = choose_matches(cost, n)
                 ls.append(matches)
                 crowds.append(min(31, int(2 * np.log2(1 + cost[: base_prefix(n)].mean()))))
-                out.append(s[at[: base_prefix(n) + matches - 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *[pa.array(p) for p in parity.T], pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", *PARITY, "matches", "crowd", "sig", "prefix"])
+                at = at[: base_prefix(n) + matches - 1]
+                out.append(s[at].view(np.int64))
+                # a cell counts the documents of all its shingles, so no list is longer
+                dealt = (1 + c[at] // np.uint32(LIST_ROWS)).astype(np.uint64)
+                parts.append(np.where(dealt > 1, (place[k] % dealt).astype(np.int64), -1))
+            local = [None if s is None or s not in first else ids[first[s]] for s in sigs]
+            names = ["id", "n", *PARITY, "matches", "crowd", "sig", "local", "prefix", "part"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *[pa.array(p) for p in parity.T], pa.array(ls, pa.int32()), pa.array(crowds, pa.int32()), pa.array(sigs, pa.binary()), pa.array(local, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (out, parts)]], names)
 
-    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, {', '.join(f'{c} long' for c in PARITY)}, matches int, crowd int, sig binary, prefix array<long>")
+    return docs.select("id", text).mapInArrow(make, f"id {kind}, n long, {', '.join(f'{c} long' for c in PARITY)}, matches int, crowd int, sig binary, local long, prefix array<long>, part array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -199,29 +213,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = prefixes(d, cell_counts(d, "text", words), "text", words)
-    sets = checkpointed(made.select("id", "n", "sig", *PARITY))  # prefixes are made again where they are used: they are too large to keep
+    sets = checkpointed(made.select("id", "n", "sig", "local", *PARITY))  # prefixes are made again where they are used: they are too large to keep
     own = sets.where("id is not null and n > 0")
-    # documents of one set: its smallest id stands for them
-    heads = own.groupBy("sig", "n").agg(F.min("id").alias("rep"))
-    members = own.select("id", "sig", "n").join(heads, ["sig", "n"]).select("id", "rep", "n")
+    # documents of one set: its smallest id stands for them; batches found theirs, so a set that is everywhere has a row for each batch here
+    locals_ = own.where("id = local").select("local", "sig", "n").distinct()
+    heads = locals_.groupBy("sig", "n").agg(F.min("local").alias("rep"))
+    members = own.join(locals_.join(heads, ["sig", "n"]), ["local", "sig", "n"]).select("id", "rep", "n")
     copies = members.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    rows = made.where("id is not null and n > 0").select("id", "n", "matches", "crowd", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "id", packed().alias("packed"))
+    rows = made.where("size(prefix) > 0").select("id", "n", "matches", "crowd", F.posexplode(F.arrays_zip("prefix", "part")).alias("pos", "p")).select(F.col("p.prefix").alias("shingle"), F.col("p.part").alias("part"), "id", packed().alias("packed"))
     crowd = F.shiftright("packed", 3).bitwiseAND(31)
-    by_list = W.Window.partitionBy("shingle").orderBy(crowd.desc(), "packed", "id")
-    whole = by_list.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
-    lists = rows.withColumn("of", F.count(F.lit(1)).over(whole)).withColumn("place", F.row_number().over(by_list))
-    lists = lists.where("of > 1").withColumn("part", F.floor((F.col("place") - 1) / LIST_ROWS))
+    in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
+    # the only member of a part may have others in the list's other parts
+    lists = rows.withColumn("of", F.count(F.lit(1)).over(W.Window.partitionBy("shingle", "part"))).where("of > 1 or part >= 0")
     # columns of sorted lists take a quarter of the room of rows; the table goes as soon as the last pairs are verified
     folder = f"{shared_folder(docs.sparkSession)}/lists-{uuid.uuid4().hex}"
     lists.select("shingle", "id", "packed", "part").write.parquet(folder)
     lists = docs.sparkSession.read.parquet(folder)
     let_go(docs.sparkSession)
 
-    # members against the head of their list, and against the one before
-    in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
-    heads_of = lists.withColumn("head", F.first(F.struct("id", "packed")).over(in_part)).withColumn("before", F.lag(F.struct("id", "packed")).over(in_part))
-    star = heads_of.where("before is not null").select("id", "packed", F.explode(F.array_distinct(F.array("head", "before"))).alias("o")).select("id", "packed", F.col("o.id").alias("id2"), F.col("o.packed").alias("packed2"))
+    # members against the head of their part, and against the one before; heads of the parts of a list likewise
+    def starred(of: DataFrame, w: W.WindowSpec) -> DataFrame:
+        seen = of.withColumn("head", F.first(F.struct("id", "packed")).over(w)).withColumn("before", F.lag(F.struct("id", "packed")).over(w)).where("before is not null")
+        return seen.select("id", "packed", F.explode(F.array_distinct(F.array("head", "before"))).alias("o")).select("id", "packed", F.col("o.id").alias("id2"), F.col("o.packed").alias("packed2"))
+
+    order = F.struct((-crowd).alias("c"), F.col("packed").alias("packed"), F.col("id").alias("id"))
+    part_heads = lists.where("part >= 0").groupBy("shingle", "part").agg(F.min(order).alias("h")).select("shingle", "h.packed", "h.id")
+    star = starred(lists, in_part).unionByName(starred(part_heads, W.Window.partitionBy("shingle").orderBy(crowd.desc(), "packed", "id")))
     texts = d.where("id is not null")
     rep_a, rep_b = members.select(F.col("id").alias("a"), F.col("rep").alias("ra")), members.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
 
