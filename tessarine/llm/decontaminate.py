@@ -2,8 +2,9 @@
 
 Test items are partitioned by the size of their shingle set. For each size class a document is covered by overlapping windows a little
 longer than its items, so an item that lies in a document of any length has a high Jaccard similarity with some window. MinHash values of
-windows are looked up among those of the class's items; every pair that agrees in one value is verified by exact containment in the whole
-document. Items go to the tasks in blocks of a bounded size.
+windows meet those of the class's items in a join; every pair that agrees in one value is verified by exact containment in the whole
+document. A Bloom filter over the items' values, built where they are, lets the one scan of the documents send only windows that may meet
+something, and the shingles only of documents that have such windows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, shingle_set, shingles_in_order
+from .common import checkpointed, mix, raw_texts, shingle_set, shingles_in_order
 
 #: Words of a shingle, least share of an item's shingles in a document, share of true pairs that may be missed in the search.
 WORDS, CONTAINMENT, MISS = 5, 0.75, 1e-5
-#: Shingles of items in a block (8 bytes each are broadcast), shingles of documents hashed at once.
-BLOCK_SHINGLES, BATCH_SHINGLES = 2_000_000, 40_000
+#: Shingles of documents hashed at once.
+BATCH_SHINGLES = 40_000
+#: Bits of the filter for each value of an item, its least and greatest size as powers of two (64 MB), parts in which it is put together.
+BITS_A_VALUE, LEAST_POWER, MOST_POWER, SLABS = 64, 20, 29, 64
 #: Ratio of the largest to the smallest size in a class.
 RATIO = math.sqrt(2)
+#: Items of so many rows of values and bytes of shingles go to all tasks; more are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def hashes_needed(miss: float = MISS, containment: float = CONTAINMENT) -> int:
@@ -33,102 +38,144 @@ def hashes_needed(miss: float = MISS, containment: float = CONTAINMENT) -> int:
     return math.ceil(math.log(miss) / math.log(1 - jaccard))
 
 
-class Items:
-    """A block of items: their shingle sets, and per size class the MinHash values that find them."""
-
-    def __init__(self, ids: list, sets: list[np.ndarray], hashes: int):
-        self.ids, self.sets = ids, sets
-        rng = np.random.default_rng(5)
-        self.xor = rng.integers(0, 2**63, hashes, dtype=np.uint64)[:, None]
-        self.odd = rng.integers(0, 2**63, hashes, dtype=np.uint64)[:, None] | np.uint64(1)
-        groups: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            if len(s):
-                groups.setdefault(math.ceil(math.log(len(s), RATIO) - 1e-9), []).append(i)
-        #: (words of a block of a window, item numbers in order of their values, values), the last two by hash function
-        self.classes = []
-        for c, members in sorted(groups.items()):
-            values = np.stack([self.values(sets[i]).min(axis=1) for i in members], axis=1)
-            order = np.argsort(values, axis=1)
-            self.classes.append((math.ceil(RATIO**c / 2), np.array(members)[order], np.take_along_axis(values, order, axis=1)))
-
-    def values(self, h: np.ndarray) -> np.ndarray:
-        return (h[None, :] ^ self.xor) * self.odd
-
-    def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) numbers that share a MinHash value; docs: shingles in the order of the text, none empty."""
-        v = self.values(np.concatenate(docs))
-        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        found: set[tuple[int, int]] = set()
-        for step, members, values in self.classes:
-            blocks = [-(-len(d) // step) for d in docs]
-            owner = np.repeat(np.arange(len(docs)), blocks)
-            within = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(blocks)[:-1]]), blocks)
-            low = np.minimum.reduceat(v, first[owner] + within * step, axis=1)
-            window = low.copy()
-            for k in (1, 2):  # with the blocks that follow in the same document
-                if len(owner) > k:
-                    same = owner[k:] == owner[:-k]
-                    window[:, :-k][:, same] = np.minimum(window[:, :-k][:, same], low[:, k:][:, same])
-            for k in range(len(values)):
-                row, mine = values[k], window[k]
-                left, right = np.searchsorted(row, mine, "left"), np.searchsorted(row, mine, "right")
-                for w in np.nonzero(right > left)[0]:
-                    found.update((int(owner[w]), int(i)) for i in members[k, left[w] : right[w]])
-        return found
+def _hashers(n: int) -> list[tuple[np.uint64, np.uint64]]:
+    rng = np.random.default_rng(5)
+    return list(zip(rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64) | np.uint64(1), strict=True))
+
+
+def class_of(n: int) -> int:
+    return math.ceil(math.log(n, RATIO) - 1e-9)
+
+
+def keys_of(values: np.ndarray, c: int, k: int) -> np.ndarray:
+    """MinHash values of a class and a hash function as keys of the join."""
+    return mix(values ^ mix(np.full(1, (c << 16) + k, dtype=np.uint64)))
+
+
+def bit_places(keys: np.ndarray, power: int) -> tuple[np.ndarray, ...]:
+    """Three places of each key in a filter of 2**power bits."""
+    again = mix(keys)
+    return tuple((x >> np.uint64(64 - power)).astype(np.int64) for x in (keys, again, again << np.uint64(power)))
+
+
+def window_mins(v: np.ndarray, first: np.ndarray, blocks: np.ndarray, step: int) -> np.ndarray:
+    """Least value of each window of three blocks of step shingles; first and blocks: where documents begin, and how many blocks they have."""
+    owner = np.repeat(np.arange(len(blocks)), blocks)
+    start = np.cumsum(blocks) - blocks
+    low = np.minimum.reduceat(v, first[owner] + (np.arange(len(owner)) - start[owner]) * step)
+    window = low.copy()
+    for k in (1, 2):  # with the blocks that follow in the same document
+        if len(owner) > k:
+            same = owner[k:] == owner[:-k]
+            window[:-k][same] = np.minimum(window[:-k][same], low[k:][same])
+    return window
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
     """(document id, item id, n_item_shingles, n_shared, containment) of items of whose shingles a document holds the given share or more.
 
     Words and shingles are those of shingle_set(): lower-cased A-Z, a text of fewer words is one shingle, so such an item is found only as a whole document. Null and
-    empty texts match nothing. Repeated rows of either table are reported for each row; null ids are kept. Other columns are not read.
+    empty texts match nothing. Repeated rows of either table are reported for each row; null ids are kept. Texts may have any length. Other columns are not read.
     """
-    spark, hashes = docs.sparkSession, hashes_needed(containment=containment)
+    spark, hashers = docs.sparkSession, _hashers(hashes_needed(containment=containment))
     doc_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    wanted = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
-    # shingles of an item: at most its words, and so at most half its characters and one
-    sized = wanted.select("item", "text", (F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("n"))
-    most = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(most / BLOCK_SHINGLES))
-    out = None
-    for b in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).select("item", "text").collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [shingle_set((r[1] or "").encode(), words) for r in rows]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Items(*sent.value, hashes)
-
-            def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-                got = []
-                for d, i in sorted(block.candidates(sets)) if sets else ():
-                    shared = int(np.isin(block.sets[i], sets[d], kind="sort").sum())
-                    if shared >= containment * len(block.sets[i]):
-                        got.append((ids[d], block.ids[i], len(block.sets[i]), shared, shared / len(block.sets[i])))
-                cols = list(zip(*got, strict=True)) or [[]] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "item", "n_item_shingles", "n_shared", "containment"])
-
-            for batch in batches:
-                kinds = [batch.schema.field(0).type, item_kind, pa.int64(), pa.int64(), pa.float64()]
-                ids, sets, size = [], [], 0
-                for d, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                    if len(h := shingles_in_order(text, words)) and block.classes:
-                        ids.append(d)
-                        sets.append(h)
-                        size += len(h)
-                    if size >= BATCH_SHINGLES:
-                        yield flush(ids, sets)
-                        ids, sets, size = [], [], 0
-                yield flush(ids, sets)
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_kind = to_arrow_type(items.schema[item_id].dataType)
-        part = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, f"doc {doc_type}, item {item_type}, n_item_shingles long, n_shared long, containment double")
-        out = part if out is None else out.unionByName(part)
+
+    def keyed(df: DataFrame, i: str, t: str) -> DataFrame:
+        """Rows of one id and text share a key; what they match is reported for each of them."""
+        text = F.col(t).cast("string")
+        return df.select(F.xxhash64(F.col(i).cast("string"), text).alias("row"), F.col(i).alias("id"), text.alias("text")).where("text != ''")
+
+    def hash_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in raw_texts(batch.column(2))]
+            keys, n = [], [len(s) for s in sets]
+            for s in sets:
+                keys.append(np.array([keys_of(((s ^ x) * odd).min(keepdims=True), class_of(len(s)), k)[0] for k, (x, odd) in enumerate(hashers)] if len(s) else [], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["irow", "item", "n", "item_set", "keys"])
+
+    hashed = checkpointed(keyed(items, item_id, item_text).mapInArrow(hash_items, f"irow long, item {item_type}, n long, item_set binary, keys array<long>").where("n > 0"))
+    n_items, n_shingles = hashed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = sorted({class_of(r["n"]) for r in hashed.select("n").distinct().collect()})  # sizes of items: few
+    power = min(MOST_POWER, max(LEAST_POWER, (n_items * len(hashers) * BITS_A_VALUE).bit_length()))
+    sent = spark.sparkContext.broadcast(_filter(hashed, power))  # 2**power bits
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            sets = [h for *_, h in held]
+            sizes = np.array([len(h) for h in sets], dtype=np.int64)
+            flat, first = np.concatenate(sets), np.cumsum(sizes) - sizes
+            found: list[list[np.ndarray]] = [[] for _ in held]
+            for k, (x, odd) in enumerate(hashers):
+                v = (flat ^ x) * odd
+                for c in classes:
+                    step = math.ceil(RATIO**c / 2)
+                    blocks = -(-sizes // step)
+                    keys = keys_of(window_mins(v, first, blocks, step), c, k)
+                    hit = np.flatnonzero(np.logical_and.reduce([(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in bit_places(keys, power)]))
+                    owner = np.searchsorted(np.cumsum(blocks), hit, side="right")
+                    for d in np.unique(owner).tolist():
+                        found[d].append(keys[hit[owner == d]])
+            got = [(row, i, np.unique(h).tobytes(), np.unique(np.concatenate(f)).view(np.int64)) for (row, i, h), f in zip(held, found, strict=True) if f]
+            cols = list(zip(*got, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), id_type, pa.binary(), pa.list_(pa.int64())], strict=True)], ["row", "doc", "doc_set", "keys"])
+
+        for batch in batches:
+            id_type, held, size = batch.schema.field(1).type, [], 0
+            for row, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
+                if len(h := shingles_in_order(text, words)) and classes:
+                    held.append((row, i, h))
+                    size += len(h)
+                if size >= BATCH_SHINGLES:
+                    yield flush(held)
+                    held, size = [], 0
+            if held:
+                yield flush(held)
+
+    found = checkpointed(keyed(docs, id_col, text_col).mapInArrow(search, f"row long, doc {doc_type}, doc_set binary, keys array<long>"))
+    small = F.broadcast if n_items * len(hashers) * 16 + n_shingles * 8 < BROADCAST_BYTES else (lambda df: df)
+    values = hashed.select("irow", F.explode("keys").alias("key")).distinct()
+    pairs = found.select("row", F.explode("keys").alias("key")).distinct().join(small(values), "key").select("row", "irow").distinct()
+    both = pairs.join(small(hashed.select("irow", "item", "n", "item_set")), "irow").join(found.select("row", "doc", "doc_set"), "row").select("doc", "item", "n", "item_set", "doc_set")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = [int(np.isin(np.frombuffer(i, dtype=np.uint64), np.frombuffer(d, dtype=np.uint64), kind="sort").sum()) for i, d in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            n = batch.column(2).to_numpy()
+            share = np.array(shared, dtype=np.float64) / n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shared, pa.int64()), pa.array(share)], ["doc", "item", "n_item_shingles", "n_shared", "containment"]).filter(pa.array(np.array(shared) >= containment * n))
+
+    out = both.mapInArrow(verify, f"doc {doc_type}, item {item_type}, n_item_shingles long, n_shared long, containment double")
     return out.withColumnRenamed("doc", id_col).withColumnRenamed("item", item_id if item_id != id_col else f"item_{item_id}")
 
 
+def _filter(hashed: DataFrame, power: int) -> np.ndarray:
+    """The bits of all keys. Tasks set the bits of a part each, and no more than 2**power bits are gathered."""
+    width = (1 << power) // 8 // SLABS
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *bit_places(batch.column(0).flatten().to_numpy().view(np.uint64), power)]))
+            yield pa.RecordBatch.from_arrays([pa.array(p // (width * 8)), pa.array(p)], ["slab", "place"])
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slabs: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for s in np.unique(of).tolist():
+                p = place[of == s] % (width * 8)
+                np.bitwise_or.at(slabs.setdefault(s, np.zeros(width, dtype=np.uint8)), p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        if slabs:
+            yield pa.RecordBatch.from_arrays([pa.array(list(slabs), pa.int64()), pa.array([b.tobytes() for b in slabs.values()], pa.binary())], ["slab", "bits"])
+
+    bits = np.zeros((1 << power) // 8, dtype=np.uint8)
+    parts = hashed.select("keys").mapInArrow(places, "slab long, place long").distinct().repartition(SLABS, "slab").mapInArrow(set_bits, "slab long, bits binary")
+    for slab, raw in parts.collect():  # SLABS rows
+        bits[slab * width : (slab + 1) * width] = np.frombuffer(bytes(raw), dtype=np.uint8)
+    return bits
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """docs without those that hold an item; rows with a null id stay."""
     found = find_contained(docs, items, id_col=id_col, **names).select(id_col).distinct()

@@ -297,3 +297,23 @@ def test_substring_dedup_brute_force(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         substring_dedup.SETTLED_ROWS = before
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in got} == want
+
+
+def test_decontamination_brute_force(spark, monkeypatch):
+    """Items of many sizes, whole, in part and scattered, in short and very long texts, against every pair; items shuffled or sent to all tasks."""
+    r = random.Random(4)
+    items = [(i, words(r.choice([3, 5, 8, 20, 60, 300]), 500 + i).upper() if i % 3 == 0 else words(r.choice([5, 9, 30, 120]), 500 + i)) for i in range(60)] + [(60, None), (61, ""), (5, "again " * 9)]
+    rows = [(i, words(r.randrange(5, 200), 9000 + i)) for i in range(40)]
+    for i in range(100, 220):
+        w = r.choice(items[:60])[1].split()
+        part = w[: max(1, int(len(w) * r.choice([1, 1, 0.9, 0.8, 0.7, 0.5])))]
+        rows.append((i, " ".join(words(r.randrange(60), i).split() + part + words(r.randrange(400), i + 1).split())))
+    rows += [(300, words(60_000, 7) + " " + items[7][1] + " " + words(60_000, 8)), (301, items[8][1]), (301, items[8][1]), (None, items[9][1]), (302, None), (303, "")]
+    sets = lambda t: {tuple(w[k : k + 5]) for w in [plain.words_of(t, lower=True)] if w for k in range(max(1, len(w) - 4))}
+    of_items = [(i, sets(t)) for i, t in items]
+    want = sorted(((d is None, d or 0, i, len(s), len(s & h)) for d, t in rows for h in [sets(t)] for i, s in of_items if s and len(s & h) >= 0.75 * len(s)))
+    made = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, item int, keys string"), spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc long")
+    for size in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
+        got = decontaminate.find_contained(*made).collect()
+        assert sorted((x.doc_id is None, x.doc_id or 0, x.item_id, x.n_item_shingles, x.n_shared) for x in got) == want and len(want) > 60
