@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SEED = np.random.default_rng(20240229)
@@ -124,11 +124,19 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame, name: str, by: Column) -> DataFrame:
+    """df with a number for each row. A task that runs again numbers alike, in whatever order it gets its rows: they are sorted by a hash of all that tells them apart."""
+    return df.sortWithinPartitions(by).withColumn(name, F.monotonically_increasing_id())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir; one of this machine only in local sessions that name none, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -144,7 +152,7 @@ def let_go(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut; the session's cleaner drops the files once nothing refers to them."""
+    """df written to the shared folder, its lineage cut. With spark.cleaner.referenceTracking.cleanCheckpoints the session drops the files once nothing refers to them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

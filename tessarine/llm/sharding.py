@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import free_name
+from .common import free_name, numbered
 
 #: Records and bytes of a bucket on average, at most.
 BUCKET_ROWS, BUCKET_BYTES = 20_000, 8 << 20
@@ -44,7 +44,7 @@ def _placed(docs: DataFrame, shards: int, seed: int, id_col: str, text_col: str,
         F.xxhash64(F.lit(seed), key, text, *others).alias(order),
     )
     # a repeated row has the same hash as its twin: the tag spreads twins over the buckets
-    placed = placed.withColumn(tag, F.monotonically_increasing_id()).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(order), F.col(tag)), buckets).cast("int"))
+    placed = numbered(placed, tag, F.col(order)).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(order), F.col(tag)), buckets).cast("int"))
     # as many tasks as buckets, so that a task holds a few of them at any size
     placed = placed.repartition(max(1, sum(counts.values())), shard_name, bucket)
     fields = F.struct(F.col(order), F.col(tag), *[F.col(c) for c in [*names, grown_name]])

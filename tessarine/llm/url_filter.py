@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import free_name
+from .common import free_name, numbered
 
 
 def address(url: Column) -> Column:
@@ -50,7 +50,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     see intervals(). No list or no captures: nothing is blocked, or no rows.
     """
     (row,) = free_name(captures, "_row")
-    cap = captures.select(F.monotonically_increasing_id().alias(row), F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(time_col).alias("_at"))
+    cap = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(time_col).alias("_at"))
+    cap = numbered(cap, row, F.xxhash64("_id", "_url", "_at"))
     keys = cap.select(row, "_id", "_at", F.explode_outer(patterns(F.col("_url"))).alias("_key"))
     iv = intervals(entries)
     hit = keys.join(iv, (F.col("_key") == iv["pattern"]) & (F.col("_at") >= iv["valid_from"]) & (iv["valid_to"].isNull() | (F.col("_at") < iv["valid_to"])), "left")
