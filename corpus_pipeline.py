@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages; each reads what its predecessor wrote.
 
-Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents, with those that docs has
+beyond doc_id and text left as they are (n_chars follows the text). Empty tables give empty ones. A row without an id is judged by its text
+alone: quality and benchmark may drop it, near_duplicates and repeats leave it as it is. Null and empty texts have no words, so they are no
+copies, repeat nothing and hold no benchmark item; the classifier gives both the score of an empty text. Rows that repeat an id: quality
+judges each row; near_duplicates and benchmark drop all rows of an id or none; repeats cuts each row by its own text.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from tessarine.llm.queries import learnable, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled documents of this stage's own input."""
+    """Documents that the classifier rejects go. It learns from the labelled documents of this stage's own input; with too few labels all stay."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"), learnable())
     return quality.keep_good(docs, model)
 
@@ -29,10 +33,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier passage are cut from the texts; a text that loses none stays as it is, also in its white space."""
-    cut = substring_dedup.repeats(docs).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    both = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("_kept", "text")
-    return both.select([text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept, print_ = common.free_name(docs, "kept", "text_hash")
+    cut = substring_dedup.repeats(docs).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("text_hash").alias(print_), F.col("kept").alias(kept)).dropDuplicates(["doc_id", print_])
+    both = docs.withColumn(print_, F.xxhash64(F.col("text").cast("string"))).join(cut, ["doc_id", print_], "left")
+    new = {"text": F.coalesce(kept, "text")} | ({"n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept))} if "n_chars" in docs.columns else {})
+    return both.select([new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    docs = common.read(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what a stage returns is written to the shared folder and read again. A folder goes once the next is written."""
+    docs, folder, last = common.read(spark, sf_dir, "documents"), f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            common.drop_folder(spark, f"{folder}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
