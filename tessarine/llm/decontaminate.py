@@ -24,7 +24,9 @@ WORDS, CONTAINMENT, MISS = 5, 0.75, 1e-5
 #: Shingles of documents hashed at once.
 BATCH_SHINGLES = 40_000
 #: Bits of the filter for each value of an item, its least and greatest size as powers of two (64 MB), parts in which it is put together.
-BITS_A_VALUE, LEAST_POWER, MOST_POWER, SLABS = 64, 20, 29, 64
+BITS_A_VALUE, LEAST_POWER, MOST_POWER, SLABS = 64, 20, 29, 16
+#: Bits that a value sets.
+PLACES = 3
 #: Ratio of the largest to the smallest size in a class.
 RATIO = math.sqrt(2)
 #: Items of so many rows of values and bytes of shingles go to all tasks; more are shuffled.
@@ -48,27 +50,41 @@ def class_of(n: int) -> int:
 
 
 def keys_of(values: np.ndarray, c: int, k: int) -> np.ndarray:
-    """MinHash values of a class and a hash function as keys of the join."""
-    return mix(values ^ mix(np.full(1, (c << 16) + k, dtype=np.uint64)))
+    """MinHash values of a class and a hash function as keys of the join, by an odd factor of the two."""
+    return values * (mix(np.full(1, (c << 16) + k, dtype=np.uint64)) | np.uint64(1))
 
 
-def bit_places(keys: np.ndarray, power: int) -> tuple[np.ndarray, ...]:
-    """Three places of each key in a filter of 2**power bits."""
-    again = mix(keys)
-    return tuple((x >> np.uint64(64 - power)).astype(np.int64) for x in (keys, again, again << np.uint64(power)))
+def bit_place(keys: np.ndarray, power: int, k: int) -> np.ndarray:
+    """The k-th place of each key in a filter of 2**power bits, of PLACES."""
+    x = keys if k == 0 else mix(keys) << np.uint64(power * (k - 1))
+    return (x >> np.uint64(64 - power)).astype(np.int64)
 
 
-def window_mins(v: np.ndarray, first: np.ndarray, blocks: np.ndarray, step: int) -> np.ndarray:
-    """Least value of each window of three blocks of step shingles; first and blocks: where documents begin, and how many blocks they have."""
-    owner = np.repeat(np.arange(len(blocks)), blocks)
-    start = np.cumsum(blocks) - blocks
-    low = np.minimum.reduceat(v, first[owner] + (np.arange(len(owner)) - start[owner]) * step)
-    window = low.copy()
-    for k in (1, 2):  # with the blocks that follow in the same document
-        if len(owner) > k:
-            same = owner[k:] == owner[:-k]
-            window[:-k][same] = np.minimum(window[:-k][same], low[k:][same])
-    return window
+def may_hold(bits: np.ndarray, keys: np.ndarray, power: int) -> np.ndarray:
+    """Indexes of the keys whose places are all set."""
+    left = np.arange(len(keys))
+    for k in range(PLACES):
+        p = bit_place(keys[left], power, k)
+        left = left[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+    return left
+
+
+class Windows:
+    """Windows of three blocks of step shingles each over documents that lie one after another."""
+
+    def __init__(self, sizes: np.ndarray, step: int):
+        blocks = -(-sizes // step)
+        self.owner = np.repeat(np.arange(len(sizes)), blocks)
+        self.starts = (np.cumsum(sizes) - sizes)[self.owner] + (np.arange(len(self.owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * step
+        self.ends = np.cumsum(blocks) - 1
+
+    def mins(self, v: np.ndarray) -> np.ndarray:
+        low = np.minimum.reduceat(v, self.starts)
+        for _ in range(2):  # with the blocks that follow in the same document
+            last = low[self.ends]
+            low[:-1] = np.minimum(low[:-1], low[1:])
+            low[self.ends] = last
+        return low
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
@@ -105,17 +121,15 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         def flush(held: list[tuple]) -> pa.RecordBatch:
             sets = [h for *_, h in held]
             sizes = np.array([len(h) for h in sets], dtype=np.int64)
-            flat, first = np.concatenate(sets), np.cumsum(sizes) - sizes
+            flat, covers = np.concatenate(sets), [(c, Windows(sizes, math.ceil(RATIO**c / 2))) for c in classes]
             found: list[list[np.ndarray]] = [[] for _ in held]
             for k, (x, odd) in enumerate(hashers):
                 v = (flat ^ x) * odd
-                for c in classes:
-                    step = math.ceil(RATIO**c / 2)
-                    blocks = -(-sizes // step)
-                    keys = keys_of(window_mins(v, first, blocks, step), c, k)
-                    hit = np.flatnonzero(np.logical_and.reduce([(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in bit_places(keys, power)]))
-                    owner = np.searchsorted(np.cumsum(blocks), hit, side="right")
-                    for d in np.unique(owner).tolist():
+                for c, cover in covers:
+                    keys = keys_of(cover.mins(v), c, k)
+                    hit = may_hold(bits, keys, power)
+                    owner = cover.owner[hit]
+                    for d in np.unique(owner).tolist() if len(hit) else ():
                         found[d].append(keys[hit[owner == d]])
             got = [(row, i, np.unique(h).tobytes(), np.unique(np.concatenate(f)).view(np.int64)) for (row, i, h), f in zip(held, found, strict=True) if f]
             cols = list(zip(*got, strict=True)) or [[]] * 4
@@ -156,7 +170,8 @@ def _filter(hashed: DataFrame, power: int) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *bit_places(batch.column(0).flatten().to_numpy().view(np.uint64), power)]))
+            keys = batch.column(0).flatten().to_numpy().view(np.uint64)
+            p = np.unique(np.concatenate([bit_place(keys, power, k) for k in range(PLACES)]))
             yield pa.RecordBatch.from_arrays([pa.array(p // (width * 8)), pa.array(p)], ["slab", "place"])
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
