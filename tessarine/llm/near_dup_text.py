@@ -218,8 +218,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # documents of one set: its smallest id stands for them; batches found theirs, so a set that is everywhere has a row for each batch here
     locals_ = own.where("id = local").select("local", "sig", "n").distinct()
     heads = locals_.groupBy("sig", "n").agg(F.min("local").alias("rep"))
-    members = own.join(locals_.join(heads, ["sig", "n"]), ["local", "sig", "n"]).select("id", "rep", "n")
-    copies = members.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    locals_ = locals_.join(heads, ["sig", "n"])
+    members = own.join(locals_, ["local", "sig", "n"]).select("id", "rep", "n")
+    # copies follow their set's class; only an id with several sets is a link itself
+    several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("id")
+    copies = members.join(several, "id").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     rows = made.where("size(prefix) > 0").select("id", "n", "matches", "crowd", F.posexplode(F.arrays_zip("prefix", "part")).alias("pos", "p")).select(F.col("p.prefix").alias("shingle"), F.col("p.part").alias("part"), "id", packed().alias("packed"))
     crowd = F.shiftright("packed", 3).bitwiseAND(31)
@@ -268,7 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lifted = second.join(names.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
     lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     above = components(lifted)
-    final = members.select("id").distinct().join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"))
-    final = final.join(above, final["class"] == above["node"], "left").select("id", F.coalesce("component", "class").alias("component_id"))
+    classed = locals_.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("local", "sig", "n", F.coalesce("component", "rep").alias("class"))
+    classed = classed.join(above, classed["class"] == above["node"], "left").select("local", "sig", "n", F.coalesce("component", "class").alias("component_id"))
+    final = own.join(classed, ["local", "sig", "n"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = sets.select("id", "n").join(final, "id", "left")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

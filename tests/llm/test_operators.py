@@ -317,3 +317,17 @@ def test_decontamination_brute_force(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
         got = decontaminate.find_contained(*made).collect()
         assert sorted((x.doc_id is None, x.doc_id or 0, x.item_id, x.n_item_shingles, x.n_shared) for x in got) == want and len(want) > 60
+
+
+def test_near_duplicates_with_repeated_ids_and_long_lists(spark, monkeypatch):
+    """An id with two texts links their groups; lists that are dealt into parts lose no link."""
+    r = random.Random(8)
+    a, b, c = words(60, 1).split(), words(60, 2).split(), words(60, 3).split()
+    near = lambda w: " ".join([*w[: (k := r.randrange(60))], "zz%d" % r.randrange(9), *w[k + 1 :]])
+    rows = [(10 + i, near(a)) for i in range(60)] + [(100 + i, near(b)) for i in range(60)] + [(200 + i, " ".join(c)) for i in range(60)]
+    rows += [(300, " ".join(a)), (300, " ".join(b)), (7, " ".join(c)), (301, "alone"), (302, "alone")]
+    for size in (near_dup_text.LIST_ROWS, 7):
+        monkeypatch.setattr(near_dup_text, "LIST_ROWS", size)
+        got = {x.doc_id: x.component_id for x in near_dup_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {got[i] for i, _ in rows if i in range(10, 160) or i == 300} == {10}, size
+        assert {got[i] for i, _ in rows if i in range(200, 260) or i == 7} == {7} and got[301] == got[302] == 301
