@@ -12,15 +12,24 @@ from ..functions.text import document_codes, fold, lookup_terms, normalize_space
 
 #: Rank constant, weights of the vector and keyword lists, factor by which the vector side looks further than asked.
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, PROBE = 60, 1.0, 1.2, 4
-#: Queries that are sent to every task at once, on average; more are answered in as many rounds as it takes.
+#: Queries that are sent to every task at once, on average; more are answered block by block.
 QUERY_BLOCK = 1000
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files that can't be split are dealt to all cores; a table of many splits is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def probe_size(top_k: int, factor: int = PROBE) -> int:
     return max(top_k * max(1, factor), top_k)
 
@@ -31,11 +40,11 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def each_with(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each row with each query; the queries go to all tasks, in blocks by the hash of their id."""
+def in_blocks(queries: DataFrame, answer) -> DataFrame:
+    """The answers to all queries: blocks of them, by the hash of their id, go to all tasks one after another."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(queries.where(block == k) if blocks > 1 else queries)) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, [answer(queries.where(block == k) if blocks > 1 else queries) for k in range(blocks)])
 
 
 def vector_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -43,8 +52,10 @@ def vector_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     points: point_id, chunk_id, child_type, vector. queries: query_id, query_vector, a stated set that is counted before it is sent.
     """
-    q = queries.select("query_id", "query_vector")
-    scored = each_with(points, q).select("query_id", "point_id", "chunk_id", "child_type", cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
+    q = queries.select("query_id", "query_vector", dot(F.col("query_vector"), F.col("query_vector")).alias("query_norm"))
+    p = spread(points).withColumn("norm", dot(F.col("vector"), F.col("vector")))
+    near = dot(F.col("vector"), F.col("query_vector")) / F.sqrt(F.col("norm") * F.col("query_norm"))
+    scored = in_blocks(q, lambda block: p.join(F.broadcast(block)).select("query_id", "point_id", "chunk_id", "child_type", near.alias("similarity")))
     return ranked(scored, ["query_id"], [F.col("similarity").desc(), F.col("point_id")], k)
 
 
@@ -64,10 +75,20 @@ def keyword_score(terms: Column, codes: Column, blob: Column, chunk_codes: Colum
 
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score > 0. chunks: chunk_id, content (the blob), chunk_codes. queries: query_id, message."""
+    """query_id, chunk_id, score > 0. chunks: chunk_id, content (the blob), chunk_codes. queries: query_id, message.
+
+    A block of queries goes to all tasks as one array, so that a chunk's text is folded once and each score computed once.
+    """
     q = queries.select("query_id", lookup_terms("message").alias("terms"), document_codes("message").alias("codes")).where((F.size("terms") > 0) | (F.size("codes") > 0))
-    folded = chunks.select("chunk_id", fold("content").alias("blob"), "chunk_codes")
-    return each_with(folded, q).select("query_id", "chunk_id", keyword_score(F.col("terms"), F.col("codes"), F.col("blob"), F.col("chunk_codes")).alias("score")).where("score > 0")
+    folded = spread(chunks.select("chunk_id", "content", "chunk_codes")).select("chunk_id", fold("content").alias("blob"), "chunk_codes")
+
+    def answer(block: DataFrame) -> DataFrame:
+        asked = block.agg(F.collect_list(F.struct("query_id", "terms", "codes")).alias("asked"))  # one row
+        hit = F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), keyword_score(x["terms"], x["codes"], F.col("blob"), F.col("chunk_codes")).alias("score")))
+        rows = folded.join(F.broadcast(asked)).select("chunk_id", F.explode(F.filter(hit, lambda h: h["score"] > 0)).alias("h"))
+        return rows.select("h.query_id", "chunk_id", "h.score")
+
+    return in_blocks(q, answer)
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -108,12 +129,28 @@ def excerpt(text: Column, n: int = 280) -> Column:
     return F.substring(F.replace(F.trim(text), F.lit("\n"), F.lit(" ")), 1, n)
 
 
-def context_block(results: DataFrame) -> DataFrame:
-    """query_id, context: per chunk a line of what is known of it, then its text; blocks are parted by blank lines."""
-    head = F.concat_ws(" | ", F.concat(F.lit("file="), F.col("file_name")), F.concat(F.lit("retrieval="), F.col("retrieval_mode")))
+NO_CONTEXT = "No retrieved context available."  # fixed value
+
+
+def context_block(results: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, context: per chunk a line of what is known of it, then its text; blocks are parted by blank lines. Queries without results get a notice.
+
+    Results may have file_name, page, doc_type, h2, h3, chunk_codes (the first three are named) and retrieval_mode.
+    """
+    labels = [("file", "file_name"), ("page", "page"), ("doc_type", "doc_type"), ("h2", "h2"), ("h3", "h3"), ("document_codes", "chunk_codes"), ("retrieval", "retrieval_mode")]
+    known = lambda c: F.nullif(F.array_join(F.slice(c, 1, 3), ", "), F.lit("")) if c == "chunk_codes" else F.nullif(F.col(c).cast("string"), F.lit(""))
+    head = F.concat_ws(" | ", *[F.concat(F.lit(f"{name}="), known(c)) for name, c in labels if c in results.columns])
     line = F.concat(F.format_string("[Chunk %d]", F.col("rank")), F.when(head != "", F.concat(F.lit(" "), head)).otherwise(""), F.lit("\n\n"), F.col("content"))
     blocks = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
-    return blocks.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
+    made = blocks.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
+    return made if queries is None else queries.select("query_id").join(made, "query_id", "left").select("query_id", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
+
+
+def prompts(contexts: DataFrame, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """query_id, prompt: the history (query_id, history), the context and the question (message), parted by blank lines."""
+    q = queries.select("query_id", "message").join(contexts, "query_id")
+    q = q.withColumn("history", F.lit(None).cast("string")) if history is None else q.join(history.select("query_id", "history"), "query_id", "left")
+    return q.select("query_id", F.concat_ws("\n\n", F.nullif("history", F.lit("")), "context", F.concat(F.lit("Q: "), F.col("message"))).alias("prompt"))
 
 
 def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, document_ids: list[int] | None = None) -> DataFrame:

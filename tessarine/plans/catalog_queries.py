@@ -10,11 +10,11 @@ from . import tables as t
 from .registry import query
 
 
-@query(f"WITH {t.LINES}, c AS (SELECT * FROM lines WHERE chunk_index < 3 AND doc_id % 4 <> 0) SELECT d.doc_id, any_value(d.source) AS title, count(c.doc_id) AS chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC")
+@query(f"WITH {t.LINES}, c AS (SELECT * FROM lines WHERE length(trim(content)) > 40) SELECT d.doc_id, any_value(d.source) AS title, count(c.doc_id) AS chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC")
 def doc_list(spark, d):
-    """Documents with their number of chunks, 0 for none, newest first."""
-    chunks = t.lines(spark, d).where("chunk_index < 3 and doc_id % 4 != 0").select("doc_id").withColumn("one", F.lit(1))
-    return t.docs(spark, d).select("doc_id", F.col("source").alias("title")).join(chunks, "doc_id", "left").groupBy("doc_id").agg(F.first("title").alias("title"), F.count("one").alias("chunks")).orderBy(F.col("doc_id").desc())
+    """Documents with their number of chunks (lines of more than 40 characters), 0 for none, newest first."""
+    chunks = t.lines(spark, d).where(F.length(F.trim("content")) > 40).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.docs(spark, d).select("doc_id", F.col("source").alias("title")).join(chunks, "doc_id", "left").select("doc_id", "title", F.coalesce("n", F.lit(0)).alias("chunks")).orderBy(F.col("doc_id").desc())
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 7")

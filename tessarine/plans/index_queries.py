@@ -165,5 +165,5 @@ def index_pipeline(spark, d):
 @query("SELECT doc_id, 2 AS children FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 2 = 1")
 def reindex(spark, d):
     q = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("What?"))).otherwise(F.array().cast("array<string>"))
-    kids = t.docs(spark, d).where("doc_id % 3 != 2").select("doc_id", F.explode(tags.children(F.col("lang"), q, F.col("text"))).alias("c"))
+    kids = t.docs(spark, d).where("doc_id % 3 != 2").select("doc_id", F.explode(tags.children(text.first_words("text", 40), q, F.col("text"))).alias("c"))
     return kids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("children"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from ..functions.text import document_codes
 from ..operators import retrieval as r
 from ..operators.embedding import hash_embed
 from . import tables as t
+from .catalog_queries import chat_history
 from .registry import query
 
-TOP_K, QUERIES = 20, 5
+TOP_K = 20
 
 
 def points(spark, d):
@@ -18,36 +20,47 @@ def points(spark, d):
     return e.select(F.col("vec_id").alias("point_id"), F.col("vec_id").alias("chunk_id"), F.when(F.col("label") % 2 == 0, "summary").otherwise("question").alias("child_type"), F.col("embedding").alias("vector"))
 
 
+def asked_vectors(spark, d):
+    """Every vector whose id is divisible by 20."""
+    return t.read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
 def asked(spark, d):
-    """Queries: the first benchmark items as text, the vectors of the same number as their embeddings."""
-    b = t.read(spark, d, "benchmark").where(f"item_id < {QUERIES}").select(F.col("item_id").alias("query_id"), F.col("text").alias("message"))
-    e = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return b.join(e, "query_id")
+    """Every benchmark item whose id is divisible by 20, behind the code of a document, with the vector of the same number as its embedding."""
+    message = F.concat(F.col("item_id").cast("string"), F.lit("/QD-EN "), F.col("text"))
+    return t.read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), message.alias("message")).join(asked_vectors(spark, d), "query_id")
 
 
 def chunks(spark, d):
-    return t.docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), document_codes("text").alias("chunk_codes"), F.col("source").alias("file_name"))
+    """Documents as chunks with their codes, which only even ones have in their metadata, and what else is known of them."""
+    c = t.coded(spark, d)
+    codes = F.when(F.col("doc_id") % 2 == 0, document_codes("text")).otherwise(F.array().cast("array<string>"))
+    page = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 9 + 1)
+    return c.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), codes.alias("chunk_codes"), F.col("source").alias("file_name"), page.alias("page"), tags.doc_type("source").alias("doc_type"))
 
 
-CTE = f"""q AS (SELECT item_id AS query_id, b.text AS message, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id < {QUERIES}),
-sims AS (SELECT query_id, vec_id AS chunk_id, CASE WHEN label % 2 = 0 THEN 'summary' ELSE 'question' END AS child_type, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS similarity FROM embeddings, q),
+CTE = f"""{t.CODED}, qv AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+q AS (SELECT item_id AS query_id, item_id || '/QD-EN ' || b.text AS message FROM benchmark b JOIN qv ON query_id = b.item_id WHERE item_id % 20 = 0),
+sims AS (SELECT query_id, vec_id AS chunk_id, CASE WHEN label % 2 = 0 THEN 'summary' ELSE 'question' END AS child_type, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS similarity FROM embeddings, qv),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM sims) WHERE rank <= {TOP_K * r.PROBE}),
-qt AS (SELECT query_id, unnest({t.terms('message')}) AS term FROM q),
-blobs AS (SELECT doc_id AS chunk_id, {t.folded('text')} AS blob FROM documents),
-kw AS (SELECT query_id, chunk_id, sum(contains(blob, term)::INTEGER)::DOUBLE AS score FROM blobs, qt GROUP BY ALL HAVING sum(contains(blob, term)::INTEGER) > 0),
+qt AS (SELECT query_id, unnest({t.terms('message')}) AS term FROM q), qc AS (SELECT query_id, unnest({t.sql_codes('message')}) AS code FROM q),
+blobs AS (SELECT doc_id AS chunk_id, {t.folded('text')} AS blob, CASE WHEN doc_id % 2 = 0 THEN {t.sql_codes('text')} ELSE [] END AS codes FROM coded),
+points AS (SELECT query_id, chunk_id, contains(blob, term)::INTEGER::DOUBLE AS p FROM blobs, qt UNION ALL SELECT query_id, chunk_id, CASE WHEN list_contains(codes, code) THEN 12.0 WHEN contains(blob, {t.folded('code')}) THEN 6.0 ELSE 0.0 END FROM blobs, qc),
+kw AS (SELECT query_id, chunk_id, sum(p)::DOUBLE AS score FROM points GROUP BY ALL HAVING sum(p) > 0),
 kwk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kw) WHERE rank <= {TOP_K * r.PROBE}),
 fused AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.rank AS vr, k.rank AS kr, child_type, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.2::DOUBLE / (60 + k.rank), 0) AS score,
-  CASE WHEN v.rank IS NOT NULL AND k.rank IS NOT NULL THEN 'hybrid' WHEN k.rank IS NOT NULL THEN 'keyword' ELSE 'vector' END AS retrieval_mode FROM hits v FULL JOIN kwk k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id),
+  CASE WHEN v.rank IS NOT NULL AND k.rank IS NOT NULL THEN 'hybrid' WHEN k.rank IS NOT NULL THEN 'keyword' ELSE 'vector' END AS retrieval_mode FROM (SELECT * FROM hits SEMI JOIN q USING (query_id)) v FULL JOIN kwk k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id),
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST) AS rank FROM fused) WHERE rank <= {TOP_K}),
-found AS (SELECT m.*, d.text AS content, d.source FROM merged m JOIN documents d ON d.doc_id = m.chunk_id)"""
+found AS (SELECT m.*, d.text AS content, d.source, CASE WHEN doc_id % 3 > 0 THEN doc_id % 9 + 1 END AS page, b.codes FROM merged m JOIN coded d ON d.doc_id = m.chunk_id JOIN blobs b USING (chunk_id))"""
 
 
 def hits(spark, d):
-    return r.vector_topk(points(spark, d), asked(spark, d), r.probe_size(TOP_K))
+    return r.vector_topk(points(spark, d), asked_vectors(spark, d), r.probe_size(TOP_K))
 
 
 def merged(spark, d):
-    return r.rrf_merge(r.vector_parents(hits(spark, d)), keyword(spark, d), TOP_K)
+    near = r.vector_topk(points(spark, d), asked(spark, d), r.probe_size(TOP_K))
+    return r.rrf_merge(r.vector_parents(near), keyword(spark, d), TOP_K)
 
 
 def keyword(spark, d):
@@ -60,13 +73,13 @@ def found(spark, d):
 
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, round(similarity, 6) AS similarity FROM hits WHERE rank <= {TOP_K}")
 def vector_topk(spark, d):
-    return r.vector_topk(points(spark, d), asked(spark, d), TOP_K).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
+    return r.vector_topk(points(spark, d), asked_vectors(spark, d), TOP_K).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, child_type FROM hits WHERE rank <= 4")
 def vector_only(spark, d):
     """Children without collapse and fusion, as when there is no table of chunks."""
-    return r.vector_topk(points(spark, d), asked(spark, d), 4).select("query_id", "rank", "chunk_id", "child_type")
+    return r.vector_topk(points(spark, d), asked_vectors(spark, d), 4).select("query_id", "rank", "chunk_id", "child_type")
 
 
 @query(f"WITH {CTE}, p AS (SELECT query_id, chunk_id // 3 AS chunk_id, min(rank) AS first, arg_min(child_type, rank) AS child_type FROM hits GROUP BY ALL) SELECT query_id, chunk_id, child_type, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM p")
@@ -118,21 +131,26 @@ def mode_counts(spark, d):
     return merged(spark, d).groupBy("query_id", "retrieval_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CTE} SELECT query_id, rank, chunk_id, retrieval_mode, round(score, 6) AS score, replace(trim(content), chr(10), ' ')[1:280] AS excerpt FROM found")
+@query(f"WITH {CTE} SELECT query_id, rank, chunk_id, retrieval_mode, round(score, 6) AS score, page, 'text_chunk' AS source_kind, source AS file_name, replace(trim(content), chr(10), ' ')[1:280] AS excerpt FROM found")
 def build_sources(spark, d):
-    return found(spark, d).select("query_id", "rank", "chunk_id", "retrieval_mode", F.round("score", 6).alias("score"), r.excerpt(F.col("content")).alias("excerpt"))
+    kind = tags.source_kind(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(".md"))
+    return found(spark, d).select("query_id", "rank", "chunk_id", "retrieval_mode", F.round("score", 6).alias("score"), "page", kind.alias("source_kind"), "file_name", r.excerpt(F.col("content")).alias("excerpt"))
+
 
+_CONTEXT = """contexts AS (SELECT query_id, string_agg('[Chunk ' || rank || '] file=' || source || coalesce(' | page=' || page, '') || ' | doc_type=Tài_liệu_nội_bộ' || CASE WHEN len(codes) > 0 THEN ' | document_codes=' || array_to_string(codes[1:3], ', ') ELSE '' END
+  || ' | retrieval=' || retrieval_mode || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM found GROUP BY query_id)"""
 
-@query(f"WITH {CTE} SELECT query_id, string_agg('[Chunk ' || rank || '] file=' || source || ' | retrieval=' || retrieval_mode || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM found GROUP BY query_id")
+
+@query(f"WITH {CTE}, {_CONTEXT} SELECT query_id, context FROM contexts")
 def context_block(spark, d):
-    return r.context_block(found(spark, d))
+    return r.context_block(found(spark, d), asked(spark, d))
 
 
-@query(f"WITH {CTE} SELECT query_id, 'Q: ' || any_value(message) || chr(10) || count(*) || ' chunks' AS prompt FROM found JOIN q USING (query_id) GROUP BY query_id")
+@query(f"WITH {CTE}, {_CONTEXT}, h AS (SELECT conv_id AS query_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 8 GROUP BY conv_id) SELECT query_id, coalesce(history || chr(10) || chr(10), '') || context || chr(10) || chr(10) || 'Q: ' || message AS prompt FROM contexts JOIN q USING (query_id) LEFT JOIN h USING (query_id)")
 def chat_prompt(spark, d):
-    c = r.context_block(found(spark, d)).join(asked(spark, d), "query_id")
-    n = F.size(F.regexp_extract_all("context", F.lit(r"(\[Chunk \d+\] file=)")))
-    return c.select("query_id", F.concat(F.lit("Q: "), F.col("message"), F.lit("\n"), n.cast("string"), F.lit(" chunks")).alias("prompt"))
+    """The conversation of the query's number is its history."""
+    history = chat_history(spark, d).withColumnRenamed("session_id", "query_id")
+    return r.prompts(r.context_block(found(spark, d), asked(spark, d)), asked(spark, d), history)
 
 
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, retrieval_mode, round(score, 6) AS score FROM found")
@@ -151,12 +169,12 @@ def embed_hash(spark, d):
     return hash_embed(t.docs(spark, d), "doc_id", "text", 64)
 
 
-@query(None)
+@query("SELECT 'legacy' AS parser, 'text' AS kind, text, length(text) AS n_chars FROM documents")
 def scan_text(spark, d):
-    """Texts written as files and read again as whole records."""
-    from ..sources.text_files import read_texts
+    """Each text written as a file of its own and read again as a whole record. Texts end as they are: no line is added."""
     from ..sources.scratch import scratch_folder
+    from ..sources.text_files import read_texts, write_texts
 
     path = f"{scratch_folder(spark)}/texts"
-    t.docs(spark, d).select("source", "text").write.mode("overwrite").partitionBy("source").text(path)
-    return read_texts(spark, path + "/*/*").select("parser", "kind", F.length("text").alias("n_chars"))
+    write_texts(t.docs(spark, d).select(F.format_string("doc-%d.md", "doc_id").alias("name"), "text"), path)
+    return read_texts(spark, path).select("parser", "kind", "text", F.length("text").alias("n_chars"))

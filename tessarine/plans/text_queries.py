@@ -41,9 +41,9 @@ def dedupe_list(spark, d):
     return t.docs(spark, d).select("doc_id", JOIN(text.dedupe(F.split("text", " "), 20)).alias("items"))
 
 
-@query(f"SELECT doc_id, array_to_string({t.dedupe("list_concat(string_split(lower(source), ' '), list_slice(string_split(text, ' '), 1, 10))", 8)}, '|') AS items FROM documents")
+@query(f"SELECT doc_id, array_to_string({t.dedupe("list_concat(string_split(lower(source), ' '), string_split(text, ' '))", 8)}, '|') AS items FROM documents")
 def merge_lists(spark, d):
-    return t.docs(spark, d).select("doc_id", JOIN(text.dedupe(F.concat(F.split(F.lower("source"), " "), F.slice(F.split("text", " "), 1, 10)), 8)).alias("items"))
+    return t.docs(spark, d).select("doc_id", JOIN(text.dedupe(F.concat(F.split(F.lower("source"), " "), F.split("text", " ")), 8)).alias("items"))
 
 
 @query("SELECT event_id, props AS body FROM events")
@@ -57,10 +57,10 @@ def protected_ids(spark, d):
     return t.coded(spark, d).select("doc_id", JOIN(text.protected_identifiers("text")).alias("ids"))
 
 
-@query(f"SELECT session_id, id, CASE WHEN n < 4 THEN 'too_short' WHEN n >= 8 THEN 'already_specific' ELSE 'rewrite_window' END AS gate FROM (SELECT conv_id AS session_id, turn AS id, len({t.terms('list_aggregate(list_slice(string_split(text, chr(32)), 1, 6), chr(39)||chr(39))')}) AS n FROM conversations)".replace("list_aggregate(list_slice(string_split(text, chr(32)), 1, 6), chr(39)||chr(39))", "array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')"))
+@query(f"SELECT session_id, id, CASE WHEN n < 4 THEN 'too_short' WHEN n >= 8 THEN 'already_specific' ELSE 'rewrite_window' END AS gate FROM (SELECT conv_id AS session_id, turn AS id, len({t.terms('text')}) AS n FROM conversations)")
 def rewrite_gate(spark, d):
     m = t.messages(spark, d)
-    return m.select("session_id", "id", text.rewrite_gate(F.array_join(F.slice(F.split("content", " "), 1, 6), " ")).alias("gate"))
+    return m.select("session_id", "id", text.rewrite_gate("content").alias("gate"))
 
 
 @query(f"SELECT conv_id AS session_id, array_to_string((list_transform([list_filter({t.dedupe('list(text ORDER BY turn, text)', 4)}, lambda v: {t.key('v')} <> {t.key(t.norm('min_by(text, turn)'))})], lambda l: list_slice(l, 1, 3)))[1], '|') AS variants FROM conversations GROUP BY conv_id")
@@ -133,9 +133,9 @@ def file_hash(spark, d):
     return t.docs(spark, d).select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("""SELECT doc_id, sha256('{"chunk_text":"' || lang || '","source_page":' || (doc_id % 9) || ',"source_kind":"text_chunk","raw_metadata":"' || source || '"}') AS print FROM documents""")
+@query("""SELECT doc_id, sha256('{"chunk_text":' || to_json(text) || ',"source_page":' || (doc_id % 9) || ',"source_kind":"text_chunk","raw_metadata":"' || source || '"}') AS print FROM documents""")
 def fingerprint(spark, d):
-    return t.docs(spark, d).select("doc_id", tags.fingerprint(F.col("lang"), F.col("doc_id") % 9, F.lit("text_chunk"), F.col("source")).alias("print"))
+    return t.docs(spark, d).select("doc_id", tags.fingerprint(F.col("text"), F.col("doc_id") % 9, F.lit("text_chunk"), F.col("source")).alias("print"))
 
 
 @query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunks|parent:' || doc_id || '|type:summary|index:' || (doc_id % 7))) AS h FROM documents)

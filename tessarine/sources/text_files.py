@@ -9,9 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, parser, kind, page: each file is one record."""
-    files = spark.read.text(path, wholetext=True)
+SUFFIXES = ("md", "markdown", "txt")
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Rows (name, text) as files of these names in a folder that all executors see; a file that a task writes again is the same."""
+    broad = texts.sparkSession.sparkContext.broadcast(path)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(broad.value if "://" in broad.value else f"file://{broad.value.removeprefix('file:')}")
+        system.create_dir(folder, recursive=True)
+        for b in batches:
+            for name, text in zip(b["name"], b["text"], strict=True):
+                with system.open_output_stream(f"{folder}/{name}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    texts.select("name", "text").mapInPandas(work, "n long").write.format("noop").mode("overwrite").save()
+
+
+def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """path, text, parser, kind, page: each file below path with one of the suffixes is one record; other files are left out."""
+    files = spark.read.option("pathGlobFilter", "*.{%s}" % ",".join(suffixes)).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.lit("legacy").alias("parser"), F.lit("text").alias("kind"), F.lit(1).alias("page"))
 
 
