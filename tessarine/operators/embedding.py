@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import lookup_terms
 
 
-def hash_embed(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """id, vector: array<float> of dim; texts without terms give zeros. Terms are found and hashed in the JVM, counted in Arrow batches; no shuffle."""
+def hash_embed(docs: DataFrame, id_col: str | list[str], text_col: str, dim: int) -> DataFrame:
+    """id (or the columns given), vector: array<float> of dim; texts without terms give zeros. Terms are found and hashed in the JVM, counted in Arrow batches; no shuffle."""
 
     @F.pandas_udf("array<float>")
     def count(hashes: pd.Series) -> pd.Series:
@@ -22,4 +22,4 @@ def hash_embed(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFra
             out.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
         return pd.Series(out)
 
-    return docs.select(id_col, count(F.transform(lookup_terms(text_col), lambda t: F.xxhash64(t))).alias("vector"))
+    return docs.select(*([id_col] if isinstance(id_col, str) else id_col), count(F.transform(lookup_terms(text_col), lambda t: F.xxhash64(t))).alias("vector"))

@@ -11,8 +11,9 @@ from pyspark.sql import window as W
 
 from ..functions.tags import page_separator
 
-#: Characters of a chunk and of its overlap with the one before; separators, coarse ones first.
+# Characters of a chunk and of its overlap with the one before; separators, coarse ones first; marks of pages.
 CHUNK, OVERLAP, SEPARATORS = 500, 50, ["\n\n", "\n", ". ", ", ", " ", ""]
+PAGE_MARK = r"\{\d+\}-+"
 PAGE_BREAK = r"\n\n\{(\d+)\}-+\n\n"
 
 
@@ -42,6 +43,25 @@ def join_pages(pages: DataFrame, id_col: str, page_col: str, text_col: str) -> D
     return g.select(id_col, F.array_join(F.transform("s", lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
+def with_page_stats(pages: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages with the statistics of their number, nulls where there are none."""
+    return pages.join(stats.dropDuplicates(keys), keys, "left")
+
+
+def clean_page(c: Column) -> Column:
+    """A page's text without page markers such as {3}------."""
+    return F.trim(F.regexp_replace(c, PAGE_MARK, ""))
+
+
+def markdown_of(files: DataFrame, id_col: str, name_col: str, text_col: str) -> DataFrame:
+    """id, page_id, text of parsed files by the suffix of their name: .pdf by page breaks, .md and .txt as page 1; other suffixes are an error, empty texts give no rows."""
+    suffix = F.lower(F.regexp_extract(name_col, r"(\.[^.]*)$", 1))
+    checked = files.withColumn("_suffix", F.when(suffix.isin(".pdf", ".md", ".txt"), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), F.coalesce(F.col(name_col), F.lit(""))))))
+    pdf = split_pages(checked.where("_suffix = '.pdf'"), id_col, text_col)
+    plain = checked.where(F.col("_suffix") != ".pdf").where(F.trim(text_col) != "").select(id_col, F.lit(1).alias("page_id"), F.col(text_col).alias("text"))
+    return pdf.unionByName(plain)
+
+
 def page_at(spans: Column, offset: Column) -> Column:
     """The page whose span holds the offset, else the last one's."""
     return F.coalesce(F.get(F.filter(spans, lambda s: (s["start"] <= offset) & (offset < s["end"])), 0), F.try_element_at(spans, F.lit(-1)))["page"]
@@ -137,6 +157,36 @@ def header_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _per_text(docs, id_col, text_col, cut, "section int, start_index long, h1 string, h2 string, h3 string, h4 string, h5 string, h6 string, content string")
 
 
+def split_documents(merged: DataFrame, id_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """id, chunk_index (dense), start_index (in the whole text), page, h1 to h6, content of texts with page spans, as merge_pages() gives them.
+
+    Sections by Markdown headers, then overlapping chunks in each, with the headers above them and the page in which they start. Each document
+    is split where it is, without a shuffle.
+    """
+    kind = merged.schema[id_col].dataType.simpleString()
+    columns = ["id", "chunk_index", "start_index", *(f"h{i}" for i in range(1, 7)), "content"]
+
+    def rows(i, text: str) -> Iterator[tuple]:
+        k = at = 0
+        for section, headers in sections(text):
+            start = max(at, text.find(section[:40], at))
+            inner = 0
+            for chunk in split_text(section, size, overlap):
+                found = section.find(chunk, max(0, inner - overlap))
+                inner = found + len(chunk)
+                yield (i, k, start + found, *[headers.get(f"h{n}") for n in range(1, 7)], chunk)
+                k += 1
+            at = start + len(section)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for i, text in zip(b["id"], b["text"], strict=True) for r in rows(i, text or "")], columns=columns)
+
+    chunks = merged.select(F.col(id_col).alias("id"), "text").mapInPandas(work, f"id {kind}, chunk_index int, start_index long, {', '.join(f'h{i} string' for i in range(1, 7))}, content string")
+    paged = chunks.join(merged.select(F.col(id_col).alias("id"), "spans"), "id").withColumn("page", page_at(F.col("spans"), F.col("start_index"))).drop("spans")
+    return paged.withColumnRenamed("id", id_col)
+
+
 def greedy_batches(chunks: DataFrame, id_col: str, order_col: str, text_col: str, items: int = 8, chars: int = 6000, extra: int = 400) -> DataFrame:
     """id, batch, first, last, n: chunks of a document in order, a new batch once it has enough of them or its characters would pass the limit."""
     rows = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("k"), (F.length(text_col) + extra).alias("size")))).alias("c"))

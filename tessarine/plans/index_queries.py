@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import tags, text
-from ..operators import indexing, splitting
+from ..operators import indexing, indexing_job, splitting
+from ..sources import store
+from ..sources.scratch import scratch_folder
 from . import tables as t
 from .registry import query
 
@@ -19,26 +21,42 @@ def chunk_index(spark, d):
 
 
 def paged(spark, d):
-    return t.docs(spark, d).select("doc_id", F.concat(F.lit("head\n\n{0}------\n\n"), F.col("lang"), F.lit("\n\n{1}------\n\n"), F.col("source"), F.lit("\n\n{2}----\n\n \n")).alias("text"))
+    """Whole texts with a page break ahead of every third line."""
+    mark = lambda i: F.concat(F.lit("\n\n{"), (i / 3).cast("int").cast("string"), F.lit("}------\n\n"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, mark(i)).otherwise("\n"), x))
+    return t.docs(spark, d).select("doc_id", F.concat(F.lit("head"), F.array_join(lines, "")).alias("text"))
 
 
-@query("SELECT doc_id, unnest([0, 1]) AS page_id, unnest([lang, source]) AS text FROM documents")
+_PAGES = rf"{t.LINES}, cut AS (SELECT doc_id, (chunk_index // 3)::INTEGER AS page_id, regexp_replace(string_agg(content, chr(10) ORDER BY chunk_index), '^\s+|\s+$', '', 'g') AS text FROM lines GROUP BY ALL), pages AS (SELECT * FROM cut WHERE text <> '')".replace("\\", "\\")
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page_id, text FROM pages")
 def page_split(spark, d):
     return splitting.split_pages(paged(spark, d), "doc_id", "text")
 
 
-@query("SELECT doc_id, 'a' || (CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE '' END) || (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || chr(10) ELSE ' ' END) || lang AS text, length('a' || (CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' || chr(10) || chr(10) ELSE ' ' END)) AS second_at FROM documents")
+_MERGED = r"""ends AS (SELECT *, lag(rtrim(text)) OVER w AS b FROM pages WINDOW w AS (PARTITION BY doc_id ORDER BY page_id)),
+glued AS (SELECT doc_id, page_id, text, CASE WHEN b IS NULL THEN '' WHEN right(b, 1) = '-' THEN '' WHEN regexp_matches(right(b, 1), '^[\p{L}\p{N}]$') AND regexp_matches(left(text, 1), '^[\p{L}\p{N}]$') THEN ' '
+  WHEN right(b, 1) NOT IN ('.', '!', '?', ';', ':') AND regexp_matches(left(text, 1), '^\p{L}$') THEN ' ' ELSE chr(10) || chr(10) END AS sep FROM ends),
+merged AS (SELECT doc_id, string_agg(sep || text, '' ORDER BY page_id) AS text, (sum(length(sep) + length(text)) - arg_max(length(text), page_id))::BIGINT AS last_at FROM glued GROUP BY doc_id)""".replace("\\", "\\")
+
+
+@query(f"WITH {_PAGES}, {_MERGED} SELECT doc_id, text, last_at FROM merged")
 def merge_pages(spark, d):
-    e = F.when(F.col("doc_id") % 3 == 0, "a-").when(F.col("doc_id") % 3 == 1, "a.").otherwise("a")
-    pages = t.docs(spark, d).select("doc_id", F.posexplode(F.array(e, F.lit("  "), F.col("lang"))).alias("page_id", "text"))
-    merged = splitting.merge_pages(pages, "doc_id", "page_id", "text")
-    return merged.select("doc_id", "text", F.element_at("spans", -1)["start"].cast("long").alias("second_at"))
+    merged = splitting.merge_pages(splitting.split_pages(paged(spark, d), "doc_id", "text"), "doc_id", "page_id", "text")
+    return merged.select("doc_id", "text", F.element_at("spans", -1)["start"].cast("long").alias("last_at"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) || source ELSE source END AS markdown FROM documents")
+@query(f"WITH {_PAGES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_id) AS markdown FROM pages GROUP BY doc_id")
 def parse_markdown(spark, d):
-    pages = t.docs(spark, d).select("doc_id", F.posexplode(F.array(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(" "), F.col("source"))).alias("page", "text"))
-    return splitting.join_pages(pages, "doc_id", "page", "text")
+    return splitting.join_pages(splitting.split_pages(paged(spark, d), "doc_id", "text"), "doc_id", "page_id", "text")
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page_id, text, n_words FROM pages LEFT JOIN (SELECT doc_id, 2 * k AS page_id, 7 * k AS n_words FROM (SELECT doc_id, unnest(range(0, 3)) AS k FROM documents)) USING (doc_id, page_id)")
+def page_stats(spark, d):
+    """Pages with what a parser says of them; here of pages 0, 2 and 4."""
+    stats = t.docs(spark, d).select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select("doc_id", (2 * F.col("k")).alias("page_id"), (7 * F.col("k")).alias("n_words"))
+    return splitting.with_page_stats(splitting.split_pages(paged(spark, d), "doc_id", "text"), stats, ["doc_id", "page_id"])
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 25 < 10 THEN 1 ELSE 2 END AS page FROM documents")
@@ -167,3 +185,61 @@ def reindex(spark, d):
     q = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("What?"))).otherwise(F.array().cast("array<string>"))
     kids = t.docs(spark, d).where("doc_id % 3 != 2").select("doc_id", F.explode(tags.children(text.first_words("text", 40), q, F.col("text"))).alias("c"))
     return kids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("children"))
+
+
+def indexed(spark, d):
+    """A root folder with all documents indexed: a third of them as paged files."""
+    root = scratch_folder(spark)
+    pdf = paged(spark, d).select("doc_id", F.col("text").alias("paged"))
+    files = t.docs(spark, d).join(pdf, "doc_id").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("file-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".md")).alias("file_name"), F.when(F.col("doc_id") % 3 == 0, F.col("paged")).otherwise(F.col("text")).alias("text"))
+    return root, files, indexing_job.run(spark, files, root)
+
+
+@query("SELECT doc_id, 'embedded' AS status, true AS found, true AS pages_rise FROM documents")
+def index_job(spark, d):
+    """The whole job; every chunk stands in its document where it says, and pages do not fall."""
+    root, _, states = indexed(spark, d)
+    merged = splitting.merge_pages(indexing_job.table(spark, root, "parsed"), "document_id", "page_id", "text").select("document_id", F.col("text").alias("whole"))
+    chunks = indexing_job.table(spark, root, "chunks").join(merged, "document_id")
+    w = W.Window.partitionBy("document_id").orderBy("chunk_index")
+    stands = F.substring(F.col("whole"), F.col("start_index").cast("int") + 1, F.length("content")) == F.col("content")
+    checked = chunks.withColumn("rises", F.col("page") >= F.coalesce(F.lag("page").over(w), F.col("page"))).groupBy("document_id").agg(F.bool_and(stands).alias("found"), F.bool_and("rises").alias("pages_rise"))
+    return states.join(checked, "document_id").select(F.col("document_id").alias("doc_id"), "status", "found", "pages_rise")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def rebuild_index(spark, d):
+    """Points made anew from the chunks are those of the job; the documents touched, in order."""
+    root, _, _ = indexed(spark, d)
+    count = lambda name: indexing_job.table(spark, root, "points").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("point_id", "vector").cast("decimal(38,0)")).alias("s")).withColumnRenamed("n", f"n{name}").withColumnRenamed("s", f"s{name}")
+    before = f"{root}/before"
+    count("1").write.parquet(before)
+    touched = indexing_job.rebuild_points(spark, root)
+    both = touched.join(spark.read.parquet(before), "document_id").join(count("2"), "document_id")
+    return both.select(F.col("document_id").alias("doc_id"), ((F.col("n1") == F.col("n2")) & (F.col("s1") == F.col("s2"))).alias("same"))
+
+
+@query(f"WITH {t.LINES} SELECT doc_id, count(*) AS chunks FROM lines WHERE doc_id % 6 <> 2 AND doc_id % 4 <> 1 GROUP BY doc_id UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 4 = 1 AND doc_id % 6 <> 2")
+def store_chunks(spark, d):
+    """Chunks written, those of a fourth of the documents replaced twice, those of a sixth deleted, and read back."""
+    path = f"{scratch_folder(spark)}/chunks"
+    store.replace_rows(t.lines(spark, d), path, ["doc_id"])
+    new = t.docs(spark, d).where("doc_id % 4 = 1").select("doc_id", F.lit(0).alias("chunk_index"), F.col("source").alias("content"))
+    for _ in range(2):
+        store.replace_rows(new, path, ["doc_id"])
+    store.delete_rows(spark, path, t.docs(spark, d).where("doc_id % 6 = 2"), ["doc_id"])
+    return store.read_table(spark, path, "doc_id long, chunk_index int, content string").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 3")
+def store_points(spark, d):
+    """Points upserted by id, some of them deleted, a collection cleared, and one that isn't there read as empty."""
+    path = f"{scratch_folder(spark)}/points"
+    e = t.read(spark, d, "embeddings").select("vec_id", "label")
+    store.replace_rows(e, path, ["vec_id"])
+    store.replace_rows(e.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100), path, ["vec_id"])
+    store.delete_rows(spark, path, e.where("vec_id % 10 = 3"), ["vec_id"])
+    store.replace_rows(e, f"{path}-2", ["vec_id"])
+    store.clear(spark, f"{path}-2")
+    empty = store.read_table(spark, f"{path}-2", "vec_id long, label int")
+    return store.read_table(spark, path, "vec_id long, label int").unionByName(empty)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tags, text
+from ..functions import payload, tags, text
 from . import tables as t
 from .registry import query
 
@@ -184,3 +184,49 @@ def child_expand(spark, d):
 @query(f"WITH {t.CODED}, {_META} SELECT doc_id, {t.norm("concat_ws(' ', 'doc.md', 'Tài_liệu_nội_bộ', array_to_string(codes, ' '), array_to_string(orgs, ' '), text)")} AS blob FROM meta")
 def keyword_blob(spark, d):
     return enriched(spark, d).select("doc_id", tags.keyword_blob(F.lit("doc.md"), F.lit("Tài_liệu_nội_bộ"), F.array_join("codes", " "), F.array_join("orgs", " "), F.col("text")).alias("blob"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value::BIGINT END AS whole, CASE WHEN event_id % 3 < 2 THEN value::DOUBLE END AS real FROM (SELECT event_id, event_id * 7 AS value FROM events)")
+def safe_casts(spark, d):
+    e = t.read(spark, d, "events").select("event_id", (F.col("event_id") * 7).cast("string").alias("v"))
+    e = e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "v")).when(F.col("event_id") % 3 == 1, F.concat("v", F.lit(".0"))).otherwise(F.lit("none")).alias("v"))
+    return e.select("event_id", payload.safe_int("v").alias("whole"), payload.safe_float("v").alias("real"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 WHEN turn % 3 = 1 THEN 2 ELSE 0 END AS n, CASE WHEN turn % 3 = 1 THEN conv_id::VARCHAR END AS first_id FROM conversations")
+def sources_parse(spark, d):
+    """Lists of sources: broken, with objects among other items, and an object that is no list."""
+    c = t.read(spark, d, "conversations")
+    raw = F.when(F.col("turn") % 3 == 0, F.lit("[{broken")).when(F.col("turn") % 3 == 1, F.format_string('[{"chunk_id": %d}, 3, "x", {"chunk_id": null}]', "conv_id")).otherwise(F.lit('{"a": 1}'))
+    got = payload.parse_sources(raw)
+    return c.select("conv_id", "turn", F.size(got).alias("n"), F.get_json_object(F.get(got, 0), "$.chunk_id").alias("first_id"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'other' ELSE '' END AS keys FROM documents")
+def compact_metadata(spark, d):
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, F.lit('{"context": {"h2": "A"}, "hyq": null, "x": 1}')).when(k == 1, F.lit('{"other": 1}')).otherwise(F.lit("broken"))
+    return t.docs(spark, d).select("doc_id", F.array_join(F.array_sort(F.map_keys(payload.compact_metadata(raw))), ",").alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'About ' || doc_id || '|Why?|What?|Thông tin chính của đoạn này là gì? (3)?' END AS hyq FROM documents")
+def hyq_validate(spark, d):
+    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit('{"summary": " About  '), i, F.lit('", "questions": ["Why?", "why?", "What", " "]}'))).when(k == 1, F.lit('{"summary": "", "questions": ["a"]}')).otherwise(F.lit('{"summary": "x", "questions": "a"}'))
+    h = payload.hyq_payload(raw)
+    return t.docs(spark, d).select("doc_id", F.when(h.isNotNull(), F.concat_ws("|", h["summary"], JOIN(h["questions"]))).alias("hyq"))
+
+
+@query("SELECT doc_id, (doc_id % 1000) || '/QD-AB|Bộ X' || CASE WHEN doc_id % 2 = 0 THEN '|Lan' ELSE '' END AS keywords, (doc_id % 1000) || '/QD-AB|9/QD-B' AS codes FROM documents")
+def search_payload(spark, d):
+    """Two payloads merged: one with a code inside a text and no keywords, one with another code."""
+    i = (F.col("doc_id") % 1000).cast("string")
+    one = F.concat(F.lit('{"entities": ['), F.when(F.col("doc_id") % 2 == 0, F.lit('"Lan", " lan"')).otherwise(""), F.lit('], "organizations": ["Bộ X"], "document_codes": ["see '), i, F.lit('/qd-ab now"]}'))
+    two = F.lit('{"keywords": ["bộ x"], "document_codes": ["9/QD-B", "none"]}')
+    both = payload.merge_payloads(payload.search_payload(one), payload.search_payload(two))
+    return t.docs(spark, d).select("doc_id", JOIN(both["keywords"]).alias("keywords"), JOIN(both["document_codes"]).alias("codes"))
+
+
+@query("SELECT doc_id, regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9._-]+', '_', 'g') AS stem FROM documents")
+def log_stem(spark, d):
+    return t.docs(spark, d).select("doc_id", text.log_stem(F.concat("source", F.lit("/"), "lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("stem"))

@@ -1,4 +1,4 @@
-"""A folder that driver and executors share."""
+"""Folders that driver and executors share."""
 
 from __future__ import annotations
 
@@ -9,6 +9,24 @@ from pyspark.sql import SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new one below spark.checkpoint.dir; of this machine only where the session names none, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    """A new one below spark.checkpoint.dir; of this machine only in local sessions that name none, as in tests."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{base or tempfile.gettempdir() + '/checkpoints'}/scratch-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _at(spark, path)
+    return system.exists(p)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    system, p = _at(spark, path)
+    system.delete(p, True)
