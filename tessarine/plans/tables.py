@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CODE, DATE, ORGANISATION_HINTS
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -52,8 +54,7 @@ def dedupe(items: str, limit: int) -> str:
     return f"(list_transform([{clean}], lambda l: list_slice(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: {key('y')}), {key('x')}) = i), 1, {limit})))[1]"
 
 
-DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4})\b"
-CODE = r"\b\d{1,6}[/-][A-Za-zĐđ]{1,12}(?:[/-][A-Za-z0-9Đđ]{1,16})+\b"
+# The patterns of the functions, but PHRASE: RE2 knows ASCII word borders only, so that the letter ahead is looked at instead.
 PHRASE = r"(?:^|[^\p{L}\p{N}_])([A-ZÀ-Ỵ][A-Za-zÀ-ỹĐđ''\-]*(?:\s+[A-ZÀ-Ỵ][A-Za-zÀ-ỹĐđ''\-]*){1,4})"
 
 
@@ -69,11 +70,8 @@ def sql_phrases(x: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '{PHRASE}', 1), lambda p: {norm('p')}), lambda p: length(p) >= 3)"
 
 
-HINTS = ["bộ ", "đội ", "ban ", "phòng ", "trung tâm", "cục ", "tập đoàn", "công ty", "học viện", "viện ", "quân khu", "viettel", "qutw"]
-
-
 def sql_is_org(p: str) -> str:
-    hinted = " OR ".join(f"contains({key(p)}, '{h}')" for h in HINTS)
+    hinted = " OR ".join(f"contains({key(p)}, '{h}')" for h in ORGANISATION_HINTS)
     return f"({hinted} OR ({p} = upper({p}) AND {p} <> lower({p}) AND length({p}) <= 25))"
 
 

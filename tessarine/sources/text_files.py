@@ -42,6 +42,24 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def read_legacy_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Logs of the older form, a file each: a JSON list, an object with a list named entries, or else JSON lines, of which broken ones are left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    listed = F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{_fields(schema)}>>"))
+    named = F.when(F.col("v").startswith("{"), F.from_json("v", f"entries array<struct<{_fields(schema)}>>")["entries"])
+    lines = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    kept = F.transform(F.filter(lines, lambda x: x["_bad"].isNull()), lambda x: F.struct(*[x[n].alias(n) for n in _names(schema)]))
+    return whole.select(F.explode(F.coalesce(listed, named, kept)).alias("e")).where("e is not null").select("e.*")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(",")]
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(","))
+
+
 def read_parsed(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
     """path, page, text of binary files such as PDFs, by a parser from bytes to page texts."""
 

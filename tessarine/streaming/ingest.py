@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Parts of a target.
+PARTS = 64
+
+
 def ingest(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Parquet files that land are hashed and added to target unless it holds the same key and hash; what is there is read when a batch ends.
+    """Parquet files that land are hashed and added to target unless it holds the same key and hash.
 
-    Replayed batches write nothing twice, because each is compared with the target first. No state is kept between batches.
+    The target is dealt into PARTS by the key's hash; a batch reads the parts of its own keys only. Batches that are replayed, also after a
+    failure midway, write what is missing, because each is compared with the target first. No state is kept between batches.
     """
-    rows = spark.readStream.schema(schema).parquet(landing).withColumn("file_hash", F.sha2(F.col(text), 256))
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    rows = spark.readStream.schema(schema).parquet(landing).withColumn("file_hash", F.sha2(F.col(text), 256)).withColumn("_part", part)
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key, "file_hash"])
         if _exists(spark, target):
-            new = new.join(spark.read.parquet(target).select(key, "file_hash"), [key, "file_hash"], "left_anti")
-        new.write.mode("append").parquet(target)
+            touched = [r[0] for r in new.select("_part").distinct().collect()]  # PARTS at most
+            there = spark.read.parquet(target).where(F.col("_part").isin(touched))
+            new = new.join(there.select(key, "file_hash"), [key, "file_hash"], "left_anti")
+        new.write.mode("append").partitionBy("_part").parquet(target)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
