@@ -104,9 +104,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     makes the others repeats unless a window recurs further on; rows with a null id lose nothing and are no model for others.
     """
     kind = docs.schema[id_col].dataType
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = d.where("id is not null")
-    bare = known.select("id", "text")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
@@ -117,7 +116,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
         yield from batched(parts(), settle_seeds, ["anchor", "span", "id", "at"])
 
-    rows = bare.mapInArrow(seeds, "anchor long, span long, id long, at long")
+    rows = known.mapInArrow(seeds, "anchor long, span long, id long, at long")
     code = F.col("at").bitwiseAND(3)
     by_span = W.Window.partitionBy("anchor", "span").orderBy("id", "at")
     by_anchor = W.Window.partitionBy("anchor").orderBy("span", "id", "at").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
@@ -142,7 +141,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         yield from batched(parts(), settle_windows, ["hash", "id", "start"])
 
     probed = marks.where(F.exists("marks", lambda m: m % 2 == 1))
-    each = bare.join(probed, "id").select("id", "text", "marks").mapInArrow(windows, "hash long, id long, start long")
+    each = known.join(probed, "id").select("id", "text", "marks").mapInArrow(windows, "hash long, id long, start long")
     by_hash = W.Window.partitionBy("hash").orderBy("id", "start")
     later = each.select("id", "start", F.first("id").over(by_hash).alias("id0"), F.first("start").over(by_hash).alias("start0")).where("start % 2 = 1 or id != id0 or start != start0")
     later = later.groupBy("id").agg(F.collect_list(F.shiftright("start", 1)).alias("starts"))
@@ -177,6 +176,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(begins, longs), pa.array(ends, longs)], ["id", "text_hash", "n_words", "n_removed", "kept", "begins", "ends"])
 
     schema = "id long, text_hash long, n_words long, n_removed long, kept string, begins array<long>, ends array<long>"
-    out = known.join(marks, "id", "left").join(later, "id", "left").select("id", "text", "marks", "starts", "text_hash").mapInArrow(cut, schema)
-    unknown = d.where("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("marks"), F.lit(None).cast("array<long>").alias("starts"), "text_hash").mapInArrow(cut, schema)
+    text_hash = F.xxhash64("text").alias("text_hash")  # after the joins, so that both share one shuffle of the texts
+    out = known.join(marks, "id", "left").join(later, "id", "left").select("id", "text", "marks", "starts", text_hash).mapInArrow(cut, schema)
+    unknown = d.where("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("marks"), F.lit(None).cast("array<long>").alias("starts"), text_hash).mapInArrow(cut, schema)
     return out.unionByName(unknown).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
