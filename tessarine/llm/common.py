@@ -163,9 +163,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Alternates large-star and small-star steps (Kiveris et al. 2014): every round rewrites the edges towards local minima, needs two
     group-bys with map-side minima and ends when the edge set no longer changes. Hubs are never gathered in one task.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v").distinct()
-    e = checkpointed(e)
-    last = None
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    e = checkpointed(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+
+    def sign_of(of: DataFrame) -> tuple:
+        return tuple(of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    last = sign_of(e)  # links that are stars already settle in the first round
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -177,11 +181,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = down.join(least, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         nxt = checkpointed(nxt)
-        sign = nxt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        e = nxt
-        if last is not None and (sign["n"], sign["s"]) == last:
+        e, sign = nxt, sign_of(nxt)
+        if sign == last:
             break
-        last = (sign["n"], sign["s"])
+        last = sign
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     # settled: a star forest, each edge (member, smallest)
