@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, near_dup_text, near_dup_vectors, quality, sharding, substring_dedup, token_count, url_filter, whitening
+from . import bpe, decontaminate, katz, near_dup_text, near_dup_vectors, quality, ranked_search, sharding, substring_dedup, suffix_dedup, token_count, url_filter, whitening
 from .common import read, shared_folder
 
 
@@ -155,8 +155,30 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op9_lm_scoring, op10_quality, op11_whitening)}
-ORACLE = {"op2_embedding_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM s),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, a GROUP BY term),
+i AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_words)))) AS impact FROM p JOIN w USING (term) JOIN s USING (doc_id), a),
+f AS (SELECT item_id, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(times * impact) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) WHERE rank <= 10"""
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cut_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_ngram_jaccard, op4_sharding, op5_decontamination, op6_bpe, op7_url_filter, op8_substring_dedup, op9_lm_scoring, op10_quality, op11_whitening, op12_ranked_search, op13_suffix_dedup)}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_ranked_search": OP12_SQL}
 
 
 def queries() -> dict:
