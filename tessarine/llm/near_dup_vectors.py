@@ -54,15 +54,18 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """id, n_links, component_id, kept for each row; see the contract of op2.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of different lengths.
-    Equal vectors count as links of each other. Rows that repeat an id count as vectors of their own with one component. Labels and other
-    columns are not read; an empty table gives an empty one. Links have the exact cosine, in double precision, or more.
+    Equal vectors count as links of each other. Rows that repeat an id are vectors of their own, each with its own links and component; a
+    row with a null id links with nothing, has a null component and is kept. Labels and other columns are not read; an empty table gives
+    an empty one. Links have the exact cosine, in double precision, or more.
     """
     spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
     good = v.where(fine)
-    reps = checkpointed(good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")))
-    members = good.join(reps.select("v", "rep", "copies"), "v").select("id", "rep", "copies")
+    # distinct vectors by numbers, fixed once they are written: ids may repeat
+    distinct = good.groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    reps = checkpointed(distinct.select(F.monotonically_increasing_id().alias("rep"), "v", "low", "copies", F.size("v").alias("dim")))
+    members = good.join(reps.select("v", "rep", "copies", "low"), "v").select("id", "rep", "copies", "low")
     n = reps.count()
     near, least, per_table, tables = calibrate(n, cosine)
     half = HALF_WINDOW * near
@@ -171,9 +174,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     weights = reps.select("rep", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(weights.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("beyond"))
-    classes = components(links)
-    found = members.join(degree.withColumnRenamed("a", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("id", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = components(links).withColumnRenamed("node", "rep")
+    least_ids = classes.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("least"))
+    named = classes.join(least_ids, "component").select("rep", "least")
+    found = members.join(degree.withColumnRenamed("a", "rep"), "rep", "left").join(named, "rep", "left")
+    found = found.select("id", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
     rest = v.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = found.unionByName(rest)
     return out.select(F.col("id").cast(kind).alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -151,6 +151,14 @@ def test_vectors(spark):
     assert near_dup_vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Rows are vectors of their own whatever their ids; other columns may have any name."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (5, [-1.0, 0.0]), (None, [1.0, 0.0]), (4, [-1.0, 0.05]), (7, [0.1, 1.0])]
+    table = spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, id int, rep int, v string, copies int")
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_dup_vectors.link_vectors(table).collect())
+    assert got == [(False, 1, 1, 1, True), (False, 1, 2, 1, True), (False, 2, 2, 1, False), (False, 2, 2, 1, False), (False, 4, 1, 4, True), (False, 5, 1, 4, False), (False, 7, 1, 1, False), (True, 0, 0, None, True)]
+
+
 def test_vectors_at_the_threshold(spark):
     """Pairs by bands of cosine: those near 0.95 are found as well as closer ones."""
     rng = np.random.default_rng(7)
