@@ -267,12 +267,9 @@ def _splitters(known: DataFrame, marks: DataFrame, ranges: int, prefix: int) ->
     return [found[k * len(found) // ranges] for k in range(1, ranges)] if found else []
 
 
-def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, begin, end: byte ranges of the documents (key long, text) that are covered by windows that also start elsewhere; ranges may overlap."""
+def _repeats(known: DataFrame, marks: DataFrame, ranges: int, length: int) -> DataFrame:
+    """key, begin, end of what repeats, with hash null; and windows that must be counted over all ranges, with their hash, and with null places where one range knows the answer."""
     spark = known.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = _candidates(known, length)
-    let_go(spark)
     gram, prefix = length // 2, min(PREFIX, length // 2)  # all of a group share the prefix, so no group lies across two splitters
     splitters = _splitters(known, marks, ranges, prefix)
     broad = spark.sparkContext.broadcast((splitters, {a for a, b in zip(splitters, splitters[1:], strict=False) if a == b}))
@@ -338,7 +335,17 @@ def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
 
     made = known.join(marks, "key").select("key", "text", "ats").mapInArrow(runs, RUN)
     dealt = made.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "run")
-    found = checkpointed(dealt.mapInArrow(merged, "key long, begin long, end long, hash long"))
+    return checkpointed(dealt.mapInArrow(merged, "key long, begin long, end long, hash long"))
+
+
+def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
+    """key, begin, end: byte ranges of the documents (key long, text) that are covered by windows that also start elsewhere; ranges may overlap."""
+    spark = known.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    marks = _candidates(known, length)
+    let_go(spark)
+    found = _repeats(known, marks, ranges, length)
+    let_go(spark)
     open_ = found.where("hash is not null")
     again = open_.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     late = open_.where("key is not null").join(again, "hash")
