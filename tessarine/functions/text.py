@@ -133,3 +133,21 @@ def json_object(c: str | Column) -> Column:
 
 def log_stem(c: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^A-Za-z0-9._-]+", "_")
+
+
+def json_answer(c: str | Column) -> Column:
+    """A model's answer without code fences at the ends of its lines; where it then doesn't begin with {, what stands between the first { and the last }, else all of it."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?m)^```(?:json)?\s*|\s*```$", ""), r"^\s+|\s+$", "")
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    return F.when(bare.startswith("{") | (inner == ""), bare).otherwise(inner)
+
+
+def split_thought(c: str | Column) -> Column:
+    """struct of reasoning and answer: what stands in the first <think> and what follows it; all that follows an open tag, and no answer; or the text as the answer."""
+    t = F.coalesce(col(c), F.lit(""))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    whole, open_ = r"(?s)<think>(.*?)</think>(.*)$", r"(?s)<think>(.*)$"
+    both, one = t.rlike(whole), t.contains("<think>")
+    reasoning = F.when(both, strip(F.regexp_extract(t, whole, 1))).when(one, strip(F.regexp_extract(t, open_, 1))).otherwise(F.lit(""))
+    answer = F.when(both, strip(F.regexp_extract(t, whole, 2))).when(one, F.lit("")).otherwise(t)
+    return F.struct(reasoning.alias("reasoning"), answer.alias("answer"))

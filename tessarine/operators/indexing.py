@@ -13,6 +13,11 @@ def pending(current: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return current.join(done, [key, "file_hash"], "left_anti")
 
 
+def reindexable(current: DataFrame, meta: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Pending rows of current whose file has been parsed as it is now: those that a new index job takes without parsing."""
+    return pending(current, state, key).join(meta.select(key, "file_hash"), [key, "file_hash"], "left_semi")
+
+
 def misses(candidates: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.join(cache, keys, "left_anti")
 

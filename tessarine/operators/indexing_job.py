@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text
 from ..settings import Settings
-from ..sources import store
+from ..sources.versions import Conflict, Transaction, Versions
 from . import indexing, splitting
 from .embedding import hash_embed
 
@@ -20,11 +20,12 @@ CHUNKS = (
 CACHE = "document_id long, file_hash string, fingerprint string, summary string, questions array<string>"
 POINTS = "point_id string, document_id long, chunk_index int, child_type string, child_index int, child_text string, vector array<float>"
 STATES = "document_id long, file_hash string, status string, parents long, children long"
-TABLES = {"parsed": PARSED, "chunks": CHUNKS, "cache": CACHE, "points": POINTS, "states": STATES}
+META = "document_id long, file_hash string, parser string, kind string"
+TABLES = {"parsed": PARSED, "parsed_meta": META, "chunks": CHUNKS, "cache": CACHE, "points": POINTS, "states": STATES}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return store.read_table(spark, f"{root}/{name}", TABLES[name])
+    return Versions(spark, root).read(name, TABLES[name])
 
 
 def described(chunks: DataFrame) -> DataFrame:
@@ -54,52 +55,80 @@ def child_points(chunks: DataFrame, cache: DataFrame, settings: Settings) -> Dat
     return hash_embed(c, [k for k in c.columns], "child_text", settings.embedding_dim)
 
 
-def run(spark: SparkSession, files: DataFrame, root: str, settings: Settings = Settings()) -> DataFrame:
-    """Indexes files (document_id, file_name, text) whose hash is new or changed, and returns the states of all documents.
+def index_into(tx: Transaction, files: DataFrame, settings: Settings = Settings()) -> None:
+    """Indexes files (document_id, file_name, text) whose hash is new or changed, inside a transaction.
 
-    Each step replaces the rows of its documents in a table below root, so a job that is run again after a failure starts where states are
-    missing and ends alike. Summaries and questions of chunks that a former run knew, by file hash and fingerprint, are taken from the cache.
-    Documents without text are parsed only. Unsupported suffixes fail the job before anything is written.
+    Pages of a file that was parsed before with the same hash are taken as they are. Summaries and questions of chunks that a former run knew,
+    by file hash and fingerprint, are taken from the cache. Documents without text are parsed only.
     """
-    put = lambda name, rows, keys, part=("document_id",): store.replace_rows(rows, f"{root}/{name}", keys, list(part))
-    got = lambda name: table(spark, root, name)
+    got = lambda name: tx.read(name, TABLES[name])
     hashed = files.withColumn("file_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     ids = indexing.pending(hashed.select("document_id", "file_hash"), got("states"), "document_id")
-    put("todo", hashed.join(ids.select("document_id"), "document_id").select("document_id", "file_hash", "file_name"), ["document_id"])
-    todo = spark.read.parquet(f"{root}/todo").drop("_bucket")
-    pages = splitting.markdown_of(files.join(todo.select("document_id"), "document_id"), "document_id", "file_name", "text")
-    for name in ("parsed", "chunks", "points"):
-        store.delete_rows(spark, f"{root}/{name}", todo, ["document_id"])
-    put("parsed", pages, ["document_id"])
+    todo = tx.scratch(hashed.join(ids.select("document_id"), "document_id").select("document_id", "file_hash", "file_name"))
+    if todo.isEmpty():
+        return
+    unparsed = todo.join(got("parsed_meta"), ["document_id", "file_hash"], "left_anti")
+    tx.replace("parsed", splitting.markdown_of(files.join(unparsed.select("document_id"), "document_id"), "document_id", "file_name", "text"), ["document_id"], gone=unparsed)
+    kind = F.when(F.lower("file_name").endswith(".pdf"), "pdf").otherwise("text")
+    tx.replace("parsed_meta", unparsed.select("document_id", "file_hash", F.lit("legacy").alias("parser"), kind.alias("kind")), ["document_id"])
     here = lambda name: got(name).join(todo.select("document_id"), "document_id", "left_semi")
     merged = splitting.merge_pages(here("parsed"), "document_id", "page_id", "text")
     chunks = splitting.split_documents(merged, "document_id", settings.chunk_size, settings.chunk_overlap).join(todo.select("document_id", "file_name"), "document_id")
-    put("chunks", described(chunks), ["document_id"])
+    tx.replace("chunks", described(chunks), ["document_id"], gone=todo)
     chunks = here("chunks")
-    known = got("cache").join(todo.select("document_id", "file_hash"), ["document_id", "file_hash"], "left_semi")
-    new = asked(indexing.misses(chunks, known, ["document_id", "fingerprint"]), settings).join(todo.select("document_id", "file_hash"), "document_id")
-    put("cache", new.select("document_id", "file_hash", "fingerprint", "summary", "questions"), ["document_id", "file_hash", "fingerprint"])
-    cache = got("cache").join(todo.select("document_id", "file_hash"), ["document_id", "file_hash"], "left_semi")
-    put("points", child_points(chunks, cache, settings), ["document_id"])
+    known = lambda: got("cache").join(todo.select("document_id", "file_hash"), ["document_id", "file_hash"], "left_semi")
+    new = asked(indexing.misses(chunks, known(), ["document_id", "fingerprint"]), settings).join(todo.select("document_id", "file_hash"), "document_id")
+    tx.replace("cache", new.select("document_id", "file_hash", "fingerprint", "summary", "questions"), ["document_id", "file_hash", "fingerprint"], ["document_id"])
+    tx.replace("points", child_points(chunks, known(), settings), ["document_id"], gone=todo)
     n = lambda name, c: here(name).groupBy("document_id").agg(F.count(F.lit(1)).alias(c))
     counts = todo.join(n("chunks", "parents"), "document_id", "left").join(n("points", "children"), "document_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    put("states", counts.select("document_id", "file_hash", F.when(zero("parents") > 0, "embedded").otherwise("parsed").alias("status"), zero("parents").alias("parents"), zero("children").alias("children")), ["document_id"])
-    store.clear(spark, f"{root}/todo")
-    return got("states")
+    tx.replace("states", counts.select("document_id", "file_hash", F.when(zero("parents") > 0, "embedded").otherwise("parsed").alias("status"), zero("parents").alias("parents"), zero("children").alias("children")), ["document_id"])
+
+
+def delete_from(tx: Transaction, gone: DataFrame) -> None:
+    """Takes documents out of all tables, inside a transaction."""
+    for name in TABLES:
+        tx.delete(name, gone, ["document_id"])
+
+
+def _failed(tx: Transaction, files: DataFrame) -> None:
+    hashed = files.select("document_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_hash"))
+    todo = indexing.pending(hashed, tx.read("states", STATES), "document_id")
+    none = F.lit(0).cast("long")
+    tx.replace("states", todo.select("document_id", "file_hash", F.lit("index_failed").alias("status"), none.alias("parents"), none.alias("children")), ["document_id"])
+
+
+def run(spark: SparkSession, files: DataFrame, root: str, settings: Settings = Settings()) -> DataFrame:
+    """Indexes files in one transaction (see index_into), and returns the states of all documents.
+
+    Readers see all of it or nothing, whatever happens to the job. When it fails, e.g. at an unsupported suffix, nothing of it stays but the
+    state index_failed of the documents that were to be indexed; they are taken again by the next run.
+    """
+    versions = Versions(spark, root)
+    try:
+        versions.transaction(lambda tx: index_into(tx, files, settings))
+    except Conflict:
+        raise
+    except Exception:
+        versions.transaction(lambda tx: _failed(tx, files))
+        raise
+    return versions.read("states", STATES)
 
 
 def rebuild_points(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:
     """Makes all points anew from the chunks and the cache; returns the ids of the documents touched, in order."""
-    cache = table(spark, root, "cache").dropDuplicates(["document_id", "fingerprint"])
-    chunks = table(spark, root, "chunks")
-    lacking = asked(indexing.misses(chunks, cache, ["document_id", "fingerprint"]), settings)
-    both = cache.select("document_id", "fingerprint", "summary", "questions").unionByName(lacking)
-    store.replace_rows(child_points(chunks, both, settings), f"{root}/points", ["document_id"])
+
+    def change(tx: Transaction) -> None:
+        cache, chunks = tx.read("cache", CACHE).dropDuplicates(["document_id", "fingerprint"]), tx.read("chunks", CHUNKS)
+        lacking = asked(indexing.misses(chunks, cache, ["document_id", "fingerprint"]), settings)
+        both = cache.select("document_id", "fingerprint", "summary", "questions").unionByName(lacking)
+        tx.replace("points", child_points(chunks, both, settings), ["document_id"])
+
+    Versions(spark, root).transaction(change)
     return table(spark, root, "points").select("document_id").distinct().orderBy("document_id")
 
 
 def delete_documents(spark: SparkSession, gone: DataFrame, root: str) -> None:
-    """Takes documents out of all tables, points first."""
-    for name in ("points", "chunks", "cache", "parsed", "states"):
-        store.delete_rows(spark, f"{root}/{name}", gone, ["document_id"])
+    """Takes documents out of all tables in one version."""
+    Versions(spark, root).transaction(lambda tx: delete_from(tx, gone))

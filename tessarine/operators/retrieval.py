@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import document_codes, fold, lookup_terms, normalize_spaces
+from ..sources.scratch import checkpointed, drop, scratch_folder
+from .keyword_index import KeywordIndex
+from .vector_index import nearest
 
 #: Rank constant, weights of the vector and keyword lists, factor by which the vector side looks further than asked.
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, PROBE = 60, 1.0, 1.2, 4
@@ -16,14 +19,6 @@ RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, PROBE = 60, 1.0, 1.2, 4
 QUERY_BLOCK = 1000
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a few files that can't be split are dealt to all cores; a table of many splits is left where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -50,13 +45,11 @@ def in_blocks(queries: DataFrame, answer) -> DataFrame:
 def vector_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, child_type, similarity: the k nearest points of each query, by cosine, ties by point.
 
-    points: point_id, chunk_id, child_type, vector. queries: query_id, query_vector, a stated set that is counted before it is sent.
+    points: point_id, chunk_id, child_type, vector. queries: query_id, query_vector, answered in rounds of QUERY_BLOCK. Without an index all points are
+    looked at; VectorIndex keeps one that leaves most of them out.
     """
-    q = queries.select("query_id", "query_vector", dot(F.col("query_vector"), F.col("query_vector")).alias("query_norm"))
-    p = spread(points).withColumn("norm", dot(F.col("vector"), F.col("vector")))
-    near = dot(F.col("vector"), F.col("query_vector")) / F.sqrt(F.col("norm") * F.col("query_norm"))
-    scored = in_blocks(q, lambda block: p.join(F.broadcast(block)).select("query_id", "point_id", "chunk_id", "child_type", near.alias("similarity")))
-    return ranked(scored, ["query_id"], [F.col("similarity").desc(), F.col("point_id")], k)
+    near = nearest(spread(points), queries, k, QUERY_BLOCK)
+    return near.select("query_id", "rank", *[F.col(c).cast(points.schema[c].dataType).alias(c) for c in ("point_id", "chunk_id")], "child_type", "similarity")
 
 
 def vector_parents(hits: DataFrame, document_ids: list[int] | None = None) -> DataFrame:
@@ -92,7 +85,15 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return ranked(keyword_scores(chunks, queries), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    """query_id, chunk_id, score, rank of the k best chunks of each query, by an index that is built for these queries and deleted after them.
+
+    KeywordIndex.build() makes one that stays.
+    """
+    spark = chunks.sparkSession
+    folder = scratch_folder(spark)
+    found = checkpointed(KeywordIndex.build(chunks, folder).topk(queries, k))
+    drop(spark, folder)
+    return found.withColumn("chunk_id", F.col("chunk_id").cast(chunks.schema["chunk_id"].dataType))
 
 
 def rrf_merge(vector: DataFrame, keyword: DataFrame, k: int, c: int = RRF_K, vector_weight: float = VECTOR_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT) -> DataFrame:
@@ -153,9 +154,13 @@ def prompts(contexts: DataFrame, queries: DataFrame, history: DataFrame | None =
     return q.select("query_id", F.concat_ws("\n\n", F.nullif("history", F.lit("")), "context", F.concat(F.lit("Q: "), F.col("message"))).alias("prompt"))
 
 
-def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, document_ids: list[int] | None = None) -> DataFrame:
-    """The hybrid search: rows (query_id, rank, chunk_id, retrieval_mode, score, child_type, content) of chunks that exist."""
+def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, document_ids: list[int] | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """The hybrid search: rows (query_id, rank, chunk_id, retrieval_mode, score, child_type, content) of chunks that exist.
+
+    index is one of all chunks; where there is none, or only some documents are searched, one is built for the purpose.
+    """
     v = vector_parents(vector_topk(points, queries, probe_size(top_k)), document_ids)
     pool = chunks if document_ids is None else chunks.where(F.col("chunk_id").isin(document_ids))
-    merged = rrf_merge(v, keyword_topk(pool, queries, probe_size(top_k)), top_k)
+    by_word = index.topk(queries, probe_size(top_k)) if index and document_ids is None else keyword_topk(pool, queries, probe_size(top_k))
+    merged = rrf_merge(v, by_word, top_k)
     return merged.join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "rank", "chunk_id", "retrieval_mode", "score", "child_type", normalize_spaces("content").alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,34 +126,72 @@ def recursive_split(docs: DataFrame, id_col: str, text_col: str, size: int = CHU
 
 
 def sections(text: str) -> list[tuple[str, dict[str, str]]]:
-    """Sections of Markdown with the headers above them; a header line stays in its section, fences hide headers."""
-    out: list[tuple[list[str], dict[str, str]]] = []
+    """Sections of Markdown with the headers above them; a header line stays in its section, fences hide headers.
+
+    Lines are stripped, and characters that can't be printed go. A blank line outside of a fence ends a block, and so does a header. Blocks under the
+    same headers are one section, parted by two spaces and a newline; a block that ends in a header takes in the first one below a deeper header.
+    """
+    blocks: list[tuple[str, dict[str, str]]] = []
+    held: list[str] = []
     path: dict[int, str] = {}
+    above: dict[str, str] = {}  # the headers of the block that is open
     fence = ""
+
+    def close() -> None:
+        if held:
+            blocks.append(("\n".join(held), above))
+            held.clear()
+
     for line in text.split("\n"):
-        bare = line.strip()
-        if bare[:3] in ("```", "~~~") and (not fence or bare.startswith(fence)):
-            fence = "" if fence else bare[:3]
+        bare = "".join(c for c in line.strip() if c.isprintable())
+        if fence and not bare.startswith(fence):
+            held.append(bare)
+            continue
+        if fence:
+            fence = ""
+        elif bare.startswith("~~~") or (bare.startswith("```") and bare.count("```") == 1):
+            fence = bare[:3]
+            held.append(bare)
+            continue
         level = len(bare) - len(bare.lstrip("#"))
-        if not fence and 1 <= level <= 6 and bare[level : level + 1] in ("", " "):
+        if 1 <= level <= 6 and bare[level : level + 1] in ("", " "):
             path = {k: v for k, v in path.items() if k < level} | {level: bare[level:].strip()}
-            out.append(([bare], {f"h{k}": v for k, v in path.items()}))
-        elif out:
-            out[-1][0].append(line)
+            close()
+        if bare:
+            held.append(bare)
         else:
-            out.append(([line], {}))
-    return [("\n".join(lines).strip(), h) for lines, h in out if "\n".join(lines).strip()]
+            close()
+        above = {f"h{k}": v for k, v in path.items()}
+    close()
+    out: list[tuple[str, dict[str, str]]] = []
+    for content, headers in blocks:
+        last, of = out[-1] if out else ("", None)
+        if of == headers or (of is not None and len(of) < len(headers) and last.split("\n")[-1].startswith("#")):
+            out[-1] = (f"{last}  \n{content}", headers)
+        else:
+            out.append((content, headers))
+    return out
+
+
+def placed_sections(text: str) -> Iterator[tuple[int, str, dict[str, str]]]:
+    """Where each section starts in the text, its content and headers. A section whose lines were changed is no part of the text any more; then it is looked
+    for as it is without outer white space, from the last one on and from the front, and stands where the last one ended if it isn't found."""
+    cursor = 0
+    for content, headers in sections(text):
+        bare = content.strip()
+        tries = (text.find(content, cursor), text.find(bare, cursor), text.find(bare)) if bare else ()
+        start = next((at for at in tries if at >= 0), cursor)
+        cursor = max(cursor, start + len(content))
+        if bare:
+            yield start, bare, headers
 
 
 def header_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, section, start_index, h1 to h6, content."""
 
     def cut(text: str):
-        at = 0
-        for k, (content, h) in enumerate(sections(text)):
-            start = text.find(content, at)
-            at = at if start < 0 else start + len(content)
-            yield (k, start if start >= 0 else at, *[h.get(f"h{i}") for i in range(1, 7)], content)
+        for k, (start, content, h) in enumerate(placed_sections(text)):
+            yield (k, start, *[h.get(f"h{i}") for i in range(1, 7)], content)
 
     return _per_text(docs, id_col, text_col, cut, "section int, start_index long, h1 string, h2 string, h3 string, h4 string, h5 string, h6 string, content string")
 
@@ -160,31 +199,33 @@ def header_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def split_documents(merged: DataFrame, id_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """id, chunk_index (dense), start_index (in the whole text), page, h1 to h6, content of texts with page spans, as merge_pages() gives them.
 
-    Sections by Markdown headers, then overlapping chunks in each, with the headers above them and the page in which they start. Each document
-    is split where it is, without a shuffle.
+    Sections by Markdown headers, then overlapping chunks in each, with the headers above them and the page in which they start (the last one's for
+    places in no span). Each document is split where it is, without a shuffle, and pages are looked up by halving the spans.
     """
     kind = merged.schema[id_col].dataType.simpleString()
-    columns = ["id", "chunk_index", "start_index", *(f"h{i}" for i in range(1, 7)), "content"]
+    columns = ["id", "chunk_index", "start_index", "page", *(f"h{i}" for i in range(1, 7)), "content"]
 
-    def rows(i, text: str) -> Iterator[tuple]:
-        k = at = 0
-        for section, headers in sections(text):
-            start = max(at, text.find(section[:40], at))
+    def rows(i, text: str, starts: list[int], ends: list[int], pages: list) -> Iterator[tuple]:
+        k = 0
+        for start, section, headers in placed_sections(text):
             inner = 0
             for chunk in split_text(section, size, overlap):
                 found = section.find(chunk, max(0, inner - overlap))
                 inner = found + len(chunk)
-                yield (i, k, start + found, *[headers.get(f"h{n}") for n in range(1, 7)], chunk)
+                at = bisect_right(starts, start + found) - 1
+                page = (pages[at] if at >= 0 and start + found < ends[at] else pages[-1]) if pages else None
+                yield (i, k, start + found, page, *[headers.get(f"h{n}") for n in range(1, 7)], chunk)
                 k += 1
-            at = start + len(section)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for i, text in zip(b["id"], b["text"], strict=True) for r in rows(i, text or "")], columns=columns)
+            listed = [[[] if x is None else list(x) for x in b[c]] for c in ("starts", "ends", "pages")]
+            found = pd.DataFrame([r for i, text, *spans in zip(b["id"], b["text"], *listed, strict=True) for r in rows(i, text or "", *spans)], columns=columns)
+            yield found.astype({"page": "Int64"})
 
-    chunks = merged.select(F.col(id_col).alias("id"), "text").mapInPandas(work, f"id {kind}, chunk_index int, start_index long, {', '.join(f'h{i} string' for i in range(1, 7))}, content string")
-    paged = chunks.join(merged.select(F.col(id_col).alias("id"), "spans"), "id").withColumn("page", page_at(F.col("spans"), F.col("start_index"))).drop("spans")
-    return paged.withColumnRenamed("id", id_col)
+    spans = [F.col("spans")[x].alias(f"{x}s") for x in ("start", "end", "page")]
+    schema = f"id {kind}, chunk_index int, start_index long, page int, {', '.join(f'h{i} string' for i in range(1, 7))}, content string"
+    return merged.select(F.col(id_col).alias("id"), "text", *spans).mapInPandas(work, schema).withColumnRenamed("id", id_col)
 
 
 def greedy_batches(chunks: DataFrame, id_col: str, order_col: str, text_col: str, items: int = 8, chars: int = 6000, extra: int = 400) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text
+from ..operators import traces
+from ..sources import store
+from ..sources.scratch import scratch_folder
 from . import tables as t
 from .registry import query
 
@@ -124,8 +127,51 @@ def trace_read(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT event_type FROM events WHERE event_id % 5 = 0) GROUP BY event_type")
 def trace_append(spark, d):
-    e = t.read(spark, d, "events").select("event_id", "event_type")
-    return e.unionByName(e.where("event_id % 5 = 0")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Events appended to a log in two segments, of which the second comes without a look at the first, and put together."""
+    path, e = f"{scratch_folder(spark)}/log", t.read(spark, d, "events").select("event_id", "event_type")
+    for segment in (e, e.where("event_id % 5 = 0")):
+        store.append_rows(segment, path)
+    schema = "event_id long, event_type string"
+    store.compact(spark, path, schema)
+    return store.read_table(spark, path, schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def steps(spark, d):
+    """Events as the starts and ends of steps, by their number; a user's are a trace."""
+    phase = F.when(F.col("event_id") % 4 < 2, traces.START).when(F.col("event_id") % 4 == 2, traces.DONE).otherwise(traces.FAIL)
+    return t.read(spark, d, "events").select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("step"), phase.alias("phase"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+_SPANS = """e AS (SELECT user_id::VARCHAR AS trace_id, event_type AS step, event_id % 4 < 2 AS starts, event_id % 4 = 2 AS done, epoch_us(ts::TIMESTAMP) AS us, event_id FROM events),
+s AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE -1 END) OVER w AS total FROM e WINDOW w AS (PARTITION BY trace_id, step ORDER BY us, event_id)),
+m AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY trace_id, step ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+l AS (SELECT *, CASE WHEN NOT starts AND total < low THEN -1 ELSE total - low + CASE WHEN starts THEN 0 ELSE 1 END END AS level FROM m),
+n AS (SELECT *, CASE WHEN level < 0 THEN -1 ELSE 1 END * row_number() OVER (PARTITION BY trace_id, step, level, starts ORDER BY us, event_id) AS nth FROM l),
+spans AS (SELECT trace_id, step, max(us) FILTER (WHERE starts) AS started_us, max(us) FILTER (WHERE NOT starts) AS ended_us,
+  CASE WHEN max(us) FILTER (WHERE NOT starts) IS NULL THEN 'open' WHEN max(us) FILTER (WHERE starts) IS NULL THEN 'orphan' WHEN bool_or(done) THEN 'done' ELSE 'failed' END AS outcome FROM n GROUP BY trace_id, step, level, nth)"""
+
+
+@query(f"WITH {_SPANS} SELECT trace_id, step, started_us, ended_us, outcome, (ended_us - started_us) / 1000.0::DOUBLE AS elapsed_ms FROM spans")
+def step_spans(spark, d):
+    """Starts of steps paired with what ended them."""
+    s = traces.pair_steps(steps(spark, d))
+    return s.select("trace_id", "step", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "outcome", "elapsed_ms")
+
+
+@query(f"WITH {_SPANS} SELECT trace_id, step, count(started_us) AS runs, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'open') AS open, round(sum((ended_us - started_us) / 1000.0::DOUBLE), 3) AS total_ms, round(max((ended_us - started_us) / 1000.0::DOUBLE), 3) AS slowest_ms FROM spans GROUP BY ALL")
+def step_totals(spark, d):
+    return traces.stage_totals(traces.pair_steps(steps(spark, d)))
+
+
+_THOUGHT = "said AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think> ' || text || ' </think> so ' || role WHEN 1 THEN 'x <think>' || text WHEN 2 THEN '<think>a</think>' || text || '<think>b</think>' ELSE text END AS t FROM conversations)"
+
+
+@query(f"WITH {_THOUGHT} SELECT conv_id, turn, CASE WHEN contains(t, '</think>') THEN trim(substr(t, strpos(t, '<think>') + 7, strpos(t, '</think>') - strpos(t, '<think>') - 7)) WHEN contains(t, '<think>') THEN trim(substr(t, strpos(t, '<think>') + 7)) ELSE '' END AS reasoning, CASE WHEN contains(t, '</think>') THEN trim(substr(t, strpos(t, '</think>') + 8)) WHEN contains(t, '<think>') THEN '' ELSE t END AS answer FROM said")
+def think_split(spark, d):
+    """Reasoning and answer of messages that think aloud, to the end or not at all."""
+    c = t.read(spark, d, "conversations")
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<think> "), "text", F.lit(" </think> so "), "role")).when(F.col("turn") % 4 == 1, F.concat(F.lit("x <think>"), "text")).when(F.col("turn") % 4 == 2, F.concat(F.lit("<think>a</think>"), "text", F.lit("<think>b</think>"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", text.split_thought(said).alias("s")).select("conv_id", "turn", "s.reasoning", "s.answer")
 
 
 @query("WITH a AS (SELECT conv_id, turn, 'x [Chunk ' || (turn % 4) || '] and [Chunk ' || (conv_id % 3 + 1) || ']' AS answer FROM conversations), e AS (SELECT conv_id, turn, unnest(regexp_extract_all(answer, '\\[Chunk (\\d+)\\]', 1))::INTEGER AS n FROM a) SELECT DISTINCT conv_id, turn, n, 'src' || n AS source FROM e WHERE n BETWEEN 1 AND 3".replace("\\\\", "\\"))

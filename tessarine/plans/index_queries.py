@@ -79,9 +79,8 @@ def header_split(spark, d):
 
 @query(None)
 def split_pipeline(spark, d):
-    pages = t.read(spark, d, "pages").select("page_id", F.concat(F.lit("# "), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("\n"), F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
-    sections = splitting.header_split(pages, "page_id", "text").select(F.concat_ws("-", "page_id", "section").alias("id"), "content")
-    return splitting.recursive_split(sections, "id", "content")
+    """Whole texts as pages, put together, cut at headers and into chunks, each with its place, page and headers."""
+    return splitting.split_documents(splitting.merge_pages(splitting.split_pages(paged(spark, d), "doc_id", "text"), "doc_id", "page_id", "text"), "doc_id")
 
 
 @query(None)
@@ -195,16 +194,17 @@ def indexed(spark, d):
     return root, files, indexing_job.run(spark, files, root)
 
 
-@query("SELECT doc_id, 'embedded' AS status, true AS found, true AS pages_rise FROM documents")
+_FILES = rf"""{t.LINES}, marked AS (SELECT doc_id, 'head' || string_agg(CASE WHEN chunk_index % 3 = 0 THEN chr(10) || chr(10) || '{{' || (chunk_index // 3)::INTEGER || '}}------' || chr(10) || chr(10) ELSE chr(10) END || content, '' ORDER BY chunk_index) AS paged FROM lines GROUP BY doc_id),
+files AS (SELECT doc_id, d.text, CASE WHEN doc_id % 3 = 0 THEN paged ELSE d.text END AS file FROM documents d JOIN marked USING (doc_id))"""
+
+
+@query(rf"WITH {_FILES} SELECT doc_id, sha256(file) AS file_hash, CASE WHEN regexp_matches(text, '\S') THEN 'embedded' ELSE 'parsed' END AS status, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9]+')))::BIGINT AS n_words FROM files")
 def index_job(spark, d):
-    """The whole job; every chunk stands in its document where it says, and pages do not fall."""
+    """The whole job: hashes and states of all files, and the different words that a file's chunks hold together, which are those of its text."""
     root, _, states = indexed(spark, d)
-    merged = splitting.merge_pages(indexing_job.table(spark, root, "parsed"), "document_id", "page_id", "text").select("document_id", F.col("text").alias("whole"))
-    chunks = indexing_job.table(spark, root, "chunks").join(merged, "document_id")
-    w = W.Window.partitionBy("document_id").orderBy("chunk_index")
-    stands = F.substring(F.col("whole"), F.col("start_index").cast("int") + 1, F.length("content")) == F.col("content")
-    checked = chunks.withColumn("rises", F.col("page") >= F.coalesce(F.lag("page").over(w), F.col("page"))).groupBy("document_id").agg(F.bool_and(stands).alias("found"), F.bool_and("rises").alias("pages_rise"))
-    return states.join(checked, "document_id").select(F.col("document_id").alias("doc_id"), "status", "found", "pages_rise")
+    words = indexing_job.table(spark, root, "chunks").select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z0-9]+)")))).alias("w"))
+    n = words.distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("n_words"))
+    return states.join(n, "document_id", "left").select(F.col("document_id").alias("doc_id"), "file_hash", "status", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
 
 
 @query("SELECT doc_id, true AS same FROM documents")

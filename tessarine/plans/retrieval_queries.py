@@ -8,6 +8,8 @@ from ..functions import tags
 from ..functions.text import document_codes
 from ..operators import retrieval as r
 from ..operators.embedding import hash_embed
+from ..operators.vector_index import VectorIndex
+from ..sources.scratch import scratch_folder
 from . import tables as t
 from .catalog_queries import chat_history
 from .registry import query
@@ -76,6 +78,13 @@ def vector_topk(spark, d):
     return r.vector_topk(points(spark, d), asked_vectors(spark, d), TOP_K).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {CTE} SELECT query_id, rank, chunk_id, child_type, round(similarity, 6) AS similarity FROM hits WHERE rank <= {TOP_K}")
+def vector_cells(spark, d):
+    """The nearest vectors by an index of cells."""
+    index = VectorIndex.build(points(spark, d), scratch_folder(spark))
+    return index.topk(asked_vectors(spark, d), TOP_K)[0].select("query_id", "rank", "chunk_id", "child_type", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, child_type FROM hits WHERE rank <= 4")
 def vector_only(spark, d):
     """Children without collapse and fusion, as when there is no table of chunks."""
@@ -131,10 +140,11 @@ def mode_counts(spark, d):
     return merged(spark, d).groupBy("query_id", "retrieval_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CTE} SELECT query_id, rank, chunk_id, retrieval_mode, round(score, 6) AS score, page, 'text_chunk' AS source_kind, source AS file_name, replace(trim(content), chr(10), ' ')[1:280] AS excerpt FROM found")
+@query(f"WITH {CTE} SELECT query_id, rank, chunk_id, retrieval_mode, round(score, 6) AS score, chunk_id // 4 AS document_id, chunk_id % 4 AS chunk_index, page, 'text_chunk' AS source_kind, source AS file_name, replace(trim(content), chr(10), ' ')[1:280] AS excerpt FROM found")
 def build_sources(spark, d):
+    """Four chunks make up a document."""
     kind = tags.source_kind(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(".md"))
-    return found(spark, d).select("query_id", "rank", "chunk_id", "retrieval_mode", F.round("score", 6).alias("score"), "page", kind.alias("source_kind"), "file_name", r.excerpt(F.col("content")).alias("excerpt"))
+    return found(spark, d).select("query_id", "rank", "chunk_id", "retrieval_mode", F.round("score", 6).alias("score"), F.floor(F.col("chunk_id") / 4).cast("long").alias("document_id"), (F.col("chunk_id") % 4).alias("chunk_index"), "page", kind.alias("source_kind"), "file_name", r.excerpt(F.col("content")).alias("excerpt"))
 
 
 _CONTEXT = """contexts AS (SELECT query_id, string_agg('[Chunk ' || rank || '] file=' || source || coalesce(' | page=' || page, '') || ' | doc_type=Tài_liệu_nội_bộ' || CASE WHEN len(codes) > 0 THEN ' | document_codes=' || array_to_string(codes[1:3], ', ') ELSE '' END
@@ -172,7 +182,6 @@ def embed_hash(spark, d):
 @query("SELECT 'legacy' AS parser, 'text' AS kind, text, length(text) AS n_chars FROM documents")
 def scan_text(spark, d):
     """Each text written as a file of its own and read again as a whole record. Texts end as they are: no line is added."""
-    from ..sources.scratch import scratch_folder
     from ..sources.text_files import read_texts, write_texts
 
     path = f"{scratch_folder(spark)}/texts"

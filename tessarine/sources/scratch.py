@@ -5,16 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new one below spark.checkpoint.dir; of this machine only in local sessions that name none, as in tests."""
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only in local sessions that name none, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    return f"{base or tempfile.gettempdir() + '/checkpoints'}/scratch-{uuid.uuid4().hex}"
+    return base or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{_shared(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut. With spark.cleaner.referenceTracking.cleanCheckpoints the session drops the files once nothing refers to them."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(_shared(df.sparkSession))
+    return df.checkpoint()
 
 
 def _at(spark: SparkSession, path: str):

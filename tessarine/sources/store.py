@@ -1,4 +1,4 @@
-"""Tables that jobs write, replace and delete rows of, by key, in a folder that driver and executors share."""
+"""Single tables that jobs write, replace and delete rows of, by key, in a folder that driver and executors share; jobs over several take versions.py."""
 
 from __future__ import annotations
 
@@ -7,58 +7,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import drop, exists, scratch_folder
+from .versions import Versions
 
-#: Parts of a table by the hash of its key: a change rewrites those that it touches.
-BUCKETS = 16
+_ROWS = "rows"
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a table, none if there is none."""
-    return spark.read.schema(f"{schema}, _bucket int").parquet(path).drop("_bucket") if exists(spark, path) else spark.createDataFrame([], schema)
+    return Versions(spark, path).read(_ROWS, schema)
 
 
-def _bucket(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def replace_rows(new: DataFrame, path: str, keys: list[str], part_by: list[str] | None = None) -> None:
+    """Puts new in place of all rows with its keys. part_by, some of the keys, deals the table into parts (all keys if not given). Run again, it changes nothing."""
+    Versions(new.sparkSession, path).transaction(lambda tx: tx.replace(_ROWS, new, keys, part_by))
 
 
-def replace_rows(new: DataFrame, path: str, keys: list[str], part_by: list[str] | None = None, buckets: int = BUCKETS) -> None:
-    """Puts new in place of all rows with its keys. part_by, some of the keys, deals the table into parts (all keys if not given).
-
-    Run again, it changes nothing. What a part will hold is written beside the table first; the table's parts are changed at the end only.
-    """
-    _rewrite(new.sparkSession, path, new, new.select(keys).distinct(), keys, part_by or keys, buckets)
-
-
-def delete_rows(spark: SparkSession, path: str, gone: DataFrame, keys: list[str], part_by: list[str] | None = None, buckets: int = BUCKETS) -> None:
+def delete_rows(spark: SparkSession, path: str, gone: DataFrame, keys: list[str]) -> None:
     """Takes out the rows with these keys; without a table nothing happens."""
-    if exists(spark, path):
-        _rewrite(spark, path, None, gone.select(keys).distinct(), keys, part_by or keys, buckets)
-
-
-def _rewrite(spark: SparkSession, path: str, new: DataFrame | None, gone: DataFrame, keys: list[str], part_by: list[str], buckets: int) -> None:
-    bucket, beside = _bucket(part_by, buckets), scratch_folder(spark)
-    touched = [r[0] for r in gone.select(bucket.alias("b")).distinct().collect()]  # as many as parts at most
-    rows = None if new is None else new.withColumn("_bucket", bucket)
-    if exists(spark, path):
-        old = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).join(gone, keys, "left_anti")
-        rows = old if rows is None else old.unionByName(rows.select(old.columns))
-    rows.repartition(buckets, "_bucket").write.partitionBy("_bucket").parquet(beside)
-    merged = spark.read.schema(rows.schema).parquet(beside)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
-    left = {r[0] for r in merged.select("_bucket").distinct().collect()}
-    for b in set(touched) - left:  # parts that lost all rows
-        drop(spark, f"{path}/_bucket={b}")
-    drop(spark, beside)
+    Versions(spark, path).transaction(lambda tx: tx.delete(_ROWS, gone, keys))
 
 
 def append_rows(new: DataFrame, path: str) -> None:
     """Adds events to a log table; nothing that is there is read."""
-    new.write.mode("append").parquet(path)
+    Versions(new.sparkSession, path).transaction(lambda tx: tx.append(_ROWS, new))
+
+
+def compact(spark: SparkSession, path: str, schema: str) -> None:
+    """Puts the segments of a log table together."""
+    Versions(spark, path).transaction(lambda tx: tx.compact(_ROWS, schema))
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    drop(spark, path)
+    Versions(spark, path).transaction(lambda tx: tx.clear(_ROWS))
 
 
 def land_uploads(files: DataFrame, path: str) -> DataFrame:

@@ -116,7 +116,7 @@ def test_split_documents(spark):
     pages = spark.createDataFrame([(1, 0, "# A\nfirst page ends."), (1, 1, "Second page\n## B\nmore")], "id int, page int, text string")
     merged = splitting.merge_pages(pages, "id", "page", "text")
     got = [(r.chunk_index, r.start_index, r.page, r.h1, r.h2, r.content) for r in splitting.split_documents(merged, "id").orderBy("chunk_index").collect()]
-    assert got == [(0, 0, 0, "A", None, "# A\nfirst page ends.\n\nSecond page"), (1, 34, 1, "A", "B", "## B\nmore")]
+    assert got == [(0, 0, 0, "A", None, "# A\nfirst page ends.  \nSecond page"), (1, 34, 1, "A", "B", "## B\nmore")]
 
 
 def test_files_by_suffix(spark):
