@@ -1,10 +1,10 @@
 """Keyword search by a stored index: a term counts where a text contains it anywhere, also inside a word, so words are looked up by their grams.
 
-Three tables below a folder. Postings: chunks are dealt into blocks, and each word of a block (a run of letters, digits, / and - of the folded texts) has a
-row with the places of the chunks that hold it; so has each code of the chunks' metadata. Grams: each gram of two or three characters with the
-words of the whole index that contain it. A term is looked up by its rarest gram; of the words found, those that contain the whole term are exact:
-a text contains a term if and only if one of its words does. Only postings of such words are read. A block is left out for a query when all terms that occur in it
-together can't beat the query's best chunks so far.
+Two tables below a folder. Postings: chunks are dealt into blocks, and each word of a block (a run of letters, digits, / and - of the folded texts) has a
+row with the places of the chunks that hold it; so has each pair of characters, and each code of the chunks' metadata. Grams: each gram of three characters
+with the words of the whole index that contain it. A term of two characters is a pair; a longer one is looked up by its rarest gram, and of the words found, those
+that contain the whole term are exact: a text contains a term if and only if one of its words does. Only postings of these are read. A block is left out
+for a query when all terms that occur in it together can't beat the query's best chunks so far.
 """
 
 from __future__ import annotations
@@ -22,33 +22,39 @@ from ..functions.text import document_codes, fold, lookup_terms
 from ..sources.scratch import checkpointed
 
 #: Chunks of a block and bytes of their texts, whichever is reached first; terms of the queries that are answered in one round.
-BLOCK_CHUNKS, BLOCK_BYTES, ROUND_TERMS = 8192, 8 << 20, 50_000
+BLOCK_CHUNKS, BLOCK_BYTES, ROUND_TERMS = 8192, 8 << 20, 10_000
 #: Words with their terms that are sent to all tasks; more are joined by a shuffle of the postings.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 #: What a term and a code are worth: a code in the metadata, or else in the text.
 TERM, CODE, CODE_IN_TEXT = 1.0, 12.0, 6.0
 POSTINGS = "block long, kind string, word string, places array<int>, ids array<long>"
 # đ is no letter of a term, but may be one of a code; it gets a byte of its own
 _D, _MARK = "đ".encode(), b"\x01"
-_TABLE = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789/-\x01" else 0x20 for b in range(256))
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789/-\x01"
+_TABLE = bytes(b if b in _LETTERS else 0x20 for b in range(256))
+_NUMBER = np.array([_LETTERS.find(bytes([b])) for b in range(256)])
 
 
-def words_of(folded: bytes) -> list[bytes]:
-    """Runs of two or more of the characters that terms and codes are made of."""
-    return [w for w in folded.replace(_MARK, b" ").replace(_D, _MARK).translate(_TABLE).split() if len(w) > 1]
+def words_of(folded: bytes) -> tuple[list[bytes], list[bytes]]:
+    """The different runs of three or more of the characters that terms and codes are made of, and the different pairs of these in a row."""
+    text = folded.replace(_MARK, b" ").replace(_D, _MARK).translate(_TABLE)
+    n = _NUMBER[np.frombuffer(text, dtype=np.uint8)]
+    both = (n[1:] >= 0) & (n[:-1] >= 0)
+    pairs = np.unique(n[:-1][both] * len(_LETTERS) + n[1:][both]).tolist()
+    return [w for w in set(text.split()) if len(w) > 2], [bytes((_LETTERS[p // len(_LETTERS)], _LETTERS[p % len(_LETTERS)])) for p in pairs]
 
 
-def _rows(block: int, ids: list[int], words: list[list[bytes]], codes: list[list[str]]) -> Iterator[pa.RecordBatch]:
+def _rows(block: int, ids: list[int], words: list[list[bytes]], pairs: list[list[bytes]], codes: list[list[str]]) -> Iterator[pa.RecordBatch]:
     """The postings of a block; places are ranks by id."""
     place = np.empty(len(ids), dtype=np.int32)
     order = np.argsort(np.array(ids), kind="stable")
     place[order] = np.arange(len(order), dtype=np.int32)
     names = ["block", "kind", "word", "places", "ids"]
-    for kind, lists in (("word", words), ("code", codes)):
-        coded = pa.array([x for some in lists for x in some], pa.binary() if kind == "word" else pa.string()).dictionary_encode()
+    for kind, lists in (("word", words), ("pair", pairs), ("code", codes)):
+        coded = pa.array([x for some in lists for x in some], pa.string() if kind == "code" else pa.binary()).dictionary_encode()
         docs = np.repeat(place, [len(some) for some in lists])
         key = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | docs)
-        known = [w.replace(_MARK, _D).decode() for w in coded.dictionary.to_pylist()] if kind == "word" else coded.dictionary.to_pylist()
+        known = coded.dictionary.to_pylist() if kind == "code" else [w.replace(_MARK, _D).decode() for w in coded.dictionary.to_pylist()]
         offsets = np.concatenate([[0], np.cumsum(np.bincount(key >> 32, minlength=len(known)))]).astype(np.int32)
         places = pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & 0xFFFFFFFF).astype(np.int32)))
         for a in range(0, len(known), 5000):
@@ -74,36 +80,23 @@ class Best:
 
 
 class Block:
-    """What the queries' terms and codes meet in a block."""
-
-    def __init__(self, ids: np.ndarray, lists: dict[tuple[str, str], list[np.ndarray]]):
-        self.ids, self.lists, self.masks = ids, lists, {}
-
-    def mask(self, kind: str, x: str) -> np.ndarray:
-        """Which chunks contain a term, or have a code in their metadata."""
-        key = (kind, x)
-        if key not in self.masks:
-            self.masks[key] = m = np.zeros(len(self.ids), dtype=bool)
-            for places in self.lists[key]:
-                m[places] = True
-        return self.masks[key]
-
-    def search(self, terms: dict[str, int], codes: list[tuple[str, str]], best: Best) -> None:
-        met = [(t, n * TERM) for t, n in terms.items() if ("word", t) in self.lists]
-        held = [(c, folded) for c, folded in codes if ("code", c) in self.lists or ("word", folded) in self.lists]
-        bound = sum(n for _, n in met) + sum(CODE if ("code", c) in self.lists else CODE_IN_TEXT for c, _ in held)
+    """Which chunks of a block contain the queries' terms and have their codes: a row of flags for each of these that the block knows."""
+
+    def __init__(self, ids: np.ndarray, names: list[str], flags: np.ndarray):
+        """ids rise; flags has a row for each name."""
+        self.ids, self.flags, self.row = ids, flags, {n: k for k, n in enumerate(names)}
+
+    def search(self, terms: list[tuple[str, float]], codes: list[tuple[str, str]], best: Best) -> None:
+        """terms and codes by the names of their rows; a code by the one in the metadata and the one in the text."""
+        met = [(self.row[t], n) for t, n in terms if t in self.row]
+        held = [(self.row.get(c), self.row.get(f)) for c, f in codes if c in self.row or f in self.row]
+        bound = sum(n for _, n in met) + sum(CODE_IN_TEXT if c is None else CODE for c, _ in held)
         if not best.beaten_by(bound, int(self.ids[0])):
             return
-        score = np.zeros(len(self.ids))
-        for t, n in met:
-            score[self.mask("word", t)] += n
-        for c, folded in held:
-            worth = np.zeros(len(self.ids))
-            if ("word", folded) in self.lists:
-                worth[self.mask("word", folded)] = CODE_IN_TEXT
-            if ("code", c) in self.lists:
-                worth[self.mask("code", c)] = CODE
-            score += worth
+        score = np.array([n for _, n in met]) @ self.flags[[r for r, _ in met]] if met else np.zeros(len(self.ids))
+        for c, f in held:
+            worth = np.zeros(len(self.ids)) if f is None else self.flags[f] * CODE_IN_TEXT
+            score = score + (worth if c is None else np.where(self.flags[c], CODE, worth))
         least = best.scores[-1] if len(best.scores) == best.k else 0.0
         found = np.flatnonzero((score > 0) & (score >= least))
         if len(found) > best.k:  # of equal scores the first, which have the smallest ids
@@ -111,6 +104,68 @@ class Block:
         best.add(score[found], self.ids[found])
 
 
+def _asked(asked: list) -> tuple[list[tuple], dict[str, str], list[str]]:
+    """Queries as Block.search() takes them, codes with their folded forms, and all terms and folded codes."""
+    folded = {c: f for r in asked for c, f in zip(r["codes"], r["folded"], strict=True)}
+    queries = [(k, [(f"word {t}", n * TERM) for t, n in Counter(r["terms"]).items()], [(f"code {c}", f"word {folded[c]}") for c in r["codes"]]) for k, r in enumerate(asked)]
+    return queries, folded, sorted({t for r in asked for t in r["terms"]} | set(folded.values()))
+
+
+def _answers(spark: SparkSession, queries: DataFrame, k: int, answer) -> DataFrame:
+    """query_id, chunk_id, score, rank from what answer finds for the queries of a round, (number, chunk_id, score)."""
+    codes: Column = document_codes("message")
+    q = queries.select("query_id", lookup_terms("message").alias("terms"), codes.alias("codes")).withColumn("folded", F.transform("codes", fold)).where((F.size("terms") > 0) | (F.size("codes") > 0))
+    kind = q.schema["query_id"].dataType.simpleString()
+    rounds = max(1, -(-(q.agg(F.sum(F.size("terms"))).first()[0] or 0) // ROUND_TERMS))
+    q = checkpointed(q) if rounds > 1 else q
+    out = spark.createDataFrame([], f"query_id {kind}, chunk_id long, score double")
+    for r in range(rounds):
+        asked = (q.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(rounds)) == r) if rounds > 1 else q).collect()  # a round's worth
+        named = spark.createDataFrame([(n, x["query_id"]) for n, x in enumerate(asked)], f"number int, query_id {kind}")
+        out = out.unionByName(answer(asked).join(F.broadcast(named), "number").select("query_id", "chunk_id", "score"))
+    w = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _sent(best: dict[int, Best]) -> Iterator[pa.RecordBatch]:
+    for k, x in best.items():
+        if len(x.ids):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(x.ids), pa.int32()), pa.array(x.ids), pa.array(x.scores)], ["number", "chunk_id", "score"])
+
+
+def _blobs(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def scan_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """What KeywordIndex.topk() finds, of chunks that no index holds: their texts are folded and looked through once a round of queries."""
+
+    def answer(asked: list) -> DataFrame:
+        questions, folded, needles = _asked(asked)
+        broad = chunks.sparkSession.sparkContext.broadcast((questions, list(folded), needles))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            questions, codes, needles = broad.value
+            names, wanted = [*(f"word {n}" for n in needles), *(f"code {c}" for c in codes)], [n.encode() for n in needles]
+            best: dict[int, Best] = {}
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+                    blobs, held = _blobs(batch.column(1)), [set(x or ()) for x in batch.column(2).to_pylist()]
+                    flags = np.array([[n in b for b in blobs] for n in wanted] + [[c in h for h in held] for c in codes], dtype=bool)
+                    some = flags.any(axis=1)
+                    block = Block(batch.column(0).to_numpy(), [n for n, x in zip(names, some, strict=True) if x], flags[some])
+                    for q, terms, of in questions:
+                        block.search(terms, of, best.setdefault(q, Best(k)))
+            yield from _sent(best)
+
+        known = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), fold("content").alias("blob"), "chunk_codes")
+        return known.mapInArrow(work, "number int, chunk_id long, score double")
+
+    return _answers(chunks.sparkSession, queries, k, answer)
+
+
 class KeywordIndex:
     """An index below a folder that driver and executors share; build() writes it."""
 
@@ -130,35 +185,35 @@ class KeywordIndex:
             number, size = TaskContext.get().partitionId() << 32, 0
             ids: list[int] = []
             words: list[list[bytes]] = []
+            pairs: list[list[bytes]] = []
             codes: list[list[str]] = []
             for batch in batches:
-                blobs = batch.column(1)
-                raws = blobs.cast(pa.large_binary() if pa.types.is_large_string(blobs.type) else pa.binary()).to_pylist()
-                for i, raw, held in zip(batch.column(0).to_pylist(), raws, batch.column(2).to_pylist(), strict=True):
+                for i, raw, held in zip(batch.column(0).to_pylist(), _blobs(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     ids.append(i)
-                    words.append(list(set(words_of(raw))))
+                    for some, new in zip((words, pairs), words_of(raw), strict=True):
+                        some.append(new)
                     codes.append([c for c in held or [] if c is not None])
                     size += len(raw)
                     if len(ids) >= BLOCK_CHUNKS or size >= BLOCK_BYTES:
-                        yield from _rows(number, ids, words, codes)
-                        number, size, ids, words, codes = number + 1, 0, [], [], []
+                        yield from _rows(number, ids, words, pairs, codes)
+                        number, size, ids, words, pairs, codes = number + 1, 0, [], [], [], []
             if ids:
-                yield from _rows(number, ids, words, codes)
+                yield from _rows(number, ids, words, pairs, codes)
 
         known = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "content", "chunk_codes")
         known.select("chunk_id", fold("content").alias("blob"), "chunk_codes").mapInArrow(work, POSTINGS).write.parquet(f"{folder}/postings")
         vocabulary = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").where("kind = 'word'").select("word").distinct()
-        of = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring("word", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        grams = vocabulary.select(F.explode(F.array_distinct(F.concat(of(2), of(3)))).alias("gram"), "word")
+        starts = F.sequence(F.lit(1), F.length("word") - 2)
+        grams = vocabulary.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("word", i, F.lit(3))))).alias("gram"), "word")
         grams.repartition("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")  # few row groups for a gram
         return cls(spark, folder)
 
     def words_with(self, needles: list[str]) -> DataFrame:
-        """needle, word: the words of the index that contain each needle of two or more characters; the needles are a round's worth."""
-        of = {n: sorted({n[i : i + 3] for i in range(len(n) - 2)} or {n}) for n in needles}
+        """needle, word: the words of the index that contain each needle of three or more characters; the needles are a round's worth."""
+        of = {n: sorted({n[i : i + 3] for i in range(len(n) - 2)}) for n in needles}
         asked = sorted({g for gs in of.values() for g in gs})
         size = dict(self.grams.where(F.col("gram").isin(asked)).groupBy("gram").count().collect()) if asked else {}
-        rarest = [(n, min(gs, key=lambda g: size.get(g, 0))) for n, gs in of.items() if all(g in size for g in gs)]
+        rarest = [(n, min(gs, key=lambda g: size.get(g, 0))) for n, gs in of.items() if gs and all(g in size for g in gs)]
         chosen = self.spark.createDataFrame(rarest, "needle string, gram string")
         some = self.grams.where(F.col("gram").isin(sorted({g for _, g in rarest})))
         return some.join(F.broadcast(chosen), "gram").where(F.contains("word", F.col("needle"))).select("needle", "word")
@@ -166,39 +221,49 @@ class KeywordIndex:
     def _round(self, asked: list, top: int) -> DataFrame:
         """number, chunk_id, score of the best chunks of some queries: a task's, so that a query has top of them a task."""
         spark = self.spark
-        folded = {c: f for r in asked for c, f in zip(r["codes"], r["folded"], strict=True)}
-        needles = sorted({t for r in asked for t in r["terms"]} | set(folded.values()))
-        queries = spark.sparkContext.broadcast([(k, Counter(r["terms"]), [(c, folded[c]) for c in r["codes"]]) for k, r in enumerate(asked)])
-        words = checkpointed(self.words_with(needles))
+        questions, folded, needles = _asked(asked)
+        queries = spark.sparkContext.broadcast(questions)
+        words = checkpointed(self.words_with([n for n in needles if len(n) > 2]))
         words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
-        met = self.postings.where("kind = 'word'").join(words, "word").select("block", "kind", F.col("needle").alias("word"), "places", "ids")
-        codes = self.postings.where("kind = 'code'").join(F.broadcast(spark.createDataFrame([(c,) for c in folded], "word string")), "word", "left_semi")
-        rows = met.unionByName(codes.select(met.columns)).unionByName(self.postings.where("kind = 'ids'").select(met.columns))
+        name = lambda kind, c: F.concat(F.lit(f"{kind} "), c).alias("name")
+        met = self.postings.where("kind = 'word'").join(words, "word").select("block", name("word", F.col("needle")), "places", "ids")
+        of = lambda kind, some: self.postings.where(F.col("kind") == kind).join(F.broadcast(spark.createDataFrame([(x,) for x in some], "word string")), "word", "left_semi")
+        met = met.unionByName(of("pair", [n for n in needles if len(n) == 2]).select("block", name("word", F.col("word")), "places", "ids"))
+        rows = met.unionByName(of("code", folded).select("block", name("code", F.col("word")), "places", "ids")).unionByName(self.postings.where("kind = 'ids'").select("block", F.lit("").alias("name"), "places", "ids"))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, Best] = {}
-            block, ids, lists = None, None, {}
-
-            def answer() -> None:
-                if lists and ids is not None:
-                    b = Block(ids, lists)
-                    for k, terms, codes in queries.value:
-                        b.search(terms, codes, best.setdefault(k, Best(top)))
 
+            def answer(held: list[pa.RecordBatch]) -> None:
+                t = pa.Table.from_batches(held).combine_chunks()
+                column = lambda c: t.column(c).chunk(0)
+                names = column("name").dictionary_encode()
+                known = names.dictionary.to_pylist()
+                if len(known) < 2:  # the ids alone
+                    return
+                lists, of = column("places"), column("ids")
+                ids = of.filter(of.is_valid()).flatten().to_numpy()
+                full = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+                lists, which = lists.take(pa.array(full)), names.indices.to_numpy()[full]
+                flags = np.zeros((len(known), len(ids)), dtype=bool)
+                flags[np.repeat(which, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+                block = Block(ids, known, flags)
+                for k, terms, codes in queries.value:
+                    block.search(terms, codes, best.setdefault(k, Best(top)))
+
+            held: list[pa.RecordBatch] = []
             for batch in batches:
-                places, of = batch.column(3), batch.column(4)
-                for r, (b, kind, word) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    if b != block:
-                        answer()
-                        block, ids, lists = b, None, {}
-                    if kind == "ids":
-                        ids = of[r].values.to_numpy()
-                    else:
-                        lists.setdefault((kind, word), []).append(places[r].values.to_numpy())
-            answer()
-            for k, x in best.items():
-                if len(x.ids):
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(x.ids), pa.int32()), pa.array(x.ids), pa.array(x.scores)], ["number", "chunk_id", "score"])
+                blocks = batch.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+                for a, b in zip(edges, edges[1:]):
+                    if a < b:
+                        if held and held[0].column(0)[0].as_py() != blocks[a]:
+                            answer(held)
+                            held = []
+                        held.append(batch.slice(a, b - a))
+            if held:
+                answer(held)
+            yield from _sent(best)
 
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(work, "number int, chunk_id long, score double")
@@ -208,14 +273,4 @@ class KeywordIndex:
 
         Queries are answered in rounds of about ROUND_TERMS terms, whose terms and best chunks go to all tasks.
         """
-        codes: Column = document_codes("message")
-        q = checkpointed(queries.select("query_id", lookup_terms("message").alias("terms"), codes.alias("codes")).withColumn("folded", F.transform("codes", fold)).where((F.size("terms") > 0) | (F.size("codes") > 0)))
-        kind = q.schema["query_id"].dataType.simpleString()
-        rounds = max(1, -(-(q.agg(F.sum(F.size("terms"))).first()[0] or 0) // ROUND_TERMS))
-        out = self.spark.createDataFrame([], f"query_id {kind}, chunk_id long, score double")
-        for r in range(rounds):
-            asked = q.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(rounds)) == r).collect()  # a round's worth
-            named = self.spark.createDataFrame([(n, x["query_id"]) for n, x in enumerate(asked)], f"number int, query_id {kind}")
-            out = out.unionByName(self._round(asked, k).join(F.broadcast(named), "number").select("query_id", "chunk_id", "score"))
-        w = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-        return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return _answers(self.spark, queries, k, lambda asked: self._round(asked, k))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import document_codes, fold, lookup_terms, normalize_spaces
-from ..sources.scratch import checkpointed, drop, scratch_folder
-from .keyword_index import KeywordIndex
+from .keyword_index import KeywordIndex, scan_topk
 from .vector_index import nearest
 
 #: Rank constant, weights of the vector and keyword lists, factor by which the vector side looks further than asked.
@@ -85,14 +84,8 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k best chunks of each query, by an index that is built for these queries and deleted after them.
-
-    KeywordIndex.build() makes one that stays.
-    """
-    spark = chunks.sparkSession
-    folder = scratch_folder(spark)
-    found = checkpointed(KeywordIndex.build(chunks, folder).topk(queries, k))
-    drop(spark, folder)
+    """query_id, chunk_id, score, rank of the k best chunks of each query, ties by chunk. Without an index every text is looked through; KeywordIndex keeps one."""
+    found = scan_topk(spread(chunks), queries, k)
     return found.withColumn("chunk_id", F.col("chunk_id").cast(chunks.schema["chunk_id"].dataType))
 
 
@@ -157,7 +150,7 @@ def prompts(contexts: DataFrame, queries: DataFrame, history: DataFrame | None =
 def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, document_ids: list[int] | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """The hybrid search: rows (query_id, rank, chunk_id, retrieval_mode, score, child_type, content) of chunks that exist.
 
-    index is one of all chunks; where there is none, or only some documents are searched, one is built for the purpose.
+    index is one of all chunks; where there is none, or only some documents are searched, the texts are looked through.
     """
     v = vector_parents(vector_topk(points, queries, probe_size(top_k)), document_ids)
     pool = chunks if document_ids is None else chunks.where(F.col("chunk_id").isin(document_ids))

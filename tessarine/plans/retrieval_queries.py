@@ -8,6 +8,7 @@ from ..functions import tags
 from ..functions.text import document_codes
 from ..operators import retrieval as r
 from ..operators.embedding import hash_embed
+from ..operators.keyword_index import KeywordIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.scratch import scratch_folder
 from . import tables as t
@@ -113,6 +114,14 @@ def keyword_topk(spark, d):
     return keyword(spark, d)
 
 
+@query(f"WITH {CTE} SELECT query_id, chunk_id, score, rank FROM kwk")
+def keyword_index(spark, d):
+    """The best chunks by a stored index, which is written and read again."""
+    folder = scratch_folder(spark)
+    KeywordIndex.build(r.spread(chunks(spark, d)), folder)
+    return KeywordIndex(spark, folder).topk(asked(spark, d), r.probe_size(TOP_K))
+
+
 @query(f"WITH {CTE} SELECT query_id, chunk_id, score FROM kw WHERE chunk_id IN (2, 4, 6, 8, 10, 100)")
 def keyword_doc_filter(spark, d):
     return r.keyword_scores(chunks(spark, d).where(F.col("chunk_id").isin(2, 4, 6, 8, 10, 100)), asked(spark, d))

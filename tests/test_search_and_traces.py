@@ -33,11 +33,13 @@ def plain_scores(chunks, queries):
     return {q: [(i, -s, k + 1) for k, (s, i) in enumerate(sorted(x))] for q, x in out.items()}
 
 
-def check(spark, chunks, queries, k):
-    got = {}
-    for r in retrieval.keyword_topk(spark.createDataFrame(chunks, CHUNKS).repartition(3), spark.createDataFrame(queries, QUERIES), k).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r.rank))
-    assert got == {q: x[:k] for q, x in plain_scores(chunks, queries).items()}
+def check(spark, chunks, queries, k, folder):
+    c, q = spark.createDataFrame(chunks, CHUNKS).repartition(3), spark.createDataFrame(queries, QUERIES)
+    for found in (retrieval.keyword_topk(c, q, k), KeywordIndex.build(c, str(folder)).topk(q, k)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r.rank))
+        assert got == {q: x[:k] for q, x in plain_scores(chunks, queries).items()}
 
 
 def noise(r, n):
@@ -45,7 +47,7 @@ def noise(r, n):
 
 
 @pytest.mark.parametrize("block", [7, 8192])
-def test_keyword_index_against_plain(spark, monkeypatch, block):
+def test_keyword_index_against_plain(spark, monkeypatch, block, tmp_path):
     monkeypatch.setattr(keyword_index, "BLOCK_CHUNKS", block)
     monkeypatch.setattr(keyword_index, "ROUND_TERMS", 40 if block == 7 else 50_000)
     r = random.Random(block)
@@ -53,9 +55,9 @@ def test_keyword_index_against_plain(spark, monkeypatch, block):
     chunks += [(100, "theo 12/QĐ-TT và", ["12/QĐ-TT"]), (101, "12/qđ-tt", []), (102, None, ["12/QĐ-TT", None]), (103, "x", ["1/A-B"]), (104, "\x0112/q", [])]
     chunks += [(200 + i, chunks[3][1], []) for i in range(30)]  # ties
     queries = [(k, noise(r, 8)) for k in range(6)] + [(10, "12/QĐ-TT bao"), (11, "a 1 ."), (12, "ab ab de"), (13, "q")]
-    check(spark, chunks, queries, 9)
-    check(spark, [], queries, 3)
-    check(spark, chunks, [], 3)
+    check(spark, chunks, queries, 9, tmp_path / "a")
+    check(spark, [], queries, 3, tmp_path / "b")
+    check(spark, chunks, [], 3, tmp_path / "c")
 
 
 def test_keyword_index_reads_postings_only(spark, tmp_path):
@@ -65,7 +67,7 @@ def test_keyword_index_reads_postings_only(spark, tmp_path):
     index = KeywordIndex.build(chunks, f"{tmp_path}/index")
     found = KeywordIndex(spark, f"{tmp_path}/index").topk(spark.createDataFrame([(1, "word4999 x777"), (2, "common")], QUERIES), 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" not in plan and plan.count("FileScan parquet [block") == 3 and index.folder
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" not in plan and plan.count("FileScan parquet [block") == 4 and index.folder
     best = [r.chunk_id for r in found.where("query_id = 1").orderBy("rank").collect()]
     want = sorted(((-(("word4999" in w) + ("x777" in w)), i) for i, w in ((i, f"common word{i % 5003} x{i}") for i in range(1_000_000)) if "word4999" in w or "x777" in w))[:3]
     assert best == [i for _, i in want] and [r.chunk_id for r in found.where("query_id = 2").orderBy("rank").collect()] == [0, 1, 2]
