@@ -47,6 +47,38 @@ def test_token_counts(docs, empty):
     assert token_count.token_counts(empty, SP).count() == 0
 
 
+def test_token_counts_of_long_segments(spark, monkeypatch):
+    """Texts of three-byte letters and without spaces: batches go by bytes, and segments are cut where no piece reaches across."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=SP)
+    r = random.Random(6)
+    kinds = ["日本語テキスト漢字かなカナ。、", "abcdeéßñ", "aあ1,.-_/x漢", "ﬁ゛か①ｶﾞ日e\u0301", "▁a日 b", "😀a€日\u200b", "0123456789"]
+    texts = ["".join(r.choices(k, k=n)) for k in kinds for n in (399, 400, 401, 5000, 20_000)] + ["日" * 9000, "a" * 9000, "zx日" * 4000 + " tail " + "日b" * 3000]
+    sizes = []
+    monkeypatch.setattr(token_count, "LONG_CHARS", 400)
+    plain_batch = token_count.count_batch
+    for t in texts:
+        assert plain_batch([t], SP, {}) == [len(m.encode(t))], t[:40]
+    assert sum(len(token_count.cut_long(t, SP)[0]) > 5 for t in texts) > 8
+    monkeypatch.setattr(token_count, "count_batch", lambda some, path, known: sizes.append(sum(len(t.encode()) for t in some)) or [0] * len(some))
+    work = [t for t in ["日" * 100_000] * 30]
+    import pyarrow as pa
+
+    class Frame:  # the Arrow function by itself
+        schema = {"doc_id": type("f", (), {"dataType": type("t", (), {"simpleString": lambda self: "long"})()})()}
+
+        def select(self, *a):
+            return self
+
+        def mapInArrow(self, f, schema):
+            list(f(iter([pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(work)], ["id", "text"])])))
+            return self
+
+    token_count.token_counts(Frame(), SP)
+    assert sum(sizes) == 9_000_000 and max(sizes) < token_count.BATCH_BYTES + 300_000 and len(sizes) >= 4
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
