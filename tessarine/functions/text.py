@@ -102,8 +102,16 @@ def organisations(c: str | Column, limit: int = 30) -> Column:
     return dedupe(F.filter(phrases(c), is_organisation), limit)
 
 
+def phrase_kinds(c: str | Column, limit: int = 30) -> Column:
+    """struct of organisations and entities; the phrases are found and judged once for both."""
+    judged = F.transform(phrases(c), lambda p: F.struct(p.alias("p"), is_organisation(p).alias("o")))
+    pick = lambda all_, which: dedupe(F.transform(F.filter(all_, lambda x: which(x["o"])), lambda x: x["p"]), limit)
+    return F.transform(F.array(judged), lambda j: F.struct(pick(j, lambda o: o).alias("organisations"), pick(j, lambda o: ~o).alias("entities")))[0]
+
+
 def keywords(c: str | Column, limit: int = 20) -> Column:
-    return dedupe(F.concat(document_codes(c), organisations(c), entities(c), dates(c)), limit)
+    both = F.transform(F.array(phrase_kinds(c)), lambda k: F.concat(k["organisations"], k["entities"]))[0]
+    return dedupe(F.concat(document_codes(c), both, dates(c)), limit)
 
 
 def preview(c: str | Column, limit: int = 120) -> Column:

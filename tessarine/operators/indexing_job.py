@@ -31,10 +31,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def described(chunks: DataFrame) -> DataFrame:
     """Chunks (document_id, file_name, content, page, h1 to h6 and places) with their metadata."""
     h = F.struct(*[f"h{i}" for i in range(1, 5)])
-    c = chunks.withColumn("_h2", tags.context_h2(h)).withColumn("_h3", tags.context_h3(h))
+    c = chunks.withColumn("_h2", tags.context_h2(h)).withColumn("_h3", tags.context_h3(h)).withColumn("_kinds", text.phrase_kinds("content"))
     return c.select(
         "document_id", "chunk_index", "start_index", "page", "file_name", "content", F.col("_h2").alias("h2"), F.col("_h3").alias("h3"),
-        text.document_codes("content").alias("codes"), text.organisations("content").alias("organisations"), text.entities("content").alias("entities"), text.dates("content").alias("dates"),
+        text.document_codes("content").alias("codes"), F.col("_kinds.organisations").alias("organisations"), F.col("_kinds.entities").alias("entities"), text.dates("content").alias("dates"),
         tags.doc_type("file_name").alias("doc_type"), tags.security_level("file_name").alias("security_level"), tags.department(F.col("_h2"), F.col("_h3")).alias("department"),
         tags.fingerprint(F.col("content"), F.col("page"), F.lit("text_chunk"), F.col("file_name")).alias("fingerprint"),
     )

@@ -8,15 +8,15 @@ from pyspark.sql import window as W
 from ..functions import text
 from ..operators import traces
 from ..sources import store
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, settled
 from . import tables as t
 from .registry import query
 
 
-@query(f"WITH {t.LINES}, c AS (SELECT * FROM lines WHERE length(trim(content)) > 40) SELECT d.doc_id, any_value(d.source) AS title, count(c.doc_id) AS chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC")
+@query(f"WITH {t.LINES}, c AS (SELECT * FROM lines WHERE trim(content) <> '') SELECT d.doc_id, any_value(d.source) AS title, count(c.doc_id) AS chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC")
 def doc_list(spark, d):
-    """Documents with their number of chunks (lines of more than 40 characters), 0 for none, newest first."""
-    chunks = t.lines(spark, d).where(F.length(F.trim("content")) > 40).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Documents with their number of chunks (lines that aren't blank), 0 for none, newest first."""
+    chunks = t.lines(spark, d).where(F.trim("content") != "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return t.docs(spark, d).select("doc_id", F.col("source").alias("title")).join(chunks, "doc_id", "left").select("doc_id", "title", F.coalesce("n", F.lit(0)).alias("chunks")).orderBy(F.col("doc_id").desc())
 
 
@@ -133,7 +133,7 @@ def trace_append(spark, d):
         store.append_rows(segment, path)
     schema = "event_id long, event_type string"
     store.compact(spark, path, schema)
-    return store.read_table(spark, path, schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return settled(store.read_table(spark, path, schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), path)
 
 
 def steps(spark, d):

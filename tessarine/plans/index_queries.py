@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 from ..functions import tags, text
 from ..operators import indexing, indexing_job, splitting
 from ..sources import store
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, settled
 from . import tables as t
 from .registry import query
 
@@ -179,11 +179,12 @@ def index_pipeline(spark, d):
     return done.select("doc_id", "file_hash", F.when(F.col("parents") > 0, "embedded").otherwise("parsed").alias("status"), F.col("parents").cast("long").alias("parents"))
 
 
-@query("SELECT doc_id, 2 AS children FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 2 = 1")
+@query(f"WITH w AS (SELECT doc_id, array_to_string(list_slice({t.sql_words('text')}, 1, 40), ' ') AS s FROM documents) SELECT doc_id, 'Tóm tắt: ' || s AS child_text FROM w WHERE s <> '' UNION ALL SELECT doc_id, 'Does it hold ' || len(s) || '?' FROM w WHERE doc_id % 2 = 0")
 def reindex(spark, d):
-    q = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("What?"))).otherwise(F.array().cast("array<string>"))
-    kids = t.docs(spark, d).where("doc_id % 3 != 2").select("doc_id", F.explode(tags.children(text.first_words("text", 40), q, F.col("text"))).alias("c"))
-    return kids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("children"))
+    """All children of all documents made anew: a summary each, and for even ones a question."""
+    summary = text.first_words("text", 40)
+    q = F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit("Does it hold "), F.length(summary).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return t.docs(spark, d).select("doc_id", F.explode(tags.children(summary, q, F.col("text"))).alias("c")).select("doc_id", "c.child_text")
 
 
 def indexed(spark, d):
@@ -204,7 +205,7 @@ def index_job(spark, d):
     root, _, states = indexed(spark, d)
     words = indexing_job.table(spark, root, "chunks").select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z0-9]+)")))).alias("w"))
     n = words.distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("n_words"))
-    return states.join(n, "document_id", "left").select(F.col("document_id").alias("doc_id"), "file_hash", "status", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
+    return settled(states.join(n, "document_id", "left").select(F.col("document_id").alias("doc_id"), "file_hash", "status", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words")), root)
 
 
 @query("SELECT doc_id, true AS same FROM documents")
@@ -216,7 +217,7 @@ def rebuild_index(spark, d):
     count("1").write.parquet(before)
     touched = indexing_job.rebuild_points(spark, root)
     both = touched.join(spark.read.parquet(before), "document_id").join(count("2"), "document_id")
-    return both.select(F.col("document_id").alias("doc_id"), ((F.col("n1") == F.col("n2")) & (F.col("s1") == F.col("s2"))).alias("same"))
+    return settled(both.select(F.col("document_id").alias("doc_id"), ((F.col("n1") == F.col("n2")) & (F.col("s1") == F.col("s2"))).alias("same")), root)
 
 
 @query(f"WITH {t.LINES} SELECT doc_id, count(*) AS chunks FROM lines WHERE doc_id % 6 <> 2 AND doc_id % 4 <> 1 GROUP BY doc_id UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 4 = 1 AND doc_id % 6 <> 2")
@@ -228,7 +229,7 @@ def store_chunks(spark, d):
     for _ in range(2):
         store.replace_rows(new, path, ["doc_id"])
     store.delete_rows(spark, path, t.docs(spark, d).where("doc_id % 6 = 2"), ["doc_id"])
-    return store.read_table(spark, path, "doc_id long, chunk_index int, content string").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return settled(store.read_table(spark, path, "doc_id long, chunk_index int, content string").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks")), path)
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 3")
@@ -242,4 +243,4 @@ def store_points(spark, d):
     store.replace_rows(e, f"{path}-2", ["vec_id"])
     store.clear(spark, f"{path}-2")
     empty = store.read_table(spark, f"{path}-2", "vec_id long, label int")
-    return store.read_table(spark, path, "vec_id long, label int").unionByName(empty)
+    return settled(store.read_table(spark, path, "vec_id long, label int").unionByName(empty), path)

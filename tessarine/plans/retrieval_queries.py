@@ -10,7 +10,7 @@ from ..operators import retrieval as r
 from ..operators.embedding import hash_embed
 from ..operators.keyword_index import KeywordIndex
 from ..operators.vector_index import VectorIndex
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, settled
 from . import tables as t
 from .catalog_queries import chat_history
 from .registry import query
@@ -82,8 +82,9 @@ def vector_topk(spark, d):
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, child_type, round(similarity, 6) AS similarity FROM hits WHERE rank <= {TOP_K}")
 def vector_cells(spark, d):
     """The nearest vectors by an index of cells."""
-    index = VectorIndex.build(points(spark, d), scratch_folder(spark))
-    return index.topk(asked_vectors(spark, d), TOP_K)[0].select("query_id", "rank", "chunk_id", "child_type", F.round("similarity", 6).alias("similarity"))
+    folder = scratch_folder(spark)
+    found, _ = VectorIndex.build(points(spark, d), folder).topk(asked_vectors(spark, d), TOP_K)
+    return settled(found.select("query_id", "rank", "chunk_id", "child_type", F.round("similarity", 6).alias("similarity")), folder)
 
 
 @query(f"WITH {CTE} SELECT query_id, rank, chunk_id, child_type FROM hits WHERE rank <= 4")
@@ -119,7 +120,7 @@ def keyword_index(spark, d):
     """The best chunks by a stored index, which is written and read again."""
     folder = scratch_folder(spark)
     KeywordIndex.build(r.spread(chunks(spark, d)), folder)
-    return KeywordIndex(spark, folder).topk(asked(spark, d), r.probe_size(TOP_K))
+    return settled(KeywordIndex(spark, folder).topk(asked(spark, d), r.probe_size(TOP_K)), folder)
 
 
 @query(f"WITH {CTE} SELECT query_id, chunk_id, score FROM kw WHERE chunk_id IN (2, 4, 6, 8, 10, 100)")
@@ -193,6 +194,6 @@ def scan_text(spark, d):
     """Each text written as a file of its own and read again as a whole record. Texts end as they are: no line is added."""
     from ..sources.text_files import read_texts, write_texts
 
-    path = f"{scratch_folder(spark)}/texts"
+    path = scratch_folder(spark)
     write_texts(t.docs(spark, d).select(F.format_string("doc-%d.md", "doc_id").alias("name"), "text"), path)
-    return read_texts(spark, path).select("parser", "kind", "text", F.length("text").alias("n_chars"))
+    return settled(read_texts(spark, path).select("parser", "kind", "text", F.length("text").alias("n_chars")), path)

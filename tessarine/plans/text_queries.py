@@ -147,8 +147,8 @@ def point_ids(spark, d):
 def enriched(spark, d):
     """Metadata of each chunk, all of it in one projection."""
     c = t.coded(spark, d)
-    return c.select(
-        "doc_id", "text", text.document_codes("text").alias("codes"), text.organisations("text").alias("orgs"), text.entities("text").alias("ents"),
+    return c.withColumn("kinds", text.phrase_kinds("text")).select(
+        "doc_id", "text", text.document_codes("text").alias("codes"), F.col("kinds.organisations").alias("orgs"), F.col("kinds.entities").alias("ents"),
         text.dates("text").alias("days"), text.first_words("text", 40).alias("summary"))
 
 

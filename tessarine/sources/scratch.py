@@ -43,3 +43,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def drop(spark: SparkSession, path: str) -> None:
     system, p = _at(spark, path)
     system.delete(p, True)
+
+
+def settled(df: DataFrame, folder: str) -> DataFrame:
+    """df, computed and kept as a checkpoint, and the scratch folder that it was read from deleted."""
+    out = checkpointed(df)
+    drop(df.sparkSession, folder)
+    return out
