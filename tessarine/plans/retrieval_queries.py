@@ -191,9 +191,11 @@ def embed_hash(spark, d):
 
 @query("SELECT 'legacy' AS parser, 'text' AS kind, text, length(text) AS n_chars FROM documents")
 def scan_text(spark, d):
-    """Each text written as a file of its own and read again as a whole record. Texts end as they are: no line is added."""
-    from ..sources.text_files import read_texts, write_texts
+    """Each text written as a file of its own and read again as a whole record, many files a task. Texts end as they are: no line is added."""
+    from ..sources.folder import read_folder
+    from ..sources.text_files import write_texts
 
     path = scratch_folder(spark)
     write_texts(t.docs(spark, d).select(F.format_string("doc-%d.md", "doc_id").alias("name"), "text"), path)
-    return settled(read_texts(spark, path).select("parser", "kind", "text", F.length("text").alias("n_chars")), path)
+    pages = read_folder(spark, path).select(F.lit("legacy").alias("parser"), F.lit("text").alias("kind"), "text", F.length("text").alias("n_chars"))
+    return settled(pages, path)
