@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.tags import page_separator
 
@@ -16,6 +20,8 @@ from ..functions.tags import page_separator
 CHUNK, OVERLAP, SEPARATORS = 500, 50, ["\n\n", "\n", ". ", ", ", " ", ""]
 PAGE_MARK = r"\{\d+\}-+"
 PAGE_BREAK = r"\n\n\{(\d+)\}-+\n\n"
+#: Bytes of texts and rows made of them that a Python worker holds at once.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
 
 
 def split_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,15 +32,18 @@ def split_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return both.select(id_col, F.col("p.page_id").cast("int").alias("page_id"), F.trim(F.regexp_replace("p.text", r"^\s+|\s+$", "")).alias("text")).where("text != ''")
 
 
-def merge_pages(pages: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
-    """id, text, spans (array of start, end, page): pages put together in order, blank ones left out, with what fits between them."""
-    w = W.Window.partitionBy(id_col).orderBy(page_col)
+def merge_pages(pages: DataFrame, id_col: str, page_col: str, text_col: str, by: list[str] = []) -> DataFrame:
+    """id, columns of by, text, spans (array of start, end, page): pages put together in order, blank ones left out, with what fits between them.
+
+    by names columns that are the same in all pages of a document; where pages are dealt by one of these they stay where they are.
+    """
+    w = W.Window.partitionBy(*by, id_col).orderBy(page_col)
     p = pages.withColumn("_t", F.trim(F.col(text_col))).where("_t != ''").withColumn("_before", F.lag("_t").over(w))
     p = p.withColumn("_sep", F.when(F.col("_before").isNull(), F.lit("")).otherwise(page_separator(F.col("_before"), F.col("_t"))))
     p = p.withColumn("_end", F.sum(F.length("_sep") + F.length("_t")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
     span = F.struct(F.col(page_col).alias("page"), F.concat("_sep", "_t").alias("piece"), (F.col("_end") - F.length("_t")).alias("start"), F.col("_end").alias("end"))
-    g = p.groupBy(id_col).agg(F.array_sort(F.collect_list(span)).alias("s"))
-    return g.select(id_col, F.array_join(F.transform("s", lambda x: x["piece"]), "").alias("text"), F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["page"].alias("page"))).alias("spans"))
+    g = p.groupBy(*by, id_col).agg(F.array_sort(F.collect_list(span)).alias("s"))
+    return g.select(id_col, *by, F.array_join(F.transform("s", lambda x: x["piece"]), "").alias("text"), F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["page"].alias("page"))).alias("spans"))
 
 
 def join_pages(pages: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
@@ -101,15 +110,39 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators:
     return out
 
 
+def _batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, about BATCH_BYTES of text at a time, or one longer text."""
+    for b in batches:
+        if b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum() // BATCH_BYTES
+            edges = [0, *((size[1:] != size[:-1]).nonzero()[0] + 1).tolist(), b.num_rows]
+            yield from (b.slice(x, y - x) for x, y in zip(edges, edges[1:]))
+
+
+def _made(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of BATCH_ROWS at most."""
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _in_arrow(rows: DataFrame, f: Callable[[pa.RecordBatch], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that f makes of the rows of a batch whose second column is a text. Few of both are held at once, however large Spark's batches are."""
+    types = to_arrow_schema(_parse_datatype_string(schema))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches):
+            yield from _made(f(b), types)
+
+    return rows.mapInArrow(work, schema)
+
+
 def _per_text(docs: DataFrame, id_col: str, text_col: str, f, schema: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *r) for i, t in zip(b["id"], b["text"], strict=True) for r in f(t or "")]
-            yield pd.DataFrame(rows, columns=["id", *[c.strip().split(" ")[0] for c in schema.split(",")]])
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        return ((i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in f(t or ""))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return _in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def recursive_split(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -196,16 +229,15 @@ def header_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _per_text(docs, id_col, text_col, cut, "section int, start_index long, h1 string, h2 string, h3 string, h4 string, h5 string, h6 string, content string")
 
 
-def split_documents(merged: DataFrame, id_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """id, chunk_index (dense), start_index (in the whole text), page, h1 to h6, content of texts with page spans, as merge_pages() gives them.
+def split_documents(merged: DataFrame, id_col: str, size: int = CHUNK, overlap: int = OVERLAP, carried: list[str] = []) -> DataFrame:
+    """id, chunk_index (dense), start_index (in the whole text), page, h1 to h6, content of texts with page spans, as merge_pages() gives them, and columns carried along.
 
     Sections by Markdown headers, then overlapping chunks in each, with the headers above them and the page in which they start (the last one's for
     places in no span). Each document is split where it is, without a shuffle, and pages are looked up by halving the spans.
     """
-    kind = merged.schema[id_col].dataType.simpleString()
-    columns = ["id", "chunk_index", "start_index", "page", *(f"h{i}" for i in range(1, 7)), "content"]
+    kinds = {c: merged.schema[c].dataType.simpleString() for c in (id_col, *carried)}
 
-    def rows(i, text: str, starts: list[int], ends: list[int], pages: list) -> Iterator[tuple]:
+    def of_text(i, text: str, starts: list[int], ends: list[int], pages: list, more: tuple) -> Iterator[tuple]:
         k = 0
         for start, section, headers in placed_sections(text):
             inner = 0
@@ -214,18 +246,17 @@ def split_documents(merged: DataFrame, id_col: str, size: int = CHUNK, overlap:
                 inner = found + len(chunk)
                 at = bisect_right(starts, start + found) - 1
                 page = (pages[at] if at >= 0 and start + found < ends[at] else pages[-1]) if pages else None
-                yield (i, k, start + found, page, *[headers.get(f"h{n}") for n in range(1, 7)], chunk)
+                yield (i, k, start + found, page, *[headers.get(f"h{n}") for n in range(1, 7)], chunk, *more)
                 k += 1
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            listed = [[[] if x is None else list(x) for x in b[c]] for c in ("starts", "ends", "pages")]
-            found = pd.DataFrame([r for i, text, *spans in zip(b["id"], b["text"], *listed, strict=True) for r in rows(i, text or "", *spans)], columns=columns)
-            yield found.astype({"page": "Int64"})
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for i, text, starts, ends, pages, *more in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            yield from of_text(i, text or "", starts or [], ends or [], pages or [], tuple(more))
 
     spans = [F.col("spans")[x].alias(f"{x}s") for x in ("start", "end", "page")]
-    schema = f"id {kind}, chunk_index int, start_index long, page int, {', '.join(f'h{i} string' for i in range(1, 7))}, content string"
-    return merged.select(F.col(id_col).alias("id"), "text", *spans).mapInPandas(work, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kinds[id_col]}, chunk_index int, start_index long, page int, {', '.join(f'h{i} string' for i in range(1, 7))}, content string"
+    schema += "".join(f", {c} {kinds[c]}" for c in carried)
+    return _in_arrow(merged.select(F.col(id_col).alias("id"), "text", *spans, *carried), rows, schema).withColumnRenamed("id", id_col)
 
 
 def greedy_batches(chunks: DataFrame, id_col: str, order_col: str, text_col: str, items: int = 8, chars: int = 6000, extra: int = 400) -> DataFrame:
