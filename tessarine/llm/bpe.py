@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers in a generation, and the longest that it remembers.
-PIECE_CACHE, PIECE_CHARS = 600_000, 48
+from .common import keep_only
+
+#: Pre-tokens whose ids a worker remembers in a generation, the longest that it remembers, and pairs of tokens that it remembers: some 100 MB in all.
+PIECE_CACHE, PIECE_CHARS, PAIR_CACHE = 200_000, 48, 300_000
 _NEVER = 1 << 60
 # A fixed value: the pattern of the byte-level pre-tokeniser.
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +113,7 @@ class Vocabulary:
             for b, b_ends in self._spine(right, 0):
                 if (m := self.merge.get((a, b))) and m[0] < a_ends and m[0] <= b_ends:
                     ok = False
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) >= PAIR_CACHE:
             self.compatible.clear()
         self.compatible[key] = ok
         return ok
@@ -214,6 +216,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     fields = [("ids", "array<int>", pa.list_(pa.int32()))] * with_ids + [("decoded", "string", pa.string())] * with_text + [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe", vocabulary.cache_clear)
         v = vocabulary(path)
         for batch in batches:
             n, cols = [], {name: [] for name, _, _ in fields}
@@ -241,6 +244,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     kind = encoded.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe", vocabulary.cache_clear)
         v = vocabulary(path)
         for batch in batches:
             texts = [v.decode(np.array(x.as_py() or [], dtype=np.int64)) for x in batch.column(1)]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, components, drop_folder, let_go, mix, raw_texts, shared_folder, shingle_set
+from .common import checkpointed, components, drop_folder, keep_only, let_go, mix, shared_folder, shingle_set, texts_in_turn
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
@@ -47,9 +47,10 @@ def cell_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
     width = CELLS // SLABS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dup_text")
         table, some = np.zeros(CELLS, dtype=np.int64), False
         for batch in batches:
-            for t in raw_texts(batch.column(0)):
+            for t in texts_in_turn(batch.column(0)):
                 s = shingle_set(t, words)
                 if len(s):
                     np.add.at(table, (s >> np.uint64(44)).astype(np.int64), 1)
@@ -98,13 +99,14 @@ def prefixes(docs: DataFrame, table: np.ndarray, text: str, words: int) -> DataF
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        keep_only("near_dup_text")
         counts = sent.value
         for batch in batches:
             ns, ls, crowds, sigs, out, parts, ids = [], [], [], [], [], [], batch.column(0).to_pylist()
             none, first = np.empty(0, dtype=np.int64), {}
             place = mix(np.array([i or 0 for i in ids], dtype=np.int64).view(np.uint64))
             parity = np.zeros((batch.num_rows, BITS // 64), dtype=np.int64)
-            for k, t in enumerate(raw_texts(batch.column(1))):
+            for k, t in enumerate(texts_in_turn(batch.column(1))):
                 s = shingle_set(t, words)
                 n = len(s)
                 parity[k] = np.packbits((np.bincount((s >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(bool)).view(np.int64)
@@ -146,10 +148,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dup_text")
         last, other = None, None
         for batch in batches:
             keep = []
-            for ta, tb in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
+            for ta, tb in zip(texts_in_turn(batch.column(2)), texts_in_turn(batch.column(3)), strict=True):
                 if other is None or tb != last:  # the join leaves equal b together
                     last, other = tb, shingle_set(tb, words)
                 mine = shingle_set(ta, words)
