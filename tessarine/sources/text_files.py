@@ -8,28 +8,60 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import drop
 
 SUFFIXES = ("md", "markdown", "txt")
+#: Folders into which texts are dealt that are written as files.
+FOLDERS = 256
+
+
+def _at(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """Rows (name, text) as files of these names in a folder that all executors see; a file that a task writes again is the same."""
+    """Rows (name, text) as files of these names in a folder that all executors see; a file that a task writes again is the same.
+
+    Files are dealt into FOLDERS folders by their names: tasks that make files in one folder wait for each other.
+    """
     broad = texts.sparkSession.sparkContext.broadcast(path)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+        from zlib import crc32
 
-        system, folder = fs.FileSystem.from_uri(broad.value if "://" in broad.value else f"file://{broad.value.removeprefix('file:')}")
-        system.create_dir(folder, recursive=True)
+        system, folder = _at(broad.value)
+        made: set[int] = set()
         for b in batches:
             for name, text in zip(b["name"], b["text"], strict=True):
-                with system.open_output_stream(f"{folder}/{name}") as f:
+                if (k := crc32(name.encode()) % FOLDERS) not in made:
+                    made.add(k)
+                    system.create_dir(f"{folder}/{k:03}", recursive=True)
+                with system.open_output_stream(f"{folder}/{k:03}/{name}") as f:
                     f.write((text or "").encode())
             yield pd.DataFrame({"n": [len(b)]})
 
     texts.select("name", "text").mapInPandas(work, "n long").write.format("noop").mode("overwrite").save()
 
 
+def drop_texts(spark: SparkSession, path: str) -> None:
+    """Deletes what write_texts() wrote, its folders in as many tasks as there are cores."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = _at(path)
+        for b in batches:
+            for k in b["id"]:
+                if system.get_file_info(f"{folder}/{k:03}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{folder}/{k:03}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    spark.range(0, FOLDERS, 1, spark.sparkContext.defaultParallelism).mapInPandas(work, "n long").write.format("noop").mode("overwrite").save()
+    drop(spark, path)
+
+
 def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """path, text, parser, kind, page: each file below path with one of the suffixes is one record; other files are left out."""
     files = spark.read.option("pathGlobFilter", "*.{%s}" % ",".join(suffixes)).option("recursiveFileLookup", "true").text(path, wholetext=True)
