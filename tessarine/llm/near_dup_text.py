@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, components, drop_folder, keep_only, let_go, mix, shared_folder, shingle_set, texts_in_turn
+from .common import checkpointed, components, drop_folder, keep_only, let_go, mix, shared_folder, shingle_set, stored, texts_in_turn
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, NUM, DEN = 5, 75, 100
@@ -221,8 +221,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # documents of one set: its smallest id stands for them; batches found theirs, so a set that is everywhere has a row for each batch here
     locals_ = own.where("id = local").select("local", "sig", "n").distinct()
     heads = locals_.groupBy("sig", "n").agg(F.min("local").alias("rep"))
-    locals_ = locals_.join(heads, ["sig", "n"])
-    members = own.join(locals_, ["local", "sig", "n"]).select("id", "rep", "n")
+    locals_ = checkpointed(locals_.join(heads, ["sig", "n"]))
+    # what later steps read again and again is written once; it goes as soon as the last pairs are verified
+    folder = f"{shared_folder(docs.sparkSession)}/lists-{uuid.uuid4().hex}"
+    members = stored(own.join(locals_, ["local", "sig", "n"]).select("id", "rep", "n"), f"{folder}/members")
     # copies follow their set's class; only an id with several sets is a link itself
     several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("id")
     copies = members.join(several, "id").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -232,10 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_part = W.Window.partitionBy("shingle", "part").orderBy(crowd.desc(), "packed", "id")
     # the only member of a part may have others in the list's other parts
     lists = rows.withColumn("of", F.count(F.lit(1)).over(W.Window.partitionBy("shingle", "part"))).where("of > 1 or part >= 0")
-    # columns of sorted lists take a quarter of the room of rows; the table goes as soon as the last pairs are verified
-    folder = f"{shared_folder(docs.sparkSession)}/lists-{uuid.uuid4().hex}"
-    lists.select("shingle", "id", "packed", "part").write.parquet(folder)
-    lists = docs.sparkSession.read.parquet(folder)
+    # columns of sorted lists take a quarter of the room of rows
+    lists = stored(lists.select("shingle", "id", "packed", "part"), f"{folder}/lists")
     let_go(docs.sparkSession)
 
     # members against the head of their part, and against the one before; heads of the parts of a list likewise
@@ -253,9 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(rep_a, "a").join(rep_b, "b").where("ra != rb")
         return p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = checkpointed(verified(between_reps(candidates(star.where(alike(num, den)), STAR_MATCHES)), texts, words, num, den).unionByName(copies))
+    first = stored(verified(between_reps(candidates(star.where(alike(num, den)), STAR_MATCHES)), texts, words, num, den).unionByName(copies), f"{folder}/first")
     let_go(docs.sparkSession)
-    classes = checkpointed(components(first))
+    classes = components(first)
     let_go(docs.sparkSession)
     # lists of several classes: pairs between different ones, of one document for each set
     kin = members.select("id", "rep").join(classes.withColumnRenamed("node", "id"), "id", "left").where("id = rep").select("id", F.coalesce("component", "id").alias("class"))
@@ -267,13 +267,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x, y = mixed.alias("x"), mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "packed", "class", "of", *PARITY)]).alias("y")
     meets = (F.col("class") < F.col("class2")) & alike(num, den) & in_prefixes(num, den) & (parity_allows(num, den) | (F.greatest("of", "of2") > 1))
     across = candidates(x.join(y, "shingle").where(meets).select("id", "packed", "id2", "packed2"))
-    second = checkpointed(verified(across, texts, words, num, den))
-    drop_folder(docs.sparkSession, folder)
+    second = stored(verified(across, texts, words, num, den), f"{folder}/second")
+    let_go(docs.sparkSession)
     # links between classes of the first round, then the classes of classes
     names = classes.select("node", "component")
     lifted = second.join(names.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
     lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     above = components(lifted)
+    drop_folder(docs.sparkSession, folder)
     classed = locals_.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("local", "sig", "n", F.coalesce("component", "rep").alias("class"))
     classed = classed.join(above, classed["class"] == above["node"], "left").select("local", "sig", "n", F.coalesce("component", "class").alias("component_id"))
     final = own.join(classed, ["local", "sig", "n"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
