@@ -72,6 +72,18 @@ def test_keyword_index_reads_postings_only(spark, tmp_path):
     assert got == {1: [(4999 + 5003 * k, 2.0) for k in range(3)], 2: [(k, 1.0) for k in range(3)]}
 
 
+def test_keyword_index_deals_terms_not_words(spark, monkeypatch, tmp_path):
+    """A row of a block for each term, whatever the number of words that contain it, and no list that is null: each of these walks through its whole batch on the way to Python."""
+    chunks = spark.range(3000).coalesce(1).select(F.col("id").alias("chunk_id"), F.format_string("ab/prefix%d 7/A-B", "id").alias("content"), F.array(F.lit("7/A-B")).alias("chunk_codes"))
+    dealt, repartition = [], type(chunks).repartition
+    monkeypatch.setattr(type(chunks), "repartition", lambda df, *by: (dealt.append(df), repartition(df, *by))[1])
+    found = KeywordIndex.build(chunks, f"{tmp_path}/index").topk(spark.createDataFrame([(1, "prefix 7/A-B ab")], QUERIES), 2)
+    assert [(r.chunk_id, r.score) for r in found.orderBy("rank").collect()] == [(0, 15.0), (1, 15.0)]
+    rows = [r for df in dealt for r in df.collect()]
+    assert sorted(r["name"] for r in rows) == ["", "code 7/A-B", "word 7/a-b", "word ab", "word prefix"]
+    assert all(x is not None for r in rows for x in r)
+
+
 def test_vector_index_against_all_pairs(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vector_index, "CELL_ROWS", 40)
     r = random.Random(4)
