@@ -72,6 +72,15 @@ def test_keyword_index_reads_postings_only(spark, tmp_path):
     assert got == {1: [(4999 + 5003 * k, 2.0) for k in range(3)], 2: [(k, 1.0) for k in range(3)]}
 
 
+def test_texts_are_folded_as_plain_ones(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choices("aBé đ\u0301 \t\n\r\x0b\u00a0\u2003\u3000\x85\u200b\x1c/", k=r.randrange(12))) for _ in range(400)] + ["".join(r.choices("aB  \t\n", k=9)) for _ in range(100)]
+    white = re.compile("[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.normalize_spaces("t").alias("n"), text.fold("t").alias("f")).collect()
+    assert {x.k: (x.n, x.f) for x in got} == {k: (white.sub(" ", t).strip(" "), white.sub(" ", bare(t).lower()).strip(" ")) for k, t in enumerate(texts)}
+
+
 def test_keyword_index_deals_terms_not_words(spark, monkeypatch, tmp_path):
     """A row of a block for each term, whatever the number of words that contain it, and no list that is null: each of these walks through its whole batch on the way to Python."""
     chunks = spark.range(3000).coalesce(1).select(F.col("id").alias("chunk_id"), F.format_string("ab/prefix%d 7/A-B", "id").alias("content"), F.array(F.lit("7/A-B")).alias("chunk_codes"))
