@@ -68,11 +68,11 @@ def child_points(tx: Transaction, chunks: DataFrame, cache: DataFrame, settings:
     both = chunks.select(*key, "chunk_index", none("struct<summary: string, questions: array<string>>", "of")).unionByName(cache.select(*key, none("int", "chunk_index"), of))
     w = W.Window.partitionBy("_range", "document_id", "print")
     c = tx.ranges(both, ["document_id"], bits).withColumn("of", F.max("of").over(w)).where("chunk_index is not null and of is not null")
-    kids = F.posexplode(tags.children(F.col("of.summary"), F.col("of.questions"), F.lit(""))).alias("child_index", "c")
+    kids = F.posexplode(tags.known_children(F.col("of.summary"), F.col("of.questions"))).alias("child_index", "c")
     c = c.select("document_id", "chunk_index", kids)
     parent = F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string"))
     c = c.select(tags.point_id(settings.collection, parent, F.col("c.child_type"), F.col("child_index")).alias("point_id"), "document_id", "chunk_index", F.col("c.child_type").alias("child_type"), "child_index", F.col("c.child_text").alias("child_text"))
-    return hash_embed(c, [k for k in c.columns], "child_text", settings.embedding_dim)
+    return hash_embed(c, [k for k in c.columns], "child_text", settings.embedding_dim, tags.common_questions(settings.hyq_questions))
 
 
 def index_into(tx: Transaction, files: DataFrame, settings: Settings = Settings()) -> None:

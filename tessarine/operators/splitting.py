@@ -176,7 +176,9 @@ def sections(text: str) -> list[tuple[str, dict[str, str]]]:
             held.clear()
 
     for line in text.split("\n"):
-        bare = "".join(c for c in line.strip() if c.isprintable())
+        bare = line.strip()
+        if not bare.isprintable():
+            bare = "".join(c for c in bare if c.isprintable())
         if fence and not bare.startswith(fence):
             held.append(bare)
             continue
